@@ -34,7 +34,8 @@ def spearman_matrix(
     For columns with NULLs on different rows, ``spearman_with`` ranks each pair on the
     rows complete for that pair.
     """
-    return pearson_matrix(rank_transform(df, cols, id_col, large), cols).withColumnRenamed("r", "rho")
+    # Ranks are spread evenly over 1..n, so their sums need no centring pass.
+    return pearson_matrix(rank_transform(df, cols, id_col, large), cols, center={}).withColumnRenamed("r", "rho")
 
 
 def spearman_with(df: DataFrame, cols: Sequence[str], ref: str, large: bool | None = None) -> DataFrame:

@@ -48,10 +48,7 @@ def missingness_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(a, b, r, distance)``: |Pearson| of flags, undefined -> 0; distance = 1 - r."""
     flags = df.select(*[F.col(c).isNull().cast("double").alias(c + FLAG) for c in cols])
     m = pearson_matrix(flags, [c + FLAG for c in cols])
-    r = F.when(F.col("a") == F.col("b"), F.coalesce(F.abs("r"), F.lit(0.0))).otherwise(
-        F.coalesce(F.abs("r"), F.lit(0.0))
-    )
-    return m.select("a", "b", r.alias("r")).withColumn(
+    return m.select("a", "b", F.coalesce(F.abs("r"), F.lit(0.0)).alias("r")).withColumn(
         "distance", F.greatest(F.lit(0.0), 1.0 - F.col("r"))
     )
 

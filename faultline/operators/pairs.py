@@ -68,10 +68,14 @@ def _corr_expr():
     return F.when((F.col("n") > 1) & (vx > floor_x) & (vy > floor_y), cov / F.sqrt(vx * vy))
 
 
-def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(a, b, r)`` for every ordered pair of columns, diagonal included."""
+def pearson_matrix(df: DataFrame, cols: Sequence[str], center: dict[str, float] | None = None) -> DataFrame:
+    """``(a, b, r)`` for every ordered pair of columns, diagonal included.
+
+    Columns are centred by their means unless ``center`` is given.
+    """
     cols = list(cols)
-    half = pair_moments(df, cols, column_means(df, cols)).select("i", "j", _corr_expr().alias("r"))
+    center = column_means(df, cols) if center is None else center
+    half = pair_moments(df, cols, center).select("i", "j", _corr_expr().alias("r"))
     names = F.array(*[F.lit(c) for c in cols])
     both = half.unionByName(half.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "r"))
     return both.select(F.get(names, "i").alias("a"), F.get(names, "j").alias("b"), "r")
