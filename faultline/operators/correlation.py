@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions.numeric import finite_or_null
 from faultline.operators.pairs import pearson_matrix
 from faultline.operators.prefix import average_ranks, long_form
+from faultline.session import cut_lineage, is_small
 
 
 def rank_transform(
@@ -45,14 +46,15 @@ def spearman_with(df: DataFrame, cols: Sequence[str], ref: str, large: bool | No
     """
     base = df.withColumn("_ref", finite_or_null(ref) + F.lit(0.0)).where(F.col("_ref").isNotNull())
     pairs = long_form(base, cols, ["_ref"]).groupBy("feature", "value", "_ref").agg(F.count("*").alias("n"))
+    if large is None:
+        large = not is_small(pairs)
+    if large:
+        # Read three times below.
+        pairs = cut_lineage(pairs)
     rx = average_ranks(pairs.groupBy("feature", "value").agg(F.sum("n").alias("n")), ["feature"], large=large)
     ry = average_ranks(pairs.groupBy("feature", "_ref").agg(F.sum("n").alias("n")), ["feature"], "_ref", large=large)
-    totals = pairs.groupBy("feature").agg(F.sum("n").alias("total"))
-    joined = (
-        pairs.join(rx.select("feature", "value", F.col("rank").alias("rx")), ["feature", "value"])
-        .join(ry.select("feature", "_ref", F.col("rank").alias("ry")), ["feature", "_ref"])
-        # One row per column name.
-        .join(F.broadcast(totals), "feature")
+    joined = pairs.join(rx.select("feature", "value", "total", F.col("rank").alias("rx")), ["feature", "value"]).join(
+        ry.select("feature", "_ref", F.col("rank").alias("ry")), ["feature", "_ref"]
     )
     mid = (F.col("total") + 1) / 2.0
     n, x, y = F.col("n"), F.col("rx") - mid, F.col("ry") - mid

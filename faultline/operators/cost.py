@@ -61,8 +61,7 @@ def _curve(counts: DataFrame, grid: DataFrame | None, large: bool | None) -> Dat
         rows = rows.unionByName(grid.select("threshold", zero.alias("n0"), zero.alias("n1"), F.lit(1).alias("point")))
     rows = rows.groupBy("threshold").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.max("point").alias("point"))
     run = running_counts(rows, [], "threshold", ["n0", "n1"], large)
-    totals = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
-    t0, t1 = totals.select("t0").scalar(), totals.select("t1").scalar()
+    t0, t1 = F.col("tot_n0"), F.col("tot_n1")
     # Predicted positive means prob >= threshold: everything not strictly below it.
     return run.where("point = 1").select(
         "threshold",

@@ -41,10 +41,15 @@ def _imputed(target: str, intercept: float, coefs: dict[str, float]) -> Column:
     return F.when(F.col(f"_gap_{target}"), F.greatest(F.lit(0.0), pred)).otherwise(F.col(target))
 
 
-def ridge_step(observed: DataFrame, target: str, predictors: Sequence[str], alpha: float) -> tuple[float, dict[str, float]]:
-    """Ridge of ``target`` on standardised predictors, returned on the original scale."""
+def ridge_step(
+    observed: DataFrame, target: str, predictors: Sequence[str], alpha: float, center: dict[str, float] | None = None
+) -> tuple[float, dict[str, float]]:
+    """Ridge of ``target`` on standardised predictors, returned on the original scale.
+
+    ``center`` (any values near the means) keeps the sums well scaled.
+    """
     cols = [*predictors, target]
-    center = column_means(observed, cols)
+    center = center or column_means(observed, cols)
     m = moments_to_numpy(observed, cols, center)
     n = m["n"][-1, -1]
     s = m["sx"].diagonal()
@@ -85,7 +90,7 @@ def mice_fit(
         done = []
         for target in order:
             predictors = [c for c in cols if c != target]
-            intercept, coefs = ridge_step(work.where(~F.col(f"_gap_{target}")), target, predictors, alpha)
+            intercept, coefs = ridge_step(work.where(~F.col(f"_gap_{target}")), target, predictors, alpha, model.means)
             work = work.withColumn(target, _imputed(target, intercept, coefs))
             done.append((target, intercept, coefs))
         model.steps.append(done)

@@ -25,9 +25,9 @@ def running_counts(
     value: str,
     measures: Sequence[str],
     large: bool | None = None,
-    prefix: str = "cum_",
 ) -> DataFrame:
-    """Add ``cum_<m>`` = sum of ``m`` over rows of the same key with value <= this value.
+    """Add ``cum_<m>``, the sum of ``m`` over rows of the same key with value <= this value,
+    and ``tot_<m>``, its sum over the key.
 
     ``agg`` must hold one row per ``(keys, value)``. ``large=None`` decides by the
     optimizer's size estimate.
@@ -41,7 +41,12 @@ def running_counts(
             .orderBy(value)
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        return agg.select("*", *[F.sum(m).over(w).alias(prefix + m) for m in measures])
+        whole = Window.partitionBy(*keys)
+        return agg.select(
+            "*",
+            *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures],
+            *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures],
+        )
 
     ranged = cut_lineage(
         agg.repartitionByRange(*keys, value).withColumn("_slice", F.spark_partition_id())
@@ -57,6 +62,7 @@ def running_counts(
             *[F.col(k).alias(f"_k_{k}") for k in keys],
             F.col("_slice").alias("_o_slice"),
             *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+            *[F.sum(f"_t_{m}").over(Window.partitionBy(*keys)).alias(f"tot_{m}") for m in measures],
         )
     )
     cond = F.col("_slice") == F.col("_o_slice")
@@ -70,7 +76,8 @@ def running_counts(
     inner = ranged.select("*", *[F.sum(m).over(w).alias(f"_in_{m}") for m in measures])
     return inner.join(F.broadcast(offsets), cond).select(
         *agg.columns,
-        *[(F.col(f"_in_{m}") + F.col(f"_o_{m}")).alias(prefix + m) for m in measures],
+        *[(F.col(f"_in_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures],
+        *[f"tot_{m}" for m in measures],
     )
 
 
@@ -103,18 +110,17 @@ def class_running_counts(
 ) -> DataFrame:
     """``class_counts_by_value`` with running counts and per-feature totals ``t0, t1``."""
     counts = class_counts_by_value(df, cols, label)
-    totals = counts.groupBy("feature").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"))
     run = running_counts(counts, ["feature"], "value", ["n0", "n1"], large)
-    # One row per column name.
-    return run.join(F.broadcast(totals), "feature")
+    return run.withColumnsRenamed({"tot_n0": "t0", "tot_n1": "t1"})
 
 
 def average_ranks(
     agg: DataFrame, keys: Sequence[str], value: str = "value", n: str = "n", large: bool | None = None
 ) -> DataFrame:
-    """Average rank of each tie group, from ``(keys, value, n)``."""
+    """Average rank of each tie group and the key's row ``total``, from ``(keys, value, n)``."""
     run = running_counts(agg, keys, value, [n], large)
-    return run.withColumn("rank", F.col(f"cum_{n}") - (F.col(n) - 1) / 2.0).drop(f"cum_{n}")
+    rank = F.col(f"cum_{n}") - (F.col(n) - 1) / 2.0
+    return run.withColumn("rank", rank).withColumnRenamed(f"tot_{n}", "total").drop(f"cum_{n}")
 
 
 def quantiles(
@@ -128,12 +134,7 @@ def quantiles(
     by = list(by)
     keys = [*by, "feature"]
     agg = long_form(df, cols, by).groupBy(*keys, "value").agg(F.count("*").alias("n"))
-    run = running_counts(agg, keys, "value", ["n"], large)
-    totals = agg.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    # One row per group and column name.
-    cond = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
-    totals = totals.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_total")
-    run = run.join(F.broadcast(totals), cond)
+    run = running_counts(agg, keys, "value", ["n"], large).withColumnRenamed("tot_n", "_total")
     parts = []
     for i, p in enumerate(probs):
         pos = (F.col("_total") - 1) * F.lit(float(p))

@@ -28,7 +28,7 @@ def ks_statistics(df: DataFrame, cols: Sequence[str], label: str = "label", larg
     return out.select(
         "feature",
         "stat",
-        F.coalesce(kolmogorov_sf(F.col("stat") * scale), F.lit(1.0)).alias("p_value"),
+        F.when(F.col("stat").isNull(), 1.0).otherwise(kolmogorov_sf(F.col("stat") * scale)).alias("p_value"),
         "n0",
         "n1",
     )
@@ -121,19 +121,16 @@ def mutual_info(
     estimate. Equal values share a bin, and the cost is one more small aggregation.
     """
     counts = class_counts_by_value(df, cols, label).withColumn("one", F.lit(1))
-    run = running_counts(counts, ["feature"], "value", ["one"], large)
-    totals = counts.groupBy("feature").agg(
-        F.count("*").alias("d"), F.sum("n0").alias("t0"), F.sum("n1").alias("t1")
-    )
+    run = running_counts(counts, ["feature"], "value", ["one", "n0", "n1"], large)
+    run = run.withColumnsRenamed({"tot_one": "d", "tot_n0": "t0", "tot_n1": "t1"})
     q, rem = F.floor(F.col("d") / bins), F.col("d") % bins
     r = F.col("cum_one")
-    # Buckets sizes as in ntile: the first ``rem`` buckets hold one value more.
+    # Bucket sizes as in ntile: the first ``rem`` buckets hold one value more.
     bucket = F.when(r <= rem * (q + 1), F.floor((r - 1) / (q + 1))).otherwise(
         rem + F.floor((r - 1 - rem * (q + 1)) / F.greatest(q, F.lit(1)))
     )
     cells = (
-        run.join(F.broadcast(totals), "feature")
-        .groupBy("feature", bucket.alias("bucket"))
+        run.groupBy("feature", bucket.alias("bucket"))
         .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("t0").alias("t0"), F.first("t1").alias("t1"))
     )
     n = (F.col("t0") + F.col("t1")).cast("double")

@@ -86,8 +86,8 @@ run AS (SELECT *, sum(n0) OVER w AS c0, sum(n1) OVER w AS c1, sum(n0) OVER (PART
  WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING))"""
 
 
-KS = """ks AS (SELECT feature, max(abs(c1 / t1 - c0 / t0)) AS stat, max(t0) AS n0, max(t1) AS n1 FROM run GROUP BY feature),
-ksp AS (SELECT feature, stat, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (
+KS = """ks AS (SELECT feature, max(CASE WHEN t0 > 0 AND t1 > 0 THEN abs(c1 / t1 - c0 / t0) END) AS stat, max(t0) AS n0, max(t1) AS n1 FROM run GROUP BY feature),
+ksp AS (SELECT feature, stat, CASE WHEN stat IS NULL OR x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (
  SELECT sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * x * x)) FROM range(1, 51) t(j)))) END AS p_value
  FROM (SELECT *, stat * sqrt(CAST(n1 AS DOUBLE) * n0 / (n1 + n0)) AS x FROM ks))"""
 KW = """kw0 AS (SELECT feature, t0, t1, n0, n1, CAST(n0 + n1 AS DOUBLE) AS t, c0 + c1 - (CAST(n0 + n1 AS DOUBLE) - 1) / 2 AS rk FROM run),
@@ -339,7 +339,7 @@ b AS (SELECT n, mx, my, (n * cxy / sqrt(vx)) / (n + 10.0) / sqrt(vx) AS slope FR
 SELECT n, {r6('my - slope * mx', 'intercept', 8)}, {r6('slope', digits=8)} FROM b"""
     flag = lambda x: f"CAST({x} IS NULL AS DOUBLE)"
     o["missingness_correlation"] = c + " UNION ALL ".join(
-        f"SELECT '{a}_is_missing' AS a, '{b}_is_missing' AS b, round(r, 6) + 0.0 AS r, round(greatest(0.0, 1.0 - r), 6) + 0.0 AS distance FROM (SELECT coalesce(abs(corr({flag(a)}, {flag(b)})), 0.0) AS r FROM cust)"
+        f"SELECT '{a}_is_missing' AS a, '{b}_is_missing' AS b, round(r, 6) + 0.0 AS r, round(greatest(0.0, 1.0 - r), 6) + 0.0 AS distance FROM (SELECT CASE WHEN isnan(k) OR k IS NULL THEN 0.0 ELSE abs(k) END AS r FROM (SELECT corr({flag(a)}, {flag(b)}) AS k FROM cust))"
         for a in X.GAPPY for b in X.GAPPY
     )
     o["module_connectivity"] = c + "SELECT row_id, " + ", ".join(

@@ -13,6 +13,7 @@ from faultline.operators import (
     balancing, correlation, cost, describe, discovery, explain, graphs, histograms, independence, logit, mice,
     missing, models, outliers, pairs, pca, profile, ranktests, sampling, scaling, selection,
 )
+from faultline.session import configure
 from faultline.plans import causal, experiment, prep, rca
 from faultline.sources import csv as csv_source
 from faultline.sources import fixtures as X
@@ -71,7 +72,7 @@ def q_consolidate_runs(spark, sf):
     out = lambda df: df.select(F.lit("LiNGAM").alias("Algo"), F.col("src").alias("Source"), F.col("dst").alias("Target"), "run_id")
     results.write_experiment_csv(out(raw), base, "edges", "EXP_FFF", 8)
     results.write_experiment_csv(out(kept), base, "edges", "EXP_TTT", 8)
-    hybrid = graphs.hybrid_graph(kept, graphs.edge_cleanup(X.edge_table(spark, sf, "PC")))
+    hybrid = graphs.hybrid_graph(kept, X.edge_table(spark, sf, "PC").select("run_id", "src", "dst"))
     named = hybrid.select(F.lit("Hybrid").alias("Algo"), F.col("src").alias("Source"), F.col("dst").alias("Target"),
                           F.col("type").alias("Type"), "run_id")
     results.write_experiment_csv(named, base, "hybrid", "EXP_TTT", 8)
@@ -854,4 +855,8 @@ _RENAMED = {
 
 def queries() -> dict[str, Query]:
     found = {k[2:]: v for k, v in globals().items() if k.startswith("q_") and callable(v)}
-    return {**found, **_RENAMED}
+    return {name: _configured(fn) for name, fn in {**found, **_RENAMED}.items()}
+
+
+def _configured(fn: Query) -> Query:
+    return lambda spark, sf_dir: fn(configure(spark), sf_dir)

@@ -24,6 +24,19 @@ def local_session(app: str = "faultline", cpus: int | str = "*") -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return configure(spark)
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Runtime settings the wide projections of this library profit from.
+
+    Methods above 8000 bytes of bytecode are not compiled by the JVM's JIT; with this
+    limit Spark generates split methods for such projections instead of one huge one.
+    A value the user has set is left alone.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if spark.conf.get(key) == "65535":
+        spark.conf.set(key, "8000")
     return spark
 
 

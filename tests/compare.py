@@ -61,6 +61,7 @@ def main():
         if only and name not in only:
             continue
         t = time.time()
+        print(f'### {name}', file=sys.stderr, flush=True)
         try:
             if name in sqls:
                 why = difference(fn(spark, sf_dir), con, sqls[name])
