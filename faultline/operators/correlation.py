@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.numeric import finite_or_null
 from faultline.operators.pairs import pearson_matrix
-from faultline.operators.prefix import average_ranks, long_form
+from faultline.operators.prefix import average_ranks, long_form, small_sorted
 from faultline.session import cut_lineage, is_small
 
 
@@ -123,8 +123,5 @@ def feature_group_usage(
         .when(c >= cuts[1], "Secondary Usage (Duty Cycle)")
         .otherwise("Diagnostic / Specific Signal")
     )
-    return (
-        mean_family_correlation(df, features, families, id_col)
-        .withColumn("classification", group)
-        .orderBy(F.desc("avg_corr"), "feature")
-    )
+    out = mean_family_correlation(df, features, families, id_col).withColumn("classification", group)
+    return small_sorted(out, F.desc("avg_corr"), "feature")

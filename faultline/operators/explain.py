@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from faultline.operators.cost import COST_FN, COST_FP
 from faultline.operators.models import assemble, predict
 from faultline.operators.order import seeded_rank, seeded_take
-from faultline.operators.prefix import average_ranks, quantile_map
+from faultline.operators.prefix import quantile_map, small_sorted
 
 
 @dataclass
@@ -146,7 +146,7 @@ def shap_global(shap: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(feature, mean_abs_shap)`` in one aggregation, largest first."""
     wide = shap.agg(*[F.avg(F.abs(F.get("phi", F.lit(i)))).alias(f"p{i}") for i in range(len(cols))])
     rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"p{i}").alias("mean_abs_shap")) for i, c in enumerate(cols)])
-    return wide.select(F.inline(rows)).orderBy(F.desc("mean_abs_shap"), "feature")
+    return small_sorted(wide.select(F.inline(rows)), F.desc("mean_abs_shap"), "feature")
 
 
 def shap_local(shap: DataFrame, data: DataFrame, cols: Sequence[str], threshold: float, top_k: int = 5, top_features: int = 8,
@@ -213,11 +213,9 @@ def permutation_importance_cost(
     # Small from here on: one row per feature and repeat.
     base = counts.where("feature is null").select("rep", F.col("cost").alias("base_cost"))
     rise = counts.where("feature is not null").join(base, "rep")
-    return (
-        rise.groupBy("feature")
-        .agg(F.avg(F.col("cost") - F.col("base_cost")).alias("pi_mean"), F.stddev_pop(F.col("cost") - F.col("base_cost")).alias("pi_std"))
-        .orderBy(F.desc("pi_mean"), "feature")
-    )
+    delta = F.col("cost") - F.col("base_cost")
+    out = rise.groupBy("feature").agg(F.avg(delta).alias("pi_mean"), F.stddev_pop(delta).alias("pi_std"))
+    return small_sorted(out, F.desc("pi_mean"), "feature")
 
 
 def compare_ranks(shap: DataFrame, pi: DataFrame) -> DataFrame:
@@ -228,11 +226,8 @@ def compare_ranks(shap: DataFrame, pi: DataFrame) -> DataFrame:
     rank = lambda c: F.dense_rank().over(Window.partitionBy().orderBy(F.desc(c)))
     a = shap.select("feature", "mean_abs_shap", rank("mean_abs_shap").alias("shap_rank"))
     b = pi.select("feature", "pi_mean", rank("pi_mean").alias("pi_rank"))
-    return (
-        a.join(b, "feature")
-        .withColumn("avg_rank", (F.col("shap_rank") + F.col("pi_rank")) / 2.0)
-        .orderBy("avg_rank", "feature")
-    )
+    out = a.join(b, "feature").withColumn("avg_rank", (F.col("shap_rank") + F.col("pi_rank")) / 2.0)
+    return small_sorted(out, "avg_rank", "feature")
 
 
 def rank_agreement(compared: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.numeric import kolmogorov_sf
-from faultline.operators.prefix import class_counts_by_value, class_running_counts, running_counts
+from faultline.operators.prefix import (
+    class_counts_by_value, class_running_counts, name_features, running_counts, small_sorted,
+)
 
 
 def ks_statistics(df: DataFrame, cols: Sequence[str], label: str = "label", large: bool | None = None) -> DataFrame:
@@ -46,12 +48,12 @@ def ks_two_sample(
     out = ks_statistics(df, cols, label, large).where(
         F.col("stat").isNotNull() & (F.col("p_value") <= alpha)
     ).select("feature", "stat", "p_value")
-    out = out.orderBy(F.desc("stat"), "feature")
-    return out.limit(top_n) if top_n else out
+    order = (F.desc("stat"), "feature")
+    return out.orderBy(*order).limit(top_n) if top_n else small_sorted(out, *order)
 
 
 def ks_pvalues(df: DataFrame, cols: Sequence[str], label: str = "label") -> DataFrame:
-    return ks_statistics(df, cols, label).select("feature", "p_value").orderBy("p_value", "feature")
+    return small_sorted(ks_statistics(df, cols, label).select("feature", "p_value"), "p_value", "feature")
 
 
 def ks_drift(train: DataFrame, test: DataFrame, cols: Sequence[str] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -140,14 +142,14 @@ def mutual_info(
         joint = F.col(f"n{k}") / n
         return F.when(F.col(f"n{k}") > 0, joint * F.log(joint / ((size / n) * (F.col(f"t{k}") / n)))).otherwise(0.0)
 
-    return cells.groupBy("feature").agg(F.sum(term("0") + term("1")).alias("mi"))
+    return name_features(cells.groupBy("feature").agg(F.sum(term("0") + term("1")).alias("mi")), cols)
 
 
 def mutual_info_rank(
     df: DataFrame, cols: Sequence[str], label: str = "label", top_n: int | None = None, bins: int = 10, large: bool | None = None
 ) -> DataFrame:
-    out = mutual_info(df, cols, label, bins, large).orderBy(F.desc("mi"), "feature")
-    return out.limit(top_n) if top_n else out
+    out, order = mutual_info(df, cols, label, bins, large), (F.desc("mi"), "feature")
+    return out.orderBy(*order).limit(top_n) if top_n else small_sorted(out, *order)
 
 
 def spearman_with_label(df: DataFrame, cols: Sequence[str], label: str = "label", large: bool | None = None) -> DataFrame:
