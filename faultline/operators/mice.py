@@ -21,7 +21,7 @@ class MiceModel:
     steps: list[list[tuple[str, float, dict[str, float]]]] = field(default_factory=list)
 
     def transform(self, df: DataFrame, every: int = 5) -> DataFrame:
-        """Replay the fitted rounds; the plan is cut every few rounds."""
+        """Replay the fitted rounds; the plan of a batch table is cut every few rounds."""
         cols = list(self.means)
         keep = df.columns
         out = df.withColumns({f"_gap_{c}": F.col(c).isNull() for c in cols})
@@ -29,7 +29,7 @@ class MiceModel:
         for i, round_steps in enumerate(self.steps, 1):
             for target, intercept, coefs in round_steps:
                 out = out.withColumn(target, _imputed(target, intercept, coefs))
-            if i % every == 0 and i < len(self.steps):
+            if i % every == 0 and i < len(self.steps) and not df.isStreaming:
                 out = cut_lineage(out)
         return out.select(*keep)
 

@@ -19,6 +19,10 @@ from faultline.functions.numeric import finite_or_null
 from faultline.session import cut_lineage, is_small
 
 
+# Up to this many quantiles are computed as columns of one aggregation.
+_WIDE_PROBS = 9
+
+
 def running_counts(
     agg: DataFrame,
     keys: Sequence[str],
@@ -157,28 +161,37 @@ def quantiles(
     keys = [*by, "feature"]
     agg = coded_form(df, cols, by).groupBy(*keys, "value").agg(F.count("*").alias("n"))
     run = running_counts(agg, keys, "value", ["n"], large).withColumnRenamed("tot_n", "_total")
+    last = F.col("_total") - 1
+    if len(probs) > _WIDE_PROBS:
+        # Many quantiles: each value emits the few whose ranks fall on it.
+        upto, before = F.col("cum_n"), F.col("cum_n") - F.col("n")
+        on = lambda rank: (rank > before) & (rank <= upto)
+        low, high = (lambda p: F.floor(last * p) + 1), (lambda p: F.ceil(last * p) + 1)
+        hit = F.filter(F.array(*[F.lit(float(p)) for p in probs]), lambda p: on(low(p)) | on(high(p)))
+        tall = (
+            run.select(*keys, "_total", "value", "cum_n", "n", F.explode(hit).alias("prob"))
+            .groupBy(*keys, "prob")
+            .agg(
+                F.max("_total").alias("_total"),
+                F.max(F.when(on(low(F.col("prob"))), F.col("value"))).alias("lo"),
+                F.max(F.when(on(high(F.col("prob"))), F.col("value"))).alias("hi"),
+            )
+        )
+        share = last * F.col("prob") - F.floor(last * F.col("prob"))
+        return name_features(tall.select(*keys, "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value")), cols)
     parts = []
     for i, p in enumerate(probs):
-        pos = (F.col("_total") - 1) * F.lit(float(p))
+        pos = last * F.lit(float(p))
         parts += [
             F.min(F.when(F.col("cum_n") >= F.floor(pos) + 1, F.col("value"))).alias(f"_lo{i}"),
             F.min(F.when(F.col("cum_n") >= F.ceil(pos) + 1, F.col("value"))).alias(f"_hi{i}"),
         ]
     wide = run.groupBy(*keys).agg(F.first("_total").alias("_total"), *parts)
-    picks = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                (
-                    F.col(f"_lo{i}")
-                    + (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-                    * ((F.col("_total") - 1) * F.lit(float(p)) - F.floor((F.col("_total") - 1) * F.lit(float(p))))
-                ).alias("value"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    rows = wide.select(*keys, F.explode(picks).alias("q")).select(*keys, "q.prob", "q.value")
+    picks = []
+    for i, p in enumerate(probs):
+        pos, lo, hi = last * F.lit(float(p)), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        picks.append(F.struct(F.lit(float(p)).alias("prob"), (lo + (hi - lo) * (pos - F.floor(pos))).alias("value")))
+    rows = wide.select(*keys, F.inline(F.array(*picks)))
     return name_features(rows, cols)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from faultline.functions import hist as hf
 from faultline.registry.queries import (
-    CAUSAL, CORE, DISC, MODULES, NUMERIC, SCALED, TESTS, THRESHOLD, WITH_GAPS,
+    CAUSAL, CORE, DISC, MODULES, NUMERIC, PRUNED, SCALED, TESTS, THRESHOLD, WITH_GAPS,
 )
 from faultline.sources import fixtures as X
 
@@ -530,7 +530,25 @@ lead AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature_set ORDER BY cos
 crr AS (SELECT *, CAST(dense_rank() OVER (ORDER BY mean_abs_shap DESC) AS INT) AS shap_rank, CAST(dense_rank() OVER (ORDER BY pi_mean DESC) AS INT) AS pi_rank FROM cr)"""
     o["compare_ranks"] = cr + "SELECT feature, mean_abs_shap, shap_rank, pi_mean, pi_rank, CAST((shap_rank + pi_rank) / 2.0 AS DOUBLE) AS avg_rank FROM crr"
     o["rank_agreement"] = cr + f"SELECT {r6('corr(a, b)', 'rho')} FROM (SELECT {avg_rank('shap_rank')} AS a, {avg_rank('pi_rank')} AS b FROM crr)"
+    vec = "vec AS (SELECT vec_id AS row_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v, embedding[1]::DOUBLE AS m FROM embeddings), named AS (SELECT *, 'e_' || lpad(CAST(i AS VARCHAR), 2, '0') AS feature FROM vec)"
+    o["shap_global_given_phi"] = with_(vec) + f"SELECT feature, {r6('avg(abs(v))', 'mean_abs_shap')} FROM named GROUP BY feature"
+    o["shap_local_given_phi"] = with_(vec) + f"""SELECT row_id, {r6('1 / (1 + exp(-2 * m))', 'proba')}, feature, {r6('v', 'value')}, {r6('v', 'shap')} FROM (
+ SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(v) DESC, feature) AS r FROM named WHERE row_id IN (
+  SELECT vec_id FROM embeddings WHERE embedding[1] >= 0 ORDER BY embedding[1] DESC, vec_id LIMIT 7)) WHERE r <= 8"""
     # causal
+    r_ = lambda a, b: f"(SELECT abs(corr({a}, {b})) FROM fs)"
+    steps = ["fs AS (SELECT label, aa_000, " + ", ".join(f"{' + '.join(b)} AS {f}_total" for f, b in X.FAMILIES.items()) + " FROM cust)",
+             "s0 AS (SELECT " + ", ".join(f"FALSE AS d{i}" for i in range(len(PRUNED))) + ")"]
+    for i, a in enumerate(PRUNED):
+        for j in range(i + 1, len(PRUNED)):
+            b = PRUNED[j]
+            hit = f"NOT d{i} AND NOT d{j} AND {r_(a, b)} > 0.8 AND {r_(a, 'label')} - {r_(b, 'label')}"
+            flags = [f"d{k}" for k in range(len(PRUNED))]
+            flags[i], flags[j] = f"d{i} OR ({hit} < -1e-12) AS d{i}", f"d{j} OR ({hit} >= -1e-12) AS d{j}"
+            steps.append(f"s{len(steps) - 1} AS (SELECT {', '.join(flags)} FROM s{len(steps) - 2})")
+    o["collinearity_prune"] = with_(CUST, *steps) + " UNION ALL ".join(
+        f"SELECT '{x}' AS feature, {r6(f'(SELECT avg({x}) FROM fs)', 'mean', 4)} FROM s{len(steps) - 2} WHERE NOT d{i}" for i, x in enumerate(PRUNED)
+    )
     tier = lambda x: f"CASE {x}.feature_group WHEN 'Global' THEN 0 WHEN 'Secondary' THEN 1 WHEN 'Diagnostic' THEN 2 ELSE 3 END"
     o["prior_matrix"] = with_(GROUPS) + f"""SELECT e.run_id, e.feature AS effect, c.feature AS cause, CASE WHEN c.feature = 'class' OR e.feature = 'aa_000'
  OR (e.feature = 'class' AND c.feature = 'aa_000') OR (e.feature NOT IN ('class', 'aa_000') AND c.feature NOT IN ('class', 'aa_000')

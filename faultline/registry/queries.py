@@ -688,6 +688,21 @@ def q_shap_local(spark, sf):
     return explain.shap_local(explain.shap_values(model, valid, CORE), valid, CORE, THRESHOLD)
 
 
+def _given_phi(spark, sf):
+    """Embeddings in the role of attributions: ``phi`` is the vector, ``margin`` its first entry."""
+    df = X.emb_features(spark, sf)
+    return df.select("row_id", "label", F.col("e_00").alias("margin"), F.array(*X.EMB).alias("phi"))
+
+
+def q_shap_global_given_phi(spark, sf):
+    return rounded(explain.shap_global(_given_phi(spark, sf), X.EMB), "mean_abs_shap")
+
+
+def q_shap_local_given_phi(spark, sf):
+    out = explain.shap_local(_given_phi(spark, sf), X.emb_features(spark, sf), X.EMB, 0.5, 7, 8)
+    return rounded(out, "proba", "value", "shap")
+
+
 def q_permutation_importance_cost(spark, sf):
     model, _, valid = _reference(spark, sf)
     return explain.permutation_importance_cost(model, valid, CORE, 0.45, repeats=10)
@@ -823,11 +838,13 @@ def q_bayes_logit_by_feature(spark, sf):
     return rounded(out, *out.columns[1:])
 
 
+PRUNED = ["ag_total", "ay_total", "cn_total", "ba_total", "aa_000"]
+
+
 def q_collinearity_prune(spark, sf):
-    df = X.cust_features(spark, sf)
-    kept = logit.collinearity_prune(df, NUMERIC, limit=0.5)
-    means = df.agg(*[F.avg(c).alias(c) for c in kept])
-    return means.unpivot([], kept, "feature", "mean")
+    df = histograms.family_sums(X.cust_features(spark, sf), X.FAMILIES, ["row_id", "label", "aa_000"])
+    kept = logit.collinearity_prune(df, PRUNED)
+    return rounded(df.agg(*[F.avg(c).alias(c) for c in kept]).unpivot([], kept, "feature", "mean"), "mean", digits=4)
 
 
 def q_experiment_rules_grid(spark, sf):

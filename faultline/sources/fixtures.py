@@ -127,10 +127,10 @@ def build_user_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     from faultline.operators.prefix import quantiles
 
-    cut = quantiles(per_user, ["_share"], [0.5]).select(F.col("value").alias("_cut"))
-    return per_user.join(F.broadcast(cut), F.col("_cut").isNotNull(), "inner").select(
+    median = quantiles(per_user, ["_share"], [0.5]).select("value").scalar()
+    return per_user.select(
         F.col("user_id").alias("row_id"),
-        (F.col("_share") > F.col("_cut")).cast("int").alias("label"),
+        (F.col("_share") > median).cast("int").alias("label"),
         *HOURS,
         *VALUES,
     )

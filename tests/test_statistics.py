@@ -42,6 +42,14 @@ def test_quantiles_interpolate(spark, large):
         assert got[c] == pytest.approx(np.quantile(pdf[c].dropna(), [0.1, 0.5, 0.9]).tolist())
 
 
+def test_many_quantiles_at_once(spark):
+    pdf, df = frame(spark)
+    probs = [i / 20 for i in range(21)]
+    got = prefix.quantile_map(df, ["a", "b", "c"], probs)
+    for c in ("a", "b", "c"):
+        assert got[c] == pytest.approx(np.quantile(pdf[c].dropna(), probs).tolist())
+
+
 def test_quantiles_known_values(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
     assert prefix.quantile_map(df, ["x"], [0.25, 0.5, 0.75])["x"] == [1.75, 2.5, 4.75]
