@@ -117,7 +117,9 @@ def best_threshold_roc(scores: DataFrame, with_infinity: bool = True, label: str
 def roc_curve(scores: DataFrame, label: str = "label", prob: str = "prob", large: bool | None = None) -> DataFrame:
     """``(threshold, fpr, tpr)`` at every observed score."""
     return _curve(score_counts(scores, label, prob), None, large).select(
-        "threshold", (F.col("fp") / F.col("t0")).alias("fpr"), (F.col("tp") / F.col("t1")).alias("tpr")
+        "threshold",
+        (F.col("fp") / F.nullif(F.col("t0"), F.lit(0))).alias("fpr"),
+        (F.col("tp") / F.nullif(F.col("t1"), F.lit(0))).alias("tpr"),
     )
 
 

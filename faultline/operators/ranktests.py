@@ -91,7 +91,7 @@ def kruskal_statistics(df: DataFrame, cols: Sequence[str], label: str = "label",
         12.0 / (n * (n + 1)) * (F.col("r0") * F.col("r0") / F.col("n0") + F.col("r1") * F.col("r1") / F.col("n1"))
         - 3.0 * (n + 1)
     )
-    corr = 1.0 - F.col("ties") / (n * n * n - n)
+    corr = 1.0 - F.col("ties") / F.nullif(n * n * n - n, F.lit(0.0))
     ok = (F.col("n0") > 0) & (F.col("n1") > 0) & (corr > 0)
     return rank_sums(df, cols, label, large).select("feature", F.when(ok, h / corr).alias("stat"))
 

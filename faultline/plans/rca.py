@@ -22,9 +22,12 @@ def shared_reference(df: DataFrame, cols: Sequence[str], registry):
 
 def explain_run(
     df: DataFrame, cols: Sequence[str], seed: int = 42, registry=None, repeats: int = 10, shap_rows: int | None = 5000,
-    pdp_top: int = 3, surrogate_depth: int = 3, top_k: int = 5,
+    pdp_rows: int | None = 2000, pdp_top: int = 3, surrogate_depth: int = 3, top_k: int = 5,
 ) -> dict[str, object]:
-    """Fit, threshold, attributions, cost importance, rank comparison, partial dependence, rules."""
+    """Fit, threshold, attributions, cost importance, rank comparison, partial dependence, rules.
+
+    ``shap_rows`` and ``pdp_rows`` bound the rows explained in the report; None takes all.
+    """
     from faultline.operators.order import seeded_take
 
     model, _, valid = explain.reference_model(df, cols, seed, registry)
@@ -45,7 +48,7 @@ def explain_run(
         "shap_local": explain.shap_local(shap, valid, cols, best["threshold"], top_k),
         "importance": pi,
         "ranks": explain.compare_ranks(top, pi),
-        "pdp": explain.pdp(explain.pdp_ice(model, valid, cols, leaders, seed=seed)),
+        "pdp": explain.pdp(explain.pdp_ice(model, valid, cols, leaders, max_rows=pdp_rows, seed=seed)),
         "rules": explain.surrogate_rules(tree, cols, valid),
         "fidelity": fidelity,
     }

@@ -721,7 +721,7 @@ def q_rank_agreement(spark, sf):
 
 def q_pdp_ice(spark, sf):
     model, _, valid = _reference(spark, sf)
-    return explain.pdp(explain.pdp_ice(model, valid, CORE, ["aa_000", "ag_003"]))
+    return explain.pdp(explain.pdp_ice(model, valid, CORE, ["aa_000", "ag_003"], max_rows=None))
 
 
 def q_surrogate_tree(spark, sf):
@@ -737,7 +737,7 @@ def q_surrogate_rules(spark, sf):
 
 
 def q_rca_steps(spark, sf):
-    return rca.explain_run(X.cust_features(spark, sf), CORE, registry=quick(), repeats=2)["ranks"]
+    return rca.explain_run(X.cust_features(spark, sf), CORE, registry=quick(), repeats=2, shap_rows=None, pdp_rows=None)["ranks"]
 
 
 # --- causal discovery --------------------------------------------------------------

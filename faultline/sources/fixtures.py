@@ -141,10 +141,10 @@ def user_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_table(spark: SparkSession, sf_dir: str, algo: str = "LiNGAM") -> DataFrame:
-    """Weighted directed edges between weekdays of consecutive orders, one graph per nation.
+    """Weighted directed edges, one graph per nation, counted from the orders.
 
-    Order activity stands in for a discovered graph: nodes are the fixed names below,
-    runs are nations, and the weight is a signed share of that run's orders.
+    Order keys and prices pick source and target among seven fixed node names; the
+    frequent pairs of a nation become its edges, with a signed share as the weight.
     """
     names = ["aa_000", "f1", "f2", "f3", "f4", "f5", "class"]
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")

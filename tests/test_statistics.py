@@ -66,6 +66,14 @@ def test_kruskal_toy(spark):
     assert rows["good_feat"]["rank"] == 1 and rows["bad_feat"]["p_value"] == 1.0
 
 
+def test_one_row_features_do_not_divide_by_zero(spark):
+    df = spark.createDataFrame([(0, 1.0, None), (1, None, 2.0)], "label int, x double, y double")
+    assert {r["p_value"] for r in ranktests.kruskal_wallis(df, ["x", "y"]).collect()} == {1.0}
+    scores = spark.createDataFrame([(0.1, 0), (0.2, 0)], "prob double, label int")
+    assert {r["tpr"] for r in cost.roc_curve(scores).collect()} == {None}
+    assert cost.metrics_at(scores, 0.15).first()["auc"] is None
+
+
 def test_ks_against_scan(spark):
     pdf, df = frame(spark)
     got = {r["feature"]: r["stat"] for r in ranktests.ks_two_sample(df, ["a", "b", "c"], alpha=1.0).collect()}
