@@ -6,10 +6,8 @@ with zero counts, so the whole curve is one running count; the grid never meets
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from faultline.operators.prefix import running_counts
 from faultline.operators.ranktests import rank_sums

@@ -12,8 +12,6 @@ one base chunk, so no task holds a whole cell. All candidates are kept by an exa
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.operators.balancing import copula_balance, smote, smote_enn, smote_tomek
-from faultline.operators.cost import COST_FN, COST_FP, best_threshold_grid, metrics_at
+from faultline.operators.cost import best_threshold_grid, metrics_at
 from faultline.operators.models import fit_model, predict
 from faultline.operators.sampling import split_frames, stratified_kfold
 from faultline.operators.scaling import apply_affine, fit_standard

@@ -14,7 +14,7 @@ from faultline.operators import (
     missing, models, outliers, pairs, pca, profile, ranktests, sampling, scaling, selection,
 )
 from faultline.session import configure
-from faultline.plans import causal, experiment, prep, rca
+from faultline.plans import causal, experiment, rca
 from faultline.sources import csv as csv_source
 from faultline.sources import fixtures as X
 from faultline.sources import results
