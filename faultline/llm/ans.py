@@ -193,7 +193,16 @@ def write_token_files(
     order = ["doc_id", F.xxhash64("text")]
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     manifest = materialise(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(spool, _MANIFEST), "spool")
-    counted = manifest.select(F.explode(F.arrays_zip("id", "n")).alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n"))
+
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            ids, n = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            np.add.at(total, ids, n)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["id", "n"])
+
+    counted = manifest.select("id", "n").mapInArrow(combined, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = np.zeros(vocabulary, np.int64)
     for r in counted.collect():  # one row per id of the vocabulary at most
         counts[r["id"]] = r["n"]
