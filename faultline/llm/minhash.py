@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import WordHashes, materialise, mix, pieces, text_or_empty, texts_of, word_shingles
@@ -181,15 +181,23 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, docs: DataFrame, bands:
     """Pairs from different classes that share a bucket and whose signatures nearly agree.
 
     Only buckets with several classes are looked at. Their members are cut into blocks; two
-    blocks meet in one task, which compares 16 bits of each component. Signatures of pairs
+    blocks that may hold different classes meet in one task, which compares 16 bits of each component. Signatures of pairs
     at the threshold agree in that share of components give or take five deviations.
     """
     spark = docs.sparkSession
     of = buckets.join(labels, "doc", "left").select("doc", "bucket", F.coalesce("label", "doc").alias("label"))
     of = materialise(of, "members")
-    sizes = of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    sizes = materialise(sizes.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    member = materialise(of.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "mixed")
+    per = of.groupBy("bucket", "label").agg(F.count("*").alias("n")).withColumn("large", F.when(F.col("n") >= BLOCK, F.col("label")))
+    # A class of a block or more has blocks of its own, which don't meet each other; the rest share blocks.
+    groups = per.groupBy("bucket", "large").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("classes"))
+    whole = Window.partitionBy("bucket")
+    groups = groups.withColumns({
+        "after": F.sum("blocks").over(whole.orderBy("large")), "all_blocks": F.sum("blocks").over(whole), "classes": F.sum("classes").over(whole),
+    }).filter("classes > 1").select("bucket", "large", "blocks", (F.col("after") - F.col("blocks")).cast("int").alias("first"), F.col("all_blocks").cast("int"))
+    same = groups.withColumnsRenamed({"bucket": "g_bucket", "large": "g_large"})
+    per = materialise(per.join(same, (F.col("bucket") == F.col("g_bucket")) & F.col("large").eqNullSafe(F.col("g_large")))
+                      .select("bucket", "label", "large", "blocks", "first", "all_blocks"), "mixed")
+    member = materialise(of.join(per, ["bucket", "label"]).withColumn("block", F.col("first") + F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")), "mixed")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,9 +208,11 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, docs: DataFrame, bands:
 
     needed = docs.join(member.select("doc").distinct(), "doc", "left_semi")
     sketches = materialise(needed.mapInArrow(sketch, "doc long, sketch binary"), "sketches")
-    # Block i meets the blocks j >= i: a member goes to as many meetings as its bucket has blocks.
-    meeting = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    met = member.select("doc", "bucket", "label", "block", F.explode(meeting).alias("m")).select("doc", "bucket", "label", "block", "m.i", "m.j")
+    # A member goes to as many meetings as its bucket has blocks, less those of its own large class.
+    others = F.filter(F.sequence(F.lit(0), F.col("all_blocks") - 1),
+                      lambda j: F.col("large").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("blocks")))
+    met = member.select("doc", "bucket", "label", "block", F.explode(others).alias("j")).select(
+        "doc", "bucket", "label", "block", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"))
     met = met.join(sketches, "doc").select("bucket", "i", "j", "block", "doc", "label", "sketch")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
