@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,25 @@ def rank_transform(
 def spearman_matrix(
     df: DataFrame, cols: Sequence[str], id_col: str = "row_id", large: bool | None = None
 ) -> DataFrame:
-    """``(a, b, rho)`` for all column pairs, from ranks over each column's own values.
+    """``(a, b, rho)`` for all ordered column pairs, each on the rows complete for the pair.
 
-    For columns with NULLs on different rows, ``spearman_with`` ranks each pair on the
-    rows complete for that pair.
+    Columns without NULLs share one rank per value; a column with NULLs is compared with
+    every other one by ``spearman_with``.
     """
-    # Ranks are spread evenly over 1..n, so their sums need no centring pass.
-    return pearson_matrix(rank_transform(df, cols, id_col, large), cols, center={}).withColumnRenamed("r", "rho")
+    cols = list(cols)
+    gaps = df.agg(*[F.max(finite_or_null(c).isNull().cast("int")).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    gappy = [c for i, c in enumerate(cols) if gaps[f"g{i}"]]
+    complete = [c for c in cols if c not in gappy]
+    parts = []
+    if complete:
+        # Ranks are spread evenly over 1..n, so their sums need no centring pass.
+        parts.append(pearson_matrix(rank_transform(df, complete, id_col, large), complete, center={}).withColumnRenamed("r", "rho"))
+    for k, g in enumerate(gappy):
+        # Each pair once: with the complete columns, itself and the gappy ones after it.
+        half = spearman_with(df, [*complete, *gappy[k:]], g, large)
+        there = half.select(F.col("feature").alias("a"), F.lit(g).alias("b"), "rho")
+        parts += [there, there.where(F.col("a") != g).select(F.lit(g).alias("a"), F.col("a").alias("b"), "rho")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def spearman_with(df: DataFrame, cols: Sequence[str], ref: str, large: bool | None = None) -> DataFrame:
@@ -88,10 +101,10 @@ def mean_family_correlation(
     wide = df.select(
         id_col, *features, *[sum((zero(c) for c in b), F.lit(0.0)).alias(totals[f]) for f, b in families.items()]
     )
-    rho = spearman_matrix(wide, [*features, *totals.values()], id_col)
+    # One comparison per family, each pair on its complete rows.
+    rho = reduce(DataFrame.unionByName, [spearman_with(wide, features, t) for t in totals.values()])
     return (
-        rho.where(F.col("a").isin(list(features)) & F.col("b").isin(list(totals.values())))
-        .groupBy(F.col("a").alias("feature"))
+        rho.groupBy("feature")
         .agg(F.coalesce(F.avg(F.abs("rho")), F.lit(0.0)).alias("avg_corr"))
     )
 

@@ -239,12 +239,12 @@ def rank_agreement(compared: DataFrame) -> DataFrame:
 
 def pdp_ice(
     model, df: DataFrame, cols: Sequence[str], features: Sequence[str] | None = None, points: int = 20,
-    max_rows: int | None = 2000, seed: int = 42, id_col: str = "row_id",
+    max_rows: int | None = None, seed: int = 42, id_col: str = "row_id",
 ) -> DataFrame:
     """``(feature, grid, value, id, ice)``: probability of each row with a feature set to a grid value.
 
-    The grid spans the exact 5th-95th percentiles. ``max_rows`` bounds the individual
-    curves, as a parameter of the report; None takes every row.
+    The grid spans the exact 5th-95th percentiles. Every row has a curve
+    unless ``max_rows`` bounds them.
     """
     trees = read_trees(model)
     features = list(features or cols)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import cut_lineage
+
 TARGET, TIME = "class", "aa_000"
 # Tiers of feature groups; a higher tier cannot cause a lower one.
 TIERS = {"Global": 0, "Secondary": 1, "Diagnostic": 2}
@@ -82,32 +84,34 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select("run_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def _distances(edges: DataFrame, target: str, max_nodes: int) -> DataFrame:
-    """``(run_id, hops MAP<node, edges to target>)`` by breadth-first search per run.
+_HOPS = 4  # hops searched in one job
 
-    A run's edge set holds at most n*(n-1) pairs, so its distinct set fits a row.
-    """
-    sets = edges.groupBy("run_id").agg(F.collect_set(F.struct("src", "dst")).alias("es"))
-
-    def step(found: Column, i: Column) -> Column:
-        known = F.transform(found, lambda e: e["node"])
-        fresh = F.array_distinct(
-            F.transform(
-                F.filter("es", lambda e: F.array_contains(known, e["dst"]) & ~F.array_contains(known, e["src"])),
-                lambda e: e["src"],
-            )
-        )
-        return F.concat(found, F.transform(fresh, lambda n: F.struct(n.alias("node"), i.alias("hops"))))
 
-    start = F.array(F.struct(F.lit(target).alias("node"), F.lit(0).alias("hops")))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(max_nodes)), start, step)
-    return sets.select("run_id", F.inline(found))
+def _distances(edges: DataFrame, target: str) -> DataFrame:
+    """``(run_id, node, hops)``: edges on the shortest way to the target, by breadth-first search.
 
-
-def node_roles(edges: DataFrame, nodes: DataFrame | None = None, target: str = TARGET, time: str = TIME, max_nodes: int = 32) -> DataFrame:
+    Joins on ``(run_id, node)`` go on until no node is new, however long the paths are.
+    """
+    e = cut_lineage(edges.select("run_id", "src", F.col("dst").alias("node")).distinct())
+    found = e.select("run_id", F.lit(target).alias("node"), F.lit(0).alias("hops")).distinct()
+    frontier, depth = found, 0
+    while True:
+        step, seen = frontier, None
+        for _ in range(_HOPS):
+            step = step.join(e, ["run_id", "node"]).select("run_id", F.col("src").alias("node"), (F.col("hops") + 1).alias("hops")).distinct()
+            seen = step if seen is None else seen.unionByName(step)
+        fresh = cut_lineage(seen.groupBy("run_id", "node").agg(F.min("hops").alias("hops")).join(found, ["run_id", "node"], "left_anti"))
+        found, depth = found.unionByName(fresh), depth + _HOPS
+        # Only nodes at the rim can have further ones behind them.
+        frontier = fresh.where(F.col("hops") == depth)
+        if not frontier.limit(1).count():
+            return found
+
+
+def node_roles(edges: DataFrame, nodes: DataFrame | None = None, target: str = TARGET, time: str = TIME) -> DataFrame:
     """Unconnected, Physical Root (no parents, or only time) or Mediator, by reach of the class."""
     nodes = nodes if nodes is not None else nodes_of(edges)
-    reach = _distances(edges, target, max_nodes).select("run_id", "node", F.lit(1).alias("hit"))
+    reach = _distances(edges, target).select("run_id", "node", F.lit(1).alias("hit"))
     parents = edges.select("run_id", F.col("dst").alias("node"), "src").distinct().groupBy("run_id", "node").agg(
         F.count("*").alias("n_in"), F.max((F.col("src") == time).cast("int")).alias("by_time")
     )
@@ -122,9 +126,9 @@ def node_roles(edges: DataFrame, nodes: DataFrame | None = None, target: str = T
     )
 
 
-def graph_structure(edges: DataFrame, target: str = TARGET, max_nodes: int = 32) -> DataFrame:
+def graph_structure(edges: DataFrame, target: str = TARGET) -> DataFrame:
     """Ancestors of the target as root (in-degree 0) or mediator, and whether a direct parent."""
-    reach = _distances(edges, target, max_nodes).where(F.col("node") != target)
+    reach = _distances(edges, target).where(F.col("node") != target)
     n_in = edges.select("run_id", F.col("dst").alias("node"), "src").distinct().groupBy("run_id", "node").agg(F.count("*").alias("n_in"))
     return reach.join(n_in, ["run_id", "node"], "left").select(
         "run_id", "node",
@@ -190,9 +194,9 @@ def hybrid_layers(edges: DataFrame, target: str = TARGET, time: str = TIME) -> D
     return ends.unionByName(second.withColumn("layer", F.lit(2))).unionByName(third.withColumn("layer", F.lit(3)))
 
 
-def path_depth(edges: DataFrame, nodes: DataFrame | None = None, target: str = TARGET, max_nodes: int = 32) -> DataFrame:
+def path_depth(edges: DataFrame, nodes: DataFrame | None = None, target: str = TARGET) -> DataFrame:
     """Layer = 10 - nodes on the shortest path to the class; class 10, no path 0."""
     nodes = nodes if nodes is not None else nodes_of(edges)
-    hops = _distances(edges, target, max_nodes)
+    hops = _distances(edges, target)
     layer = F.when(F.col("node") == target, 10).when(F.col("hops").isNull(), 0).otherwise(10 - (F.col("hops") + 1))
     return nodes.join(hops, ["run_id", "node"], "left").select("run_id", "node", layer.cast("int").alias("layer"))

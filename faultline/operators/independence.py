@@ -14,27 +14,49 @@ from faultline.functions.numeric import chi2_sf
 Test = tuple[str, str, tuple[str, ...]]
 
 
+def _ranges(df: DataFrame, names: Sequence[str], levels: int) -> tuple[dict[str, int], dict[str, int]]:
+    """Lowest code (at most 0) and number of codes (at least ``levels``) of each column."""
+    row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("a", F.min), ("b", F.max))]).first()
+    low = {c: min(int(row[f"a{i}"] or 0), 0) for i, c in enumerate(names)}
+    return low, {c: max(int(row[f"b{i}"] or 0) - low[c] + 1, levels) for i, c in enumerate(names)}
+
+
+def _weights(radices: Sequence[int]) -> np.ndarray:
+    weights = [1]
+    for r in radices:
+        weights.append(weights[-1] * r)
+    if weights[-1] > 1 << 62:
+        raise ValueError("the columns of a test have too many codes; discretise them first")
+    return np.array(weights[:-1], dtype="int64")
+
+
 def contingency(df: DataFrame, tests: Sequence[Test], levels: int = 3, by: str | None = None) -> DataFrame:
-    """``([by,] test, z, x, y, n)``: counts of integer codes 0..levels-1 for each (x, y | z).
+    """``([by,] test, z, x, y, n)``: counts of integer codes for each (x, y | z).
+
+    ``z`` numbers the strata: the codes of the conditioning columns as digits, the first one
+    lowest. Codes outside 0..levels-1 widen the radix of their column, so that they keep apart;
+    tests whose columns span more than 2^62 cells are refused.
 
     Tests over the same set of variables share one count. Each task folds its rows into
-    the cells that occur, at most levels**|set|, and emits only those.
+    the cells that occur and emits only those.
     """
     tests = list(tests)
     names = sorted({c for x, y, z in tests for c in (x, y, *z)})
     at = {c: i for i, c in enumerate(names)}
     sets = sorted({tuple(sorted({x, y, *z})) for x, y, z in tests})
-    weights = {s: levels ** np.arange(len(s), dtype="int64") for s in sets}
+    low, radix = _ranges(df, names, levels)
+    weights = {s: _weights([radix[c] for c in s]) for s in sets}
+    base = np.array([low[c] for c in names], dtype="int64")
     key = [by] if by else []
 
     def cells(run, counts):
         for t, (x, y, z) in enumerate(tests):
             s = tuple(sorted({x, y, *z}))
             code, size = counts[s]
-            digit = {c: code // w % levels for c, w in zip(s, weights[s])}
-            strata = sum((digit[c] * levels**k for k, c in enumerate(z)), np.zeros(len(code), dtype="int64"))
-            out = pd.DataFrame({"test": np.int32(t), "z": strata, "x": digit[x].astype("int32"),
-                                "y": digit[y].astype("int32"), "n": size})
+            digit = {c: code // w % radix[c] for c, w in zip(s, weights[s])}
+            strata = sum((digit[c] * w for c, w in zip(z, _weights([radix[c] for c in z]))), np.zeros(len(code), dtype="int64"))
+            out = pd.DataFrame({"test": np.int32(t), "z": strata, "x": (digit[x] + low[x]).astype("int32"),
+                                "y": (digit[y] + low[y]).astype("int32"), "n": size})
             if by:
                 out.insert(0, by, run)
             yield out
@@ -43,7 +65,7 @@ def contingency(df: DataFrame, tests: Sequence[Test], levels: int = 3, by: str |
         held: dict = {}
         for pdf in batches:
             for run, part in pdf.groupby(by, sort=False) if by else [(None, pdf)]:
-                codes = part[names].to_numpy(dtype="int64")
+                codes = part[names].to_numpy(dtype="int64") - base
                 mine = held.setdefault(run, {})
                 for s in sets:
                     code, size = np.unique(codes[:, [at[c] for c in s]] @ weights[s], return_counts=True)

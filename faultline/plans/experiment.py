@@ -172,11 +172,15 @@ def experiment_grid(
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
+def _ranked(runs: DataFrame) -> DataFrame:
+    w = Window.partitionBy("feature_set").orderBy("cost_mean", "run_name")
+    return runs.withColumn("set_rank", F.row_number().over(w))
+
+
 def experiment_leaderboard(runs: DataFrame, top_n: int = 20) -> DataFrame:
     """Runs by mean cost, with the position inside their feature set."""
-    w = Window.partitionBy("feature_set").orderBy("cost_mean", "run_name")
-    return runs.withColumn("set_rank", F.row_number().over(w)).orderBy("cost_mean", "run_name").limit(top_n)
+    return _ranked(runs).orderBy("cost_mean", "run_name").limit(top_n)
 
 
 def best_per_feature_set(runs: DataFrame) -> DataFrame:
-    return experiment_leaderboard(runs, 2**31 - 1).where("set_rank = 1")
+    return _ranked(runs).where("set_rank = 1")

@@ -13,7 +13,7 @@ _FITTED: dict[tuple, tuple] = {}
 
 def shared_reference(df: DataFrame, cols: Sequence[str], registry):
     """Reference model fitted once per session and table."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(cols))
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(cols), repr(registry))
     if key not in _FITTED:
         model, train, valid = explain.reference_model(df, cols, registry=registry)
         _FITTED[key] = (model, train, valid.persist())
@@ -21,12 +21,12 @@ def shared_reference(df: DataFrame, cols: Sequence[str], registry):
 
 
 def explain_run(
-    df: DataFrame, cols: Sequence[str], seed: int = 42, registry=None, repeats: int = 10, shap_rows: int | None = 5000,
-    pdp_rows: int | None = 2000, pdp_top: int = 3, surrogate_depth: int = 3, top_k: int = 5,
+    df: DataFrame, cols: Sequence[str], seed: int = 42, registry=None, repeats: int = 10, shap_rows: int | None = None,
+    pdp_rows: int | None = None, pdp_top: int = 3, surrogate_depth: int = 3, top_k: int = 5,
 ) -> dict[str, object]:
     """Fit, threshold, attributions, cost importance, rank comparison, partial dependence, rules.
 
-    ``shap_rows`` and ``pdp_rows`` bound the rows explained in the report; None takes all.
+    All rows are explained; ``shap_rows`` and ``pdp_rows`` bound them for a quick look.
     """
     from faultline.operators.order import seeded_take
 

@@ -578,4 +578,17 @@ SELECT DISTINCT run_id, 'aa_000' AS node, 1 AS layer FROM hyb UNION ALL SELECT r
 UNION ALL SELECT DISTINCT run_id, 'class', 4 FROM hyb"""
     o["path_depth"] = rec(edges("lin", 1), CLEAN, HYB, reach("hyb")) + """SELECT n.run_id, n.node, CAST(CASE WHEN n.node = 'class' THEN 10 WHEN hops IS NULL THEN 0 ELSE 9 - hops END AS INT) AS layer
 FROM nodes n LEFT JOIN dist d ON n.run_id = d.run_id AND n.node = d.node"""
+    chain = """WITH s AS (SELECT DISTINCT p_size AS size FROM part), r AS (SELECT 's' || size AS node, row_number() OVER (ORDER BY size) AS up,
+ row_number() OVER (ORDER BY size DESC) AS hops FROM s)"""
+    o["node_roles_chain"] = chain + " SELECT CAST(1 AS BIGINT) AS run_id, node, CASE WHEN up = 1 THEN 'Physical Root' ELSE 'Mediator' END AS role FROM r"
+    o["path_depth_chain"] = chain + """ SELECT CAST(1 AS BIGINT) AS run_id, node, CAST(9 - hops AS INT) AS layer FROM r
+ UNION ALL SELECT CAST(1 AS BIGINT), 'class', CAST(10 AS INT)"""
+    wide = "WITH w AS (SELECT c_custkey % 2 * 3 AS a, c_custkey % 2 AS b, c_nationkey % 5 * 7 - 7 AS c FROM customer) "
+    o["contingency_wide_codes"] = wide + " UNION ALL ".join(
+        f"SELECT CAST({t} AS INT) AS test, CAST({z} AS BIGINT) AS z, CAST({x} AS INT) AS x, CAST({y} AS INT) AS y, count(*) AS n FROM w GROUP BY ALL"
+        for t, (x, y, z) in enumerate([("a", "b", "0"), ("a", "c", "0"), ("b", "c", "a")]))
+    gaps = ["aa_000", "ba_000", "na_mid", "na_low"]
+    o["spearman_matrix_gaps"] = with_(CUST) + " UNION ALL ".join(
+        f"""SELECT '{a}' AS a, '{b}' AS b, {r6('corr(u, v)', 'rho')} FROM (SELECT {avg_rank(a)} AS u, {avg_rank(b)} AS v FROM cust
+ WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" for a in gaps for b in gaps)
     return o

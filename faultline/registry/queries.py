@@ -26,6 +26,7 @@ NUMERIC = ["aa_000", *X.AG, *X.AY, *X.CN, *X.BA]
 WITH_GAPS = ["aa_000", *X.AG, *X.GAPPY]
 SEED = 42
 THRESHOLD = 0.3
+GAPS = ["aa_000", "ba_000", "na_mid", "na_low"]
 
 
 def r6(c: Column | str, digits: int = 6) -> Column:
@@ -798,6 +799,33 @@ def q_node_roles(spark, sf):
     return graphs.node_roles(q_edge_cleanup(spark, sf))
 
 
+def _size_chain(spark, sf):
+    """A path over all part sizes, one hop from each to the next larger, the largest to the class."""
+    sizes = X.table(spark, sf, "part").select(F.col("p_size").cast("long").alias("size")).distinct()
+    after = F.lead("size").over(Window.partitionBy(F.lit(1)).orderBy("size"))
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    return sizes.select(F.lit(1).cast("long").alias("run_id"), name(F.col("size")).alias("src"), F.coalesce(name(after), F.lit("class")).alias("dst"))
+
+
+def q_node_roles_chain(spark, sf):
+    return graphs.node_roles(_size_chain(spark, sf))
+
+
+def q_path_depth_chain(spark, sf):
+    return graphs.path_depth(_size_chain(spark, sf))
+
+
+def q_contingency_wide_codes(spark, sf):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    df = X.table(spark, sf, "customer").select(
+        (key % 2 * 3).cast("int").alias("a"), (key % 2).cast("int").alias("b"), (nation % 5 * 7 - 7).cast("int").alias("c"))
+    return independence.contingency(df, [("a", "b", ()), ("a", "c", ()), ("b", "c", ("a",))])
+
+
+def q_spearman_matrix_gaps(spark, sf):
+    return rounded(correlation.spearman_matrix(X.cust_features(spark, sf), GAPS), "rho")
+
+
 def q_graph_structure(spark, sf):
     return graphs.graph_structure(q_edge_cleanup(spark, sf))
 
