@@ -130,4 +130,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int = 1024,
         return pa.table({n: v if isinstance(v, pa.ChunkedArray) else pa.array(v.astype("int64")).cast(kinds[t])
                          for v, (n, t) in zip(values, fields)}).select(names)
 
-    return items.groupBy(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("bucket")).applyInArrow(run, PIECES)
+    # A group is little data and much work: deal groups out by number, which small sizes don't undo.
+    tasks = min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = items.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(groups))).repartition(tasks, "bucket")
+    return dealt.groupBy("bucket").applyInArrow(run, PIECES)
