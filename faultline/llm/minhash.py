@@ -29,7 +29,7 @@ from faultline.llm.common import WordHashes, materialise, mix, pieces, text_or_e
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
-BLOCK = 128  # members of a mixed bucket in one block; two blocks meet in a task
+BLOCK = 512  # members of a mixed bucket in one block; two blocks meet in a task
 MEMBERS = 64  # texts compared with one centre in one stretch
 
 _WORDS = WordHashes()
