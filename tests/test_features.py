@@ -144,7 +144,7 @@ def test_mice_equals_direct_computation(spark):
 
 def test_quantile_codes_drop_duplicate_edges(spark):
     df = spark.createDataFrame([(float(v),) for v in [0] * 8 + [1, 2, 3, 4]], "x double")
-    assert scaling.fit_quantile_edges(df, ["x"])["x"] == [pytest.approx(1 / 3)] or scaling.fit_quantile_edges(df, ["x"])["x"]
+    assert scaling.fit_quantile_edges(df, ["x"])["x"] == [pytest.approx(1 / 3)]
     codes = {r["x"] for r in scaling.quantile_discretise(df, ["x"]).collect()}
     assert codes == {0, 1}
 
