@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ BITMAP_BITS = 1 << 24
 
 _WORDS = WordHashes()
 _TOKEN = re.compile(r"\w+")
+_FACTORS = (mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)).tolist()  # one for each place of a mask
 
 
 def tokens_of(text: str) -> np.ndarray:
@@ -36,16 +38,23 @@ def tokens_of(text: str) -> np.ndarray:
     return _WORDS.of(_TOKEN.findall(text.lower()))
 
 
+def _tokens_of_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of many texts, one after another, and where each text's end."""
+    words = [_TOKEN.findall(t.lower()) for t in texts]
+    return _WORDS.of(list(chain.from_iterable(words))), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+
+
 def seed_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
-    """Hash of each window of the mask; none if the text is shorter than the mask."""
+    """Hash of each window of the mask; none if there are fewer tokens than the mask is long."""
     n = len(tokens) - len(mask) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
+    # Tokens are hashes already: a sum with odd factors tells their places apart.
     out = np.full(n, number + 1, np.uint64)
     for i, one in enumerate(mask):
         if one == "1":
-            out = mix(out * np.uint64(3) + tokens[i : i + n])
-    return out
+            out += tokens[i : i + n] * np.uint64(_FACTORS[i])
+    return mix(out)
 
 
 def benchmark_windows(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, text: str = "text") -> DataFrame:
@@ -102,25 +111,27 @@ def document_hits(docs: DataFrame, seen: np.ndarray, flank: int, masks: tuple[st
             rows = []
             texts = texts_of(batch.column(1))
             for a, b in pieces(texts):
-                for doc, t in zip(batch.column(0).slice(a, b - a).to_pylist(), texts[a:b]):
-                    tokens = tokens_of(t)
-                    found = [seed_hashes(tokens, m, k) for k, m in enumerate(masks)]
-                    at = [np.flatnonzero(known[h & places]) for h in found]
-                    if not any(map(len, at)):
-                        continue
-                    where = np.concatenate(at)
-                    hashes = np.concatenate([h[i] for h, i in zip(found, at)]).view(np.int64)
-                    order = np.argsort(where, kind="stable")
-                    where, hashes = where[order], hashes[order]
-                    start = 0
-                    while start < len(where):
-                        stop = start + 1
-                        while stop < len(where) and where[stop] - where[stop - 1] <= flank and where[stop] - where[start] <= 8 * flank:
-                            stop += 1
-                        first = max(0, int(where[start]) - flank)
-                        rows.append((doc, len(rows), first, tokens[first : int(where[stop - 1]) + flank].view(np.int64).tolist(),
-                                     [{"hash": h, "at": p} for h, p in zip(hashes[start:stop].tolist(), where[start:stop].tolist())]))
-                        start = stop
+                ids = batch.column(0).slice(a, b - a)
+                tokens, ends = _tokens_of_all(texts[a:b])
+                left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(tokens))  # tokens up to the document's end
+                found = [seed_hashes(tokens, m, k) for k, m in enumerate(masks)]
+                at = [np.flatnonzero(known[h & places] & (left[: len(h)] >= len(m))) for h, m in zip(found, masks)]
+                where = np.concatenate(at)
+                hashes = np.concatenate([h[i] for h, i in zip(found, at)]).view(np.int64)
+                order = np.argsort(where, kind="stable")
+                where, hashes = where[order], hashes[order]
+                of = np.searchsorted(ends, where, side="right")
+                start = 0
+                while start < len(where):
+                    d, stop = of[start], start + 1
+                    while (stop < len(where) and of[stop] == d and where[stop] - where[stop - 1] <= flank
+                           and where[stop] - where[start] <= 8 * flank):
+                        stop += 1
+                    begin = int(ends[d - 1]) if d else 0
+                    first, last = max(begin, int(where[start]) - flank), min(int(ends[d]), int(where[stop - 1]) + flank)
+                    rows.append((ids[int(d)].as_py(), len(rows), first - begin, tokens[first:last].view(np.int64).tolist(),
+                                 [{"hash": h, "at": p} for h, p in zip(hashes[start:stop].tolist(), (where[start:stop] - begin).tolist())]))
+                    start = stop
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(columns[0]), pa.int64()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64()),
