@@ -30,6 +30,7 @@ from faultline.llm.common import WordHashes, materialise, mix, pieces, text_or_e
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 BLOCK = 512  # members of a mixed bucket in one block; two blocks meet in a task
+BLOCK_CHARS = 1 << 13  # a longer text counts as several members
 MEMBERS = 64  # texts compared with one centre in one stretch
 
 _WORDS = WordHashes()
@@ -47,6 +48,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
+    if a[1].max() == 1 == b[1].max():
+        return len(common) / (len(a[0]) + len(b[0]) - len(common))
     v, w = a[1].astype(np.float64), b[1].astype(np.float64)
     # max(v_e/v_d, w_e/w_d) is v_e/v_d where v_e/w_e >= v_d/w_d: order the shingles of both by that ratio.
     union = np.union1d(a[0], b[0])
@@ -177,19 +180,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _mixed_pairs(buckets: DataFrame, labels: DataFrame, docs: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
-    """Pairs from different classes that share a bucket and whose signatures nearly agree.
+def _mixed_links(buckets: DataFrame, labels: DataFrame, docs: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
+    """Links ``(doc, centre)`` between different classes that share a bucket.
 
-    Only buckets with several classes are looked at. Their members are cut into blocks; two
-    blocks that may hold different classes meet in one task, which compares 16 bits of each component. Signatures of pairs
-    at the threshold agree in that share of components give or take five deviations.
+    Only buckets with several classes are looked at. Their members are cut into blocks of
+    bounded length; two blocks that may hold different classes meet in one task with their
+    texts. It compares 16 bits of each component first: signatures of pairs at the threshold
+    agree in that share of components give or take five deviations. What is left is verified
+    there, in the first bucket that the two share, so that only links leave the task.
     """
     spark = docs.sparkSession
-    of = buckets.join(labels, "doc", "left").select("doc", "bucket", F.coalesce("label", "doc").alias("label"))
+    size = docs.select("doc", F.greatest(F.lit(BLOCK_CHARS), F.length("text")).cast("long").alias("size"))
+    of = buckets.join(labels, "doc", "left").join(size, "doc").select("doc", "bucket", F.coalesce("label", "doc").alias("label"), "size")
     of = materialise(of, "members")
-    per = of.groupBy("bucket", "label").agg(F.count("*").alias("n")).withColumn("large", F.when(F.col("n") >= BLOCK, F.col("label")))
+    per = of.groupBy("bucket", "label").agg(F.sum("size").alias("n")).withColumn("large", F.when(F.col("n") >= BLOCK * BLOCK_CHARS, F.col("label")))
     # A class of a block or more has blocks of its own, which don't meet each other; the rest share blocks.
-    groups = per.groupBy("bucket", "large").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("classes"))
+    groups = per.groupBy("bucket", "large").agg(F.ceil(F.sum("n") / (BLOCK * BLOCK_CHARS)).cast("int").alias("blocks"), F.count("*").alias("classes"))
     whole = Window.partitionBy("bucket")
     groups = groups.withColumns({
         "after": F.sum("blocks").over(whole.orderBy("large")), "all_blocks": F.sum("blocks").over(whole), "classes": F.sum("classes").over(whole),
@@ -202,18 +208,20 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, docs: DataFrame, bands:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), texts_of(batch.column(1))
-            for a, b, s, _, _ in _signed(texts, bands, rows):
+            for a, b, s, keys, _ in _signed(texts, bands, rows):
                 low = (s & np.uint64(0xFFFF)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([r.tobytes() for r in low], pa.binary())], names=["doc", "sketch"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([r.tobytes() for r in low], pa.binary()),
+                     pa.array([k.tobytes() for k in keys.view("<i8")], pa.binary())], names=["doc", "text", "sketch", "bands"])
 
     needed = docs.join(member.select("doc").distinct(), "doc", "left_semi")
-    sketches = materialise(needed.mapInArrow(sketch, "doc long, sketch binary"), "sketches")
+    sketches = materialise(needed.select("doc", "text").mapInArrow(sketch, "doc long, text string, sketch binary, bands binary"), "sketches")
     # A member goes to as many meetings as its bucket has blocks, less those of its own large class.
     others = F.filter(F.sequence(F.lit(0), F.col("all_blocks") - 1),
                       lambda j: F.col("large").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("blocks")))
     met = member.select("doc", "bucket", "label", "block", F.explode(others).alias("j")).select(
         "doc", "bucket", "label", "block", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"))
-    met = met.join(sketches, "doc").select("bucket", "i", "j", "block", "doc", "label", "sketch")
+    met = met.join(sketches, "doc").select("bucket", "i", "j", "block", "doc", "label", "sketch", "bands", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = met.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     m = bands * rows
@@ -222,33 +230,34 @@ def _mixed_pairs(buckets: DataFrame, labels: DataFrame, docs: DataFrame, bands:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for row in zip(*columns):
-                if row[:3] != key:
-                    yield _agreeing(key, held, m, least)
-                    key, held = row[:3], []
-                held.append(row[3:])
-        yield _agreeing(key, held, m, least)
+            columns = [batch.column(i).to_pylist() for i in range(8)]
+            for *row, text in zip(*columns, texts_of(batch.column(8))):
+                if tuple(row[:3]) != key:
+                    yield _met(key, held, m, least, similarity)
+                    key, held = tuple(row[:3]), []
+                held.append((*row[3:], weighted_shingles(text)))
+        yield _met(key, held, m, least, similarity)
 
     return dealt.mapInArrow(run, "doc long, centre long").distinct()
 
 
-def _agreeing(key, held, m: int, least: float) -> pa.RecordBatch:
-    left, right = np.empty(0, np.int64), np.empty(0, np.int64)
+def _met(key, held, m: int, least: float, similarity: float) -> pa.RecordBatch:
+    """Links between the classes of two blocks (or within one) of the bucket ``key[0]``."""
+    found = []
     if key is not None and len(held) > 1:
-        block = np.array([r[0] for r in held])
-        doc, label = np.array([r[1] for r in held]), np.array([r[2] for r in held])
+        block, doc, label = (np.array(c) for c in zip(*(r[:3] for r in held)))
         s = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(len(held), m)
+        keys = np.frombuffer(b"".join(r[4] for r in held), "<i8").reshape(len(held), -1)
+        sets = [r[5] for r in held]
         a, b = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-        found = []
         for i in a.tolist():
             j = b[(label[b] != label[i]) & (doc[b] != doc[i])]
             if key[1] == key[2]:
                 j = j[doc[j] < doc[i]]
             j = j[(s[j] == s[i]).sum(axis=1) >= least]
-            found += [(max(doc[i], doc[k]), min(doc[i], doc[k])) for k in j.tolist()]
-        if found:
-            left, right = np.array(found, np.int64).T
+            j = j[keys[i][np.argmax(keys[j] == keys[i], axis=1)] == key[0]]
+            found += [(max(doc[i], doc[k]), min(doc[i], doc[k])) for k in j.tolist() if probability_jaccard(sets[i], sets[k]) >= similarity]
+    left, right = np.array(found, np.int64).reshape(-1, 2).T
     return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["doc", "centre"])
 
 
@@ -277,10 +286,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = materialise(given.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
     edges = materialise(_verified(pairs, texts, similarity), "links")
     labels = components(edges)
-    more = _mixed_pairs(shared.select("doc", "bucket"), labels, texts, bands, rows, similarity)
-    more = materialise(more.join(pairs, ["doc", "centre"], "left_anti"), "pairs")
+    more = materialise(_mixed_links(shared.select("doc", "bucket"), labels, texts, bands, rows, similarity), "links")
     if more.limit(1).count():
-        edges = materialise(edges.union(_verified(more, texts, similarity)), "links")
+        edges = edges.union(more)
         labels = components(edges)
     links = edges.select(F.explode(F.array("doc", "centre")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     classes = materialise(
