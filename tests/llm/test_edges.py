@@ -152,3 +152,10 @@ def test_languages(spark, none):
     assert langid.page_languages(pages.filter("false"), model).count() == 0
     with pytest.raises(ValueError):
         langid.page_languages(pages, langid.fit_trigrams(none))
+
+
+def test_similarity_at_the_threshold_is_exact():
+    ones = np.ones(9, np.int64)
+    a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)
+    assert minhash.probability_jaccard((a, ones), (b, ones)) == 0.8
+    assert minhash.probability_jaccard((a, 2 * ones), (b, 2 * ones)) == pytest.approx(0.8)
