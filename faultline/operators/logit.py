@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions.numeric import normal_sf2
+from faultline.functions.numeric import finite_or_null, normal_sf2
 from faultline.operators.pairs import pearson_matrix
-from faultline.operators.prefix import long_form
 
 Z95 = 1.959963984540054
 Z94 = 1.880793608151251
@@ -24,87 +23,105 @@ def _batched(
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Fit y ~ 1 [+ control] + f for all features at once: ``{f: (coef, covariance)}``.
 
-    One job per Newton round: the rows of all features meet their current coefficients
-    through a broadcast of one row per feature, and fold into 9 sums per feature.
+    One job per Newton round: every batch of rows folds into the sums of all features, so a
+    task sends out one row per sum, whatever it read. Features without a fit are left out.
     """
     d = 3 if control else 2
+    upper = np.triu_indices(d)
+    width = d + len(upper[0])
+    features = list(features)
     base = df.where(F.col(label).isNotNull()).select(
         F.col(label).cast("double").alias("_y"),
-        (F.col(control).cast("double") if control else F.lit(0.0)).alias("_a"),
-        *features,
+        (finite_or_null(control).cast("double") if control else F.lit(0.0)).alias("_a"),
+        *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)],
     )
-    tall = long_form(base.where(F.col("_a").isNotNull()), features, ["_y", "_a"]).persist()
-    beta = {f: np.zeros(d) for f in features}
-    out, live = {}, set(features)
+    base = base.where(F.col("_a").isNotNull()).persist()
+    beta = np.zeros((d, len(features)))
+    out, live = {}, list(range(len(features)))
     precision = np.zeros((d, d)) if prior is None else np.diag(1.0 / prior**2)
-    names = ["one", *(["a"] if control else []), "x"]
-    term = {"one": F.lit(1.0), "a": F.col("_a"), "x": F.col("value")}
-    spark = df.sparkSession
     try:
         for _ in range(rounds):
-            params = spark.createDataFrame(
-                [(f, *map(float, beta[f])) for f in sorted(live)],
-                "feature string, " + ", ".join(f"b{i} double" for i in range(d)),
-            )
-            eta = sum((F.col(f"b{i}") * term[t] for i, t in enumerate(names)), F.lit(0.0))
-            p = 1.0 / (1.0 + F.exp(-eta))
-            rows = tall.join(F.broadcast(params), "feature").select("feature", "_y", "_a", "value", p.alias("p"))
-            w = F.col("p") * (1 - F.col("p"))
-            sums = [F.sum((F.col("_y") - F.col("p")) * term[t]).alias(f"g{i}") for i, t in enumerate(names)]
-            sums += [
-                F.sum(w * term[names[i]] * term[names[j]]).alias(f"h{i}{j}") for i in range(d) for j in range(i, d)
-            ]
-            for r in rows.groupBy("feature").agg(*sums).collect():
-                f = r["feature"]
-                g = np.array([r[f"g{i}"] for i in range(d)]) - precision @ beta[f]
-                h = np.array([[r[f"h{min(i, j)}{max(i, j)}"] for j in range(d)] for i in range(d)]) + precision
-                try:
-                    cov = np.linalg.inv(h)
-                except np.linalg.LinAlgError:
-                    live.discard(f)
-                    continue
-                step = cov @ g
-                beta[f] = beta[f] + np.clip(step, -5, 5)
-                if not np.isfinite(beta[f]).all() or np.abs(beta[f]).max() > 1e6:
-                    live.discard(f)
-                elif np.abs(step).max() < tol:
-                    out[f] = (beta[f], cov)
-                    live.discard(f)
             if not live:
                 break
+            sums = _feature_sums(base, live, beta[:, live], width)
+            still = []
+            for j, i in enumerate(live):
+                h = np.zeros((d, d))
+                h[upper] = sums[d:, j]
+                h = h + np.triu(h, 1).T + precision
+                # Collinear terms leave a matrix that is singular but for rounding.
+                if not np.isfinite(h).all() or np.linalg.cond(h) > 1e12:
+                    continue
+                cov = np.linalg.inv(h)
+                step = cov @ (sums[:d, j] - precision @ beta[:, i])
+                beta[:, i] += np.clip(step, -5, 5)
+                if np.abs(step).max() < tol:
+                    out[features[i]] = (beta[:, i].copy(), cov)
+                elif np.abs(beta[:, i]).max() <= 1e6:
+                    still.append(i)
+            live = still
     finally:
-        tall.unpersist()
+        base.unpersist()
     return out
 
 
+def _feature_sums(base: DataFrame, live: Sequence[int], beta: np.ndarray, width: int) -> np.ndarray:
+    """Gradient and upper triangle of the information, a column for each feature ``x<i>``; its NULL and NaN rows don't count."""
+    d, cols = len(beta), [f"x{i}" for i in live]
+    shape = (width, len(cols))
+
+    def partial(batches):
+        total = np.zeros(shape)
+        for pdf in batches:
+            y, a = pdf["_y"].to_numpy(dtype=float)[:, None], pdf["_a"].to_numpy(dtype=float)[:, None]
+            x = pdf[cols].to_numpy(dtype=float)
+            seen = np.isfinite(x)
+            x = np.where(seen, x, 0.0)
+            terms = [np.ones_like(a), a, x] if d == 3 else [np.ones_like(a), x]
+            with np.errstate(over="ignore"):
+                p = 1.0 / (1.0 + np.exp(-sum(b * t for b, t in zip(beta, terms))))
+            e, w = np.where(seen, y - p, 0.0), np.where(seen, p * (1 - p), 0.0)
+            parts = [e * t for t in terms] + [w * terms[i] * terms[j] for i in range(d) for j in range(i, d)]
+            total += np.stack([q.sum(axis=0) for q in parts])
+        yield pd.DataFrame({"k": np.arange(total.size, dtype="int32"), "v": total.ravel()})
+
+    flat = np.zeros(width * len(cols))
+    rows = base.select("_y", "_a", *cols).mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    for r in rows.collect():
+        flat[r["k"]] = r["v"]
+    return flat.reshape(shape)
+
+
 def age_adjusted_logit(
     df: DataFrame, features: Sequence[str], control: str = "aa_000", label: str = "label", rounds: int = 30, tol: float = 1e-9
 ) -> DataFrame:
     """logit(y) ~ 1 + age + feature for each feature, largest |coefficient| first.
 
     Columns are expected on a standardised scale; a feature that does not converge
-    (separation, collinearity) is left out.
+    (separation, collinearity) comes last, with ``converged`` false and NULLs.
     """
-    fits = _batched(df, [f for f in features if f != control], control, label, None, rounds, tol)
-    return _wald(df.sparkSession, {f: (b[2], v[2, 2], b[1]) for f, (b, v) in fits.items()})
+    wanted = [f for f in features if f != control]
+    fits = _batched(df, wanted, control, label, None, rounds, tol)
+    return _wald(df.sparkSession, wanted, {f: (b[2], v[2, 2], b[1]) for f, (b, v) in fits.items()})
 
 
 def univariate_age_logit(df: DataFrame, control: str = "aa_000", label: str = "label", rounds: int = 30, tol: float = 1e-9) -> DataFrame:
     """logit(y) ~ 1 + age, in the same shape; its own control effect is 0."""
     fits = _batched(df, [control], None, label, None, rounds, tol)
-    return _wald(df.sparkSession, {f: (b[1], v[1, 1], 0.0) for f, (b, v) in fits.items()})
+    return _wald(df.sparkSession, [control], {f: (b[1], v[1, 1], 0.0) for f, (b, v) in fits.items()})
 
 
-def _wald(spark, fits: dict[str, tuple[float, float, float]]) -> DataFrame:
+def _wald(spark, features: Sequence[str], fits: dict[str, tuple[float, float, float]]) -> DataFrame:
     rows = []
     for f, (coef, var, age) in fits.items():
         se = math.sqrt(max(var, 0.0))
         p = normal_sf2(coef / se) if se > 0 else 1.0
         coef = float(coef)
-        rows.append((f, coef, math.exp(min(coef, 700)), p, coef - Z95 * se, coef + Z95 * se, float(age)))
+        rows.append((f, coef, math.exp(min(coef, 700)), p, coef - Z95 * se, coef + Z95 * se, float(age), True))
     rows.sort(key=lambda r: (-abs(r[1]), r[0]))
+    rows += [(f, *[None] * 6, False) for f in sorted(set(features) - set(fits))]
     return spark.createDataFrame(
-        rows, "feature string, coef double, odds_ratio double, p_value double, lower_ci double, upper_ci double, age_coef double"
+        rows, "feature string, coef double, odds_ratio double, p_value double, lower_ci double, upper_ci double, age_coef double, converged boolean"
     )
 
 
@@ -117,17 +134,19 @@ def bayes_logit_by_feature(
     Deviation: a Gaussian approximation at the mode, no sampling.
     """
     prior = np.array([sd_alpha, sd_beta, sd_beta])
-    fits = _batched(df, [f for f in features if f != control], control, label, prior, 50, 1e-9)
-    return _laplace(df.sparkSession, {f: (b[2], v[2, 2]) for f, (b, v) in fits.items()})
+    wanted = [f for f in features if f != control]
+    fits = _batched(df, wanted, control, label, prior, 50, 1e-9)
+    return _laplace(df.sparkSession, wanted, {f: (b[2], v[2, 2]) for f, (b, v) in fits.items()})
 
 
-def _laplace(spark, fits: dict[str, tuple[float, float]]) -> DataFrame:
+def _laplace(spark, features: Sequence[str], fits: dict[str, tuple[float, float]], converged: bool = True) -> DataFrame:
     rows = []
     for f, (mean, var) in fits.items():
         mean, se = float(mean), math.sqrt(max(var, 0.0))
-        rows.append((f, mean, math.exp(min(mean, 700)), mean - Z94 * se, mean + Z94 * se))
+        rows.append((f, mean, math.exp(min(mean, 700)), mean - Z94 * se, mean + Z94 * se, converged))
     rows.sort(key=lambda r: (-abs(r[1]), r[0]))
-    return spark.createDataFrame(rows, "feature string, mean double, odds_ratio double, hdi_3 double, hdi_97 double")
+    rows += [(f, *[None] * 4, False) for f in sorted(set(features) - set(fits))]
+    return spark.createDataFrame(rows, "feature string, mean double, odds_ratio double, hdi_3 double, hdi_97 double, converged boolean")
 
 
 def newton_sums(df: DataFrame, cols: Sequence[str], beta: np.ndarray, label: str) -> tuple[np.ndarray, np.ndarray]:
@@ -177,12 +196,14 @@ def bayes_logit(
     x = sample_scale(df.where(F.col(label).isNotNull()).select(label, *kept), kept).persist()
     beta = np.zeros(len(kept) + 1)
     precision = np.diag([1 / sd_alpha**2] + [1 / sd_beta**2] * len(kept))
+    converged = False
     for _ in range(rounds):
         g, h = newton_sums(x, kept, beta, label)
         cov = np.linalg.inv(h + precision)
         step = cov @ (g - precision @ beta)
         beta = beta + step
-        if np.abs(step).max() < tol:
+        converged = bool(np.abs(step).max() < tol)
+        if converged:
             break
     x.unpersist()
-    return _laplace(df.sparkSession, {f: (beta[i + 1], cov[i + 1, i + 1]) for i, f in enumerate(kept)})
+    return _laplace(df.sparkSession, kept, {f: (beta[i + 1], cov[i + 1, i + 1]) for i, f in enumerate(kept)}, converged)

@@ -23,7 +23,7 @@ def _with_bucket_offsets(
         "_b", F.substring("_h", 1, digits)
     )
     sizes = hashed.groupBy(*by, "_b").agg(F.count("*").alias("_bn"))
-    # 16**digits rows per group at most: a bounded table.
+    # 16**digits rows per group at most; with many groups that isn't small, so no hint to broadcast it.
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *[F.col(c).alias(f"_k_{c}") for c in by],
@@ -34,7 +34,7 @@ def _with_bucket_offsets(
     cond = F.col("_b") == F.col("_kb")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return hashed.join(F.broadcast(offsets), cond)
+    return hashed.join(offsets, cond)
 
 
 def seeded_rank(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.seeded import seeded_hash
-from faultline.operators.order import seeded_rank, seeded_take
+from faultline.operators.order import seeded_take
 from faultline.operators.pca import pca_fit, pca_transform
 from faultline.operators.prefix import quantiles
 from faultline.operators.scaling import apply_affine, fit_robust, standard_scale
@@ -57,13 +57,12 @@ def _grow(seed: int, limit: int):
 
 
 def tree_samples(df: DataFrame, trees: int, psi: int, seed: int, id_col: str) -> DataFrame:
-    """``(tree, id, vec)``: psi rows per tree without replacement, seeded."""
+    """``(tree, id, vec)``: psi rows per tree without replacement, seeded.
+
+    Every tree orders one seeded pool of at most ``trees * psi`` rows by its own hash, the
+    same way for tables of every size; trees may share rows.
+    """
     pool = seeded_take(df, trees * psi, (), seed, id_col)
-    ranked = seeded_rank(pool, (), seed, id_col, "rank")
-    n = pool.count()
-    if n >= trees * psi:
-        return ranked.select((F.pmod(F.col("rank"), F.lit(trees))).cast("int").alias("tree"), F.col(id_col).alias("id"), "vec")
-    # Fewer rows than slots: every tree orders the (bounded) pool by its own hash.
     ids = pool.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     w = Window.partitionBy("tree").orderBy(seeded_hash(seed, "tree", "id"), "id")
     chosen = ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
@@ -80,7 +79,7 @@ def isolation_scores(
     limit = math.ceil(math.log2(max(psi, 2)))
     # At most trees * (2 * psi - 1) nodes, whatever the size of the data.
     nodes = samples.groupBy("tree").applyInPandas(_grow(seed, limit), _NODES).toPandas()
-    size = samples.groupBy("tree").count().agg(F.max("count")).first()[0]
+    size = min(psi, vec.count())
     forest = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
         forest.append(tuple(t[c].to_numpy() for c in ("feature", "split", "left", "right", "depth")))

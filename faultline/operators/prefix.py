@@ -4,7 +4,7 @@ Input is always pre-aggregated to one row per ``(keys, value)``, so a value that
 holds a third of all rows is one row here. Small inputs use one window per key.
 Large ones are range-partitioned on ``(keys, value)`` and written to the checkpoint
 folder with their partition number; windows then run inside ``(keys, partition)``
-and the totals of earlier partitions are added from a small broadcast table. A hot
+and the totals of earlier partitions are joined to them. A hot
 key is thus spread over many tasks, and the result is exact in both forms.
 """
 
@@ -58,7 +58,8 @@ def running_counts(
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    # One row per key and slice: at most (number of slices + number of keys) rows.
+    # One row per key and slice: at most (number of slices + number of keys) rows. Keys may
+    # be many, so the planner decides by size whether to broadcast it.
     offsets = (
         ranged.groupBy(*keys, "_slice")
         .agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
@@ -78,7 +79,7 @@ def running_counts(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inner = ranged.select("*", *[F.sum(m).over(w).alias(f"_in_{m}") for m in measures])
-    return inner.join(F.broadcast(offsets), cond).select(
+    return inner.join(offsets, cond).select(
         *agg.columns,
         *[(F.col(f"_in_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures],
         *[f"tot_{m}" for m in measures],

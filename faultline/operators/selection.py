@@ -42,6 +42,14 @@ def rank_rfe_forest(
         left = [c for c, _ in scores[: max(n, len(left) - drop)]]
 
 
+def rank_forest(
+    df: DataFrame, cols: Sequence[str], n: int | None = None, label: str = "label", trees: int = 100, seed: int = 42
+) -> DataFrame:
+    """Forest importances, top n."""
+    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(_labelled(df, cols, label))
+    return _rank_frame(df.sparkSession, list(zip(cols, model.featureImportances.toArray())), n)
+
+
 def rank_from_model(df: DataFrame, cols: Sequence[str], label: str = "label", trees: int = 100, seed: int = 42) -> DataFrame:
     """Forest importances at or above their mean."""
     model = RandomForestClassifier(numTrees=trees, seed=seed).fit(_labelled(df, cols, label))
@@ -98,8 +106,16 @@ def consensus_vote(rankings: Mapping[str, DataFrame], n: int, needed: int = 2, i
 
 
 def select_union_fast(df: DataFrame, cols: Sequence[str], n: int, label: str = "label") -> DataFrame:
-    """Union of KS, boosted-tree and lasso top n."""
-    return consensus_union([_ranked(ks_two_sample(df, cols, label, 1.0)), rank_gbt(df, cols, n, label), rank_lasso(df, cols, n, label)], n)
+    """Union of the top n by KS (p at most 0.05), boosted trees and lasso (alpha 0.005)."""
+    ks = _ranked(ks_two_sample(df, cols, label, 0.05))
+    return consensus_union([ks, rank_gbt(df, cols, n, label), rank_lasso(df, cols, n, label, alpha=0.005)], n)
+
+
+def select_union(df: DataFrame, cols: Sequence[str], n: int, label: str = "label", trees: int = 100) -> DataFrame:
+    """Union of the top n by KS (p at most 0.05), mutual information and forest importance."""
+    ks = _ranked(ks_two_sample(df, cols, label, 0.05))
+    mi = _ranked(mutual_info_rank(df, cols, label), "mi")
+    return consensus_union([ks, mi, rank_forest(df, cols, n, label, trees)], n)
 
 
 def select_vote(df: DataFrame, cols: Sequence[str], n: int, label: str = "label", needed: int = 2) -> DataFrame:
@@ -122,8 +138,27 @@ def _ranked(df: DataFrame, stat: str = "stat") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def selection_stability(fold_features: DataFrame, folds: int, top_n: int = 20) -> DataFrame:
-    """``(feature, n_folds, pct)`` from ``(fold, features ARRAY)`` rows."""
+def chosen_names(picked: DataFrame, cols: Sequence[str]) -> list[str]:
+    """The features of a selection (one row per column name) in the order of ``cols``."""
+    names = {r["feature"] for r in picked.select("feature").collect()}
+    return [c for c in cols if c in names]
+
+
+# Selectors inside a fold, by name: (df, cols, n) -> column names.
+SELECTORS = {
+    "kruskal": lambda df, cols, n: chosen_names(top_features(kruskal_wallis(df, cols).select("feature", "rank"), n), cols),
+    "vote": lambda df, cols, n: chosen_names(select_vote(df, cols, n).where("selected = 1"), cols),
+    "union": lambda df, cols, n: chosen_names(select_union(df, cols, n), cols),
+    "union_fast": lambda df, cols, n: chosen_names(select_union_fast(df, cols, n), cols),
+    "rfe": lambda df, cols, n: chosen_names(rank_rfe_forest(df, cols, n), cols),
+    "lasso": lambda df, cols, n: chosen_names(rank_lasso(df, cols, n), cols),
+}
+
+
+def selection_stability(fold_features: DataFrame, folds: int | None = None, top_n: int = 20) -> DataFrame:
+    """``(feature, n_folds, pct)`` from ``(fold, features ARRAY)`` rows, one per fold; ``folds`` is their number."""
+    if folds is None:
+        folds = fold_features.count()
     return (
         fold_features.select(F.explode("features").alias("feature"))
         .groupBy("feature")

@@ -19,18 +19,20 @@ from faultline.operators.cost import best_threshold_grid, metrics_at
 from faultline.operators.models import fit_model, predict
 from faultline.operators.sampling import split_frames, stratified_kfold
 from faultline.operators.scaling import apply_affine, fit_standard
+from faultline.operators.selection import SELECTORS
 from faultline.plans.prep import fit_prep
 
 log = logging.getLogger(__name__)
 
-Selector = Callable[[DataFrame, Sequence[str]], list[str]]
+# A name of SELECTORS, or a function that returns column names.
+Selector = str | Callable[[DataFrame, Sequence[str]], list[str]]
 
 SAMPLERS = {"smote": smote, "smote_enn": smote_enn, "smote_tomek": smote_tomek, "copula": copula_balance}
 
 RUN_SCHEMA = (
     "model string, feature_set string, selector string, sampler string, tuning string, run_name string, "
     "cost_mean double, cost_std double, auc_mean double, f1_mean double, fit_time_mean double, "
-    "sampling_percentage double"
+    "sampling_percentage double, status string, message string"
 )
 FOLD_SCHEMA = (
     "fold int, auc double, cost double, f1 double, threshold double, fit_time double, pred_time double, "
@@ -40,16 +42,16 @@ FOLD_SCHEMA = (
 
 def _train(
     train: DataFrame, cols: Sequence[str], model: str, sampler: str | None, ratio: float,
-    selector: Selector | None, preprocess: bool, registry,
+    selector: Selector | None, preprocess: bool, registry, modules: bool, n_features: int,
 ):
     """Impute, select, balance, scale, fit; returns the fitted model and a scorer."""
-    prep = fit_prep(train, cols) if preprocess else None
+    prep = fit_prep(train, cols, modules=modules) if preprocess else None
     ready = prep.transform(train) if prep else train.select("row_id", "label", *cols)
     used = prep.output_columns() if prep else list(cols)
     ready = ready.persist()
     try:
         if selector is not None:
-            used = selector(ready, used)
+            used = SELECTORS[selector](ready, used, n_features) if isinstance(selector, str) else selector(ready, used)
         balanced = SAMPLERS[sampler](ready, used, ratio) if sampler else ready.select("row_id", "label", *used)
         scale = fit_standard(balanced, used)
         fitted = fit_model(model, apply_affine(balanced, scale), used, registry)
@@ -66,15 +68,18 @@ def _train(
 def cv_cost(
     df: DataFrame, cols: Sequence[str], model: str = "gbt", folds: int = 4, sampler: str | None = None,
     ratio: float = 1.0, selector: Selector | None = None, tune: bool = True, max_threshold: float = 0.4,
-    preprocess: bool = True, seed: int = 42, registry=None,
+    preprocess: bool = True, seed: int = 42, registry=None, modules: bool = False, n_features: int = 50,
 ) -> DataFrame:
-    """One row per fold: AUC, cost, macro-F1, threshold, times and selected features."""
+    """One row per fold: AUC, cost, macro-F1, threshold, times and selected features.
+
+    Imputation, missingness modules (``modules``) and selection are fitted inside each fold.
+    """
     marked = stratified_kfold(df.where("label is not null"), folds, seed=seed).persist()
     rows = []
     for f in range(folds):
         train, valid = marked.where(F.col("fold") != f).drop("fold"), marked.where(F.col("fold") == f).drop("fold")
         t0 = time.perf_counter()
-        _, used, score = _train(train, cols, model, sampler, ratio, selector, preprocess, registry)
+        _, used, score = _train(train, cols, model, sampler, ratio, selector, preprocess, registry, modules, n_features)
         t1 = time.perf_counter()
         scores = score(valid).persist()
         scores.count()
@@ -102,15 +107,15 @@ def fold_summary(folds: DataFrame) -> DataFrame:
 def evaluate_holdout(
     train: DataFrame, test: DataFrame, cols: Sequence[str], model: str = "gbt", sampler: str | None = None,
     ratio: float = 1.0, selector: Selector | None = None, tune: bool = True, max_threshold: float = 0.4,
-    preprocess: bool = True, seed: int = 42, registry=None,
+    preprocess: bool = True, seed: int = 42, registry=None, modules: bool = False, n_features: int = 50,
 ) -> DataFrame:
     """Tune the threshold on a stratified 20 %, refit on all of train, score test."""
     thr = 0.5
     if tune:
         fit_part, tune_part = split_frames(train, 0.8, seed=seed)
-        _, _, score = _train(fit_part, cols, model, sampler, ratio, selector, preprocess, registry)
+        _, _, score = _train(fit_part, cols, model, sampler, ratio, selector, preprocess, registry, modules, n_features)
         thr = best_threshold_grid(score(tune_part), max_threshold).first()["threshold"]
-    _, _, score = _train(train, cols, model, sampler, ratio, selector, preprocess, registry)
+    _, _, score = _train(train, cols, model, sampler, ratio, selector, preprocess, registry, modules, n_features)
     return metrics_at(score(test), thr)
 
 
@@ -147,39 +152,45 @@ def experiment_grid(
     preprocess: bool = True,
     seed: int = 42,
     registry=None,
+    modules: bool = False,
+    n_features: int = 50,
 ) -> DataFrame:
-    """Cross-validated cost of every configuration; a failing run is logged and skipped."""
+    """Cross-validated cost of every configuration, one row each.
+
+    A run that fails has the status ``failed``, the error as its message and NULL metrics.
+    """
     plan = run_plan(
         models, feature_sets, selectors or {"None": None}, samplers or {"No Sampling": None},
         tunings or {"Tuned Threshold": True}, percentages,
     )
     spark = next(iter(feature_sets.values()))[0].sparkSession
     rows = []
+    metrics = ["cost_mean", "cost_std", "auc_mean", "f1_mean", "fit_time_mean"]
     for p in plan:
         df, cols = feature_sets[p["feature_set"]]
         try:
             s = fold_summary(cv_cost(
                 df, cols, p["model"], folds, p["sample"], p["pct"] or 1.0, p["select"], p["tune"],
-                max_threshold, preprocess, seed, registry,
+                max_threshold, preprocess, seed, registry, modules, n_features,
             )).first()
+            got, status = [s[m] for m in metrics], ("ok", None)
         except Exception as e:  # noqa: BLE001 - one bad configuration must not stop the grid
             log.warning("run %s failed: %s", p["run_name"], e)
-            continue
+            got, status = [None] * len(metrics), ("failed", f"{type(e).__name__}: {e}")
         rows.append((
-            p["model"], p["feature_set"], p["selector"], p["sampler"], p["tuning"], p["run_name"],
-            s["cost_mean"], s["cost_std"], s["auc_mean"], s["f1_mean"], s["fit_time_mean"], p["pct"],
+            p["model"], p["feature_set"], p["selector"], p["sampler"], p["tuning"], p["run_name"], *got, p["pct"], *status,
         ))
     return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
 def _ranked(runs: DataFrame) -> DataFrame:
-    w = Window.partitionBy("feature_set").orderBy("cost_mean", "run_name")
+    w = Window.partitionBy("feature_set").orderBy(F.asc_nulls_last("cost_mean"), "run_name")
     return runs.withColumn("set_rank", F.row_number().over(w))
 
 
 def experiment_leaderboard(runs: DataFrame, top_n: int = 20) -> DataFrame:
     """Runs by mean cost, with the position inside their feature set."""
-    return _ranked(runs).orderBy("cost_mean", "run_name").limit(top_n)
+    return _ranked(runs).orderBy(F.asc_nulls_last("cost_mean"), "run_name").limit(top_n)
 
 
 def best_per_feature_set(runs: DataFrame) -> DataFrame:

@@ -500,7 +500,7 @@ SELECT n_dropped, n_failures, {r6('br', 'base_rate')}, {r6('CASE WHEN n_dropped
     o["consensus_union"] = ranks + "SELECT DISTINCT feature FROM tops"
     o["consensus_vote"] = ranks + """, v AS (SELECT feature, count(*) AS votes FROM tops GROUP BY feature)
 SELECT feature, votes, CAST(CASE WHEN max(votes) OVER () >= 2 THEN votes >= 2 ELSE row_number() OVER (ORDER BY votes DESC, feature) <= 4 END AS INT) AS selected FROM v"""
-    o["selection_stability"] = with_(edges("lin", 1)) + f"SELECT src AS feature, count(DISTINCT run_id) AS n_folds, {r6('count(DISTINCT run_id) / 25.0 * 100', 'pct')} FROM lin GROUP BY src ORDER BY n_folds DESC, feature LIMIT 20"
+    o["selection_stability"] = with_(edges("lin", 1)) + f"SELECT src AS feature, count(DISTINCT run_id) AS n_folds, {r6('count(DISTINCT run_id) / (SELECT CAST(count(DISTINCT run_id) AS DOUBLE) FROM lin) * 100', 'pct')} FROM lin GROUP BY src ORDER BY n_folds DESC, feature LIMIT 20"
     # cost
     o["normalised_scores"] = f"SELECT c_custkey AS row_id, {r6('(c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer)', 'prob')} FROM customer"
     o["cost_curve"] = with_(DOCS, curve("docs", GRID_TUNE)) + f"SELECT {CURVE_COLS} FROM curve"

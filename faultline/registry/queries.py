@@ -197,7 +197,7 @@ def q_module_connectivity(spark, sf):
 def q_hardware_fingerprint(spark, sf):
     """Nodes (features) by run (module) of the edge table."""
     e = X.edge_table(spark, sf).select(F.col("src").alias("feature"), F.concat(F.lit("m"), "run_id").alias("module"))
-    return missing.hardware_fingerprint(e.distinct(), [f"m{i}" for i in range(25)])
+    return missing.hardware_fingerprint(e.distinct())
 
 
 def q_hardware_fingerprint_fitted(spark, sf):
@@ -522,15 +522,15 @@ def q_rescue_groups(spark, sf):
 
 
 def q_rank_rfe_forest(spark, sf):
-    return selection.rank_rfe_forest(X.cust_features(spark, sf), CORE, 8, trees=10, step=0.2)
+    return selection.rank_rfe_forest(X.cust_features(spark, sf), CORE, 8)
 
 
 def q_rank_from_model(spark, sf):
-    return selection.rank_from_model(X.cust_features(spark, sf), CORE, trees=20)
+    return selection.rank_from_model(X.cust_features(spark, sf), CORE)
 
 
 def q_rank_gbt(spark, sf):
-    return selection.rank_gbt(X.cust_features(spark, sf), CORE, 5, iterations=5)
+    return selection.rank_gbt(X.cust_features(spark, sf), CORE, 5)
 
 
 def q_rank_lasso(spark, sf):
@@ -556,7 +556,7 @@ def q_consensus_vote(spark, sf):
 
 def q_selection_stability(spark, sf):
     e = X.edge_table(spark, sf).groupBy(F.col("run_id").alias("fold")).agg(F.collect_set("src").alias("features"))
-    return rounded(selection.selection_stability(e, 25), "pct")
+    return rounded(selection.selection_stability(e), "pct")
 
 
 # --- training and cost -------------------------------------------------------------
@@ -614,7 +614,7 @@ def q_roc_curve(spark, sf):
 
 def q_cv_cost(spark, sf):
     cols = [*CORE, "na_low", "na_mid", "na_high"]
-    return experiment.cv_cost(X.cust_features(spark, sf), cols, "logistic", 2, registry=quick())
+    return experiment.cv_cost(X.cust_features(spark, sf), cols, "logistic", modules=True, selector="kruskal")
 
 
 def q_fold_summary(spark, sf):
@@ -848,22 +848,22 @@ def _standard(spark, sf):
 
 def q_age_adjusted_logit(spark, sf):
     out = logit.age_adjusted_logit(_standard(spark, sf), CORE)
-    return rounded(out, *out.columns[1:])
+    return rounded(out, *out.columns[1:-1])
 
 
 def q_univariate_age_logit(spark, sf):
     out = logit.univariate_age_logit(_standard(spark, sf))
-    return rounded(out, *out.columns[1:])
+    return rounded(out, *out.columns[1:-1])
 
 
 def q_bayes_logit(spark, sf):
     out = logit.bayes_logit(X.cust_features(spark, sf), CORE)
-    return rounded(out, *out.columns[1:])
+    return rounded(out, *out.columns[1:-1])
 
 
 def q_bayes_logit_by_feature(spark, sf):
     out = logit.bayes_logit_by_feature(_standard(spark, sf), CORE)
-    return rounded(out, *out.columns[1:])
+    return rounded(out, *out.columns[1:-1])
 
 
 PRUNED = ["ag_total", "ay_total", "cn_total", "ba_total", "aa_000"]
@@ -875,10 +875,18 @@ def q_collinearity_prune(spark, sf):
     return rounded(df.agg(*[F.avg(c).alias(c) for c in kept]).unpivot([], kept, "feature", "mean"), "mean", digits=4)
 
 
-def q_experiment_rules_grid(spark, sf):
+def _rules_grid(spark, sf):
     df = missing.median_impute(X.cust_features(spark, sf), ["na_mid"])
     groups = {"aa_000": "Global", "ag_000": "Secondary", "ag_003": "Secondary", "ba_000": "Secondary", "na_mid": "Diagnostic"}
-    return causal.experiment_rules_grid(df, CAUSAL, groups)["nodes"]
+    return causal.experiment_rules_grid(df, CAUSAL, groups)
+
+
+def q_experiment_rules_grid(spark, sf):
+    return _rules_grid(spark, sf)["nodes"]
+
+
+def q_experiment_rules_edges(spark, sf):
+    return _rules_grid(spark, sf)["edges"]
 
 
 _RENAMED = {

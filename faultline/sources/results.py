@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from functools import reduce
 
@@ -54,7 +55,8 @@ def consolidate_runs(spark: SparkSession, base: str, kind: str) -> DataFrame:
     """Union the per-experiment files below ``base``; experiment and graph type from the name.
 
     Runs may differ in columns: files are grouped by their header line, each group is
-    one scan, and missing columns become NULL. All values are read as strings.
+    one scan, and missing columns become NULL. All values are read as strings. Files
+    without a line give no rows; if there are no others, only the added columns are left.
     """
     stem = "rca_node_details_*" if kind == "nodes" else "rca_edges_*"
     lines = spark.read.option("recursiveFileLookup", True).text(f"{base}/{stem}")
@@ -70,13 +72,15 @@ def consolidate_runs(spark: SparkSession, base: str, kind: str) -> DataFrame:
     )
     parts = []
     for row in first:
-        names = row["header"].split(",")
+        names = next(csv.reader([row["header"]]))
         part = (
             spark.read.option("header", True)
             .schema(", ".join(f"`{n}` string" for n in names))
             .csv(row["paths"])
         )
         parts.append(part.withColumn("_path", F.col("_metadata.file_path")))
+    if not parts:
+        parts = [spark.createDataFrame([], "_path string")]
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     # Paths are URL-encoded.
     path = F.regexp_replace("_path", "%3D", "=")

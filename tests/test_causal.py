@@ -106,7 +106,8 @@ def logit_data(spark):
 def test_logit_equals_newton(logit_data):
     pdf, df = logit_data
     rows = {r["feature"]: r for r in logit.age_adjusted_logit(df, ["f", "g", "flat", "aa_000"]).collect()}
-    assert set(rows) == {"f", "g"}
+    assert {f: r["converged"] for f, r in rows.items()} == {"f": True, "g": True, "flat": False}
+    assert rows["flat"]["coef"] is None
     x = np.column_stack([np.ones(600), pdf.aa_000, pdf.f])
     beta, cov = newton(x, pdf.label.to_numpy())
     assert rows["f"]["coef"] == pytest.approx(beta[2], abs=1e-7) and rows["f"]["age_coef"] == pytest.approx(beta[1], abs=1e-7)

@@ -184,9 +184,29 @@ def test_cv_and_grid(spark, planted):
         {"Raw": (planted, COLS)}, ["tree", "missing-model"], folds=2, preprocess=False, registry=QUICK,
         tunings={"Tuned": True}, selectors={"Kruskal": lambda df, cols: ["f0", "f1"]},
     )
-    rows = out.collect()
-    assert len(rows) == 1 and rows[0]["auc_mean"] > 0.9
-    assert rows[0]["run_name"] == "tree | Raw + Kruskal | No Sampling | Tuned"
+    done, failed = out.collect()
+    assert done["status"] == "ok" and done["auc_mean"] > 0.9
+    assert done["run_name"] == "tree | Raw + Kruskal | No Sampling | Tuned"
+    assert failed["model"] == "missing-model" and failed["status"] == "failed" and failed["cost_mean"] is None
+    assert "missing-model" in failed["message"]
+    assert experiment.best_per_feature_set(out).first()["model"] == "tree"
+
+
+def test_modules_and_named_selectors_in_folds(spark, planted):
+    gaps = planted.withColumns({c: F.when(F.pmod("row_id", F.lit(m)) != 0, F.col(c)) for c, m in (("f3", 4), ("f4", 4))})
+    out = experiment.cv_cost(gaps, COLS, "tree", 2, registry=QUICK, modules=True, selector="kruskal", n_features=1).collect()
+    assert len(out) == 2 and all(r["features"] == ["f0"] for r in out)
+    every = experiment.cv_cost(gaps, COLS, "tree", 2, registry=QUICK, modules=True).collect()
+    assert all("Module_1_Connectivity" in r["features"] for r in every)
+    union = {r["feature"] for r in selection.select_union(planted, COLS, 1, trees=5).collect()}
+    assert "f0" in union
+
+
+def test_trees_share_one_scheme_at_every_size(spark):
+    for n in (20, 400):
+        vec = spark.range(n).select(F.col("id").alias("row_id"), F.array(F.col("id").cast("double")).alias("vec"))
+        rows = outliers.tree_samples(vec, 3, 16, 42, "row_id").toPandas()
+        assert (rows.groupby("tree").id.nunique() == 16).all() and len(rows) == 48
 
 
 def test_run_plan_uses_percentages_only_with_a_sampler():
