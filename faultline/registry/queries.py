@@ -614,7 +614,7 @@ def q_roc_curve(spark, sf):
 
 def q_cv_cost(spark, sf):
     cols = [*CORE, "na_low", "na_mid", "na_high"]
-    return experiment.cv_cost(X.cust_features(spark, sf), cols, "logistic", modules=True, selector="kruskal")
+    return experiment.cv_cost(X.cust_features(spark, sf), cols, "logistic", modules=True, selector="kruskal", n_features=10)
 
 
 def q_fold_summary(spark, sf):
