@@ -2,10 +2,11 @@
 
 Base spans are found by fixed patterns. They seed a bootstrap: the words before and after a
 seed make lexical patterns; every token that looks like an identifier is an instance of the
-patterns around it. Scores go to and fro over the graph of patterns and instances: a pattern
-is as good as its instances are on average, an instance as good as its patterns together.
-Patterns that many different instances support with a high score then mark unseen
-identifiers in their contexts.
+patterns around it. Scores go to and fro over the graph of patterns and instances, to the
+fixed point: a pattern is as good as its instances are on average, an instance as good as
+the confident patterns around it together, those with the pattern's own last word left out.
+Patterns that many different instances support with a high score mark unseen identifiers
+in their contexts; these support further patterns.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from faultline.llm.common import materialise, text_or_empty, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"  # the kind of spans that the method adds; it sorts after the base kinds
-ROUNDS = 3
-LEAST_SCORE, LEAST_INSTANCES, LEAST_KNOWN = 0.8, 20, 0.5
+LEAST_SCORE, LEAST_INSTANCES = 0.8, 20
+OWN_VOTE = 0.75  # what a pattern's own score counts for its instances; at 0.8, half of them have to be known otherwise
+LEAST_BELIEF = 0.95  # an instance that others believe in so much counts as a seed
+TOLERANCE = 1e-6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,31 +120,55 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _MARKS)], names=["given", "marks"])
 
 
-def confident_patterns(found: DataFrame, *, rounds: int = ROUNDS, least_score: float = LEAST_SCORE,
-                       least_instances: int = LEAST_INSTANCES, least_known: float = LEAST_KNOWN) -> DataFrame:
+def confident_patterns(found: DataFrame, *, least_score: float = LEAST_SCORE, least_instances: int = LEAST_INSTANCES,
+                       own_vote: float = OWN_VOTE, least_belief: float = LEAST_BELIEF) -> DataFrame:
     """``pattern, score, instances, known``: patterns to discover with.
 
     The graph has an edge for each pattern and different instance, whatever its number of
-    occurrences, so that copies of a document don't vote. Seeds keep score 1; others begin
-    at 0. A pattern needs ``least_instances`` different instances, of which ``least_known``
-    are seeds, so that words which merely stand before a number now and then don't qualify.
+    occurrences, so that copies of a document don't vote. Seeds have belief 1. For a pattern,
+    the belief in another instance is the noisy-or of the confident patterns around it with
+    another last word: a word and the two words that end in it see the same places and are
+    one voter. With m the average belief over the pattern's instances and its own score s
+    counted ``own_vote`` times, s = m + (1 - m) * own_vote * s, so s = m / (1 - (1 - m) * own_vote).
+    Only patterns with ``least_score`` vote, so that weak patterns can't lift each other.
+
+    Scores start from the seeds and only rise; where the voters stay the same, changes shrink
+    by a third a round at the default values. Rounds end when no score rises by ``TOLERANCE``.
     """
     edges = materialise(
         found.select(F.explode("marks").alias("m"))
         .select("m.instance", F.col("m.kind").isNotNull().cast("int").alias("seed"), F.explode("m.patterns").alias("pattern"))
         .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+    # A string that is a seed anywhere is one everywhere.
+    seeds = edges.filter("seed = 1").select("instance", F.lit(True).alias("is_seed")).distinct()
+    edges = edges.select("pattern", "instance").join(seeds, "instance", "left").select("pattern", "instance", F.col("is_seed").isNotNull().alias("seed"))
+    edges = materialise(edges, "graph")
     # Patterns with too few instances never qualify and carry no score.
-    wide = materialise(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("seed").alias("known")).filter(F.col("instances") >= least_instances), "patterns")
-    edges = materialise(edges.join(wide.select("pattern"), "pattern"), "graph")
-    score = wide.select("pattern", (F.col("known") / F.col("instances")).alias("score"))
-    for _ in range(rounds):
-        score = materialise(score, "scores")
-        instance = edges.join(score, "pattern").groupBy("instance").agg(
-            F.greatest(F.max("seed").cast("double"), 1 - F.exp(F.sum(F.log(1.0 - F.least(F.col("score"), F.lit(0.999999)))))).alias("belief"))
-        instance = materialise(instance, "beliefs")
-        score = edges.join(instance, "instance").groupBy("pattern").agg(F.avg("belief").alias("score"))
-    best = score.join(wide, "pattern").filter((F.col("score") >= least_score) & (F.col("known") >= F.col("instances") * least_known))
-    return best.select("pattern", "score", "instances", "known")
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum(F.col("seed").cast("long")).alias("known")).filter(F.col("instances") >= least_instances)
+    wide = materialise(wide, "patterns")
+    # The last word of a pattern; patterns with the same one are one voter.
+    voter = F.regexp_replace(F.element_at(F.split("pattern", " "), -1), "^<", "").alias("voter")
+    open_edges = materialise(edges.filter("not seed").join(wide.select("pattern"), "pattern").select("pattern", voter, "instance"), "graph")
+
+    def scored(beliefs: DataFrame | None) -> DataFrame:
+        given = wide.withColumn("belief", F.lit(0.0)) if beliefs is None else wide.join(beliefs, "pattern", "left")
+        mean = (F.col("known") + F.coalesce("belief", F.lit(0.0))) / F.col("instances")
+        return materialise(given.select("pattern", "instances", "known", (mean / (1 - (1 - mean) * own_vote)).alias("score")), "scores")
+
+    score, rises = scored(None), True
+    while rises:
+        sure = score.filter(F.col("score") >= least_score).select("pattern", "score")
+        # The logarithm of a voter's doubt.
+        votes = materialise(open_edges.join(sure, "pattern").groupBy("instance", "voter").agg(
+            F.log(1.0 - F.least(F.max("score"), F.lit(0.999999))).alias("doubt")), "votes")
+        total = votes.groupBy("instance").agg(F.sum("doubt").alias("all"))
+        others = F.col("all") - F.coalesce("doubt", F.lit(0.0))
+        belief = F.greatest(1 - F.exp(others), F.lit(0.0))
+        beliefs = (open_edges.join(total, "instance").join(votes, ["instance", "voter"], "left")
+                   .groupBy("pattern").agg(F.sum(F.when(belief >= least_belief, 1.0).otherwise(belief)).alias("belief")))
+        before, score = score, scored(beliefs)
+        rises = not score.join(before.select("pattern", F.col("score").alias("before")), "pattern").filter(F.col("score") > F.col("before") + TOLERANCE).isEmpty()
+    return score.filter(F.col("score") >= least_score).select("pattern", "score", "instances", "known")
 
 
 def personal_data(docs: DataFrame, *, text: str = "text", keep_text: bool = False, **options) -> DataFrame:

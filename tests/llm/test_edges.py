@@ -82,6 +82,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert [s["kind"] for s in got[100]] == ["context"] and got[101] == [] and [s["kind"] for s in got[0]] == ["email"]
 
 
+def test_contexts_discover_in_two_steps_and_scores_reject(spark):
+    ids = [f"AB-{i}-1234" for i in range(100, 200)]
+    rows = [f"filler words contact person{i}@mail.example.com and more" for i in range(40)]
+    rows += [f"filler words contact {x} and more" for x in ids[:30]]
+    rows += [f"look at badge {x} end" for x in ids[:40]]  # no seed, 30 of 40 known by the contact; the others are the second step
+    rows += [f"back of shelf {x} end" for x in ids[25:65]]  # 15 of 40 known by contact and badge
+    rows += [f"see on page {x} end" for x in ids[70:100]] + [f"see on page p{i}@mail.example.com end" for i in range(10)]  # 10 of 40 are seeds
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.personal_data(docs).collect()}
+    for i, text in enumerate(rows):
+        assert got[i] == (["email"] if "@" in text else ["context"] if "contact" in text or "badge" in text else []), text
+
+
 def test_decontamination(spark, docs, none):
     item = " ".join(f"b{i}" for i in range(40))
     words = item.split()
