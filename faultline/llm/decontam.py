@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import chain
 
 import numpy as np
@@ -173,7 +174,7 @@ _OVERLAPS = "doc_id long, item_id long, doc_token long, item_token long, length
 
 
 def _verify(batches: Iterator[pa.RecordBatch], least_matches: int, least_share: float) -> Iterator[pa.RecordBatch]:
-    """The best run of each item laid over its stretch: most matches against mismatches at that share."""
+    """The best run of each item laid over its stretch: most matches at that share."""
     for batch in batches:
         rows = []
         for doc, item_id, first, start, tokens, item in zip(*(batch.column(i).to_pylist() for i in range(6))):
@@ -190,9 +191,15 @@ def _verify(batches: Iterator[pa.RecordBatch], least_matches: int, least_share:
 
 
 def best_run(equal: np.ndarray, share: float) -> tuple[int, int]:
-    """Run with the largest sum where a match counts 1 - share and a mismatch -share; its share of matches is at least that."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - share, -share))])
-    low = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - low))
-    start = int(np.argmin(total[: stop + 1]))
-    return start, stop
+    """Of the runs with at least that share of matches, the one with most matches; then the shortest, then the first."""
+    part = Fraction(share).limit_denominator(10**6)  # whole numbers, so that a share of exactly 0.7 is one
+    total = np.concatenate([[0], np.cumsum(np.where(equal, part.denominator - part.numerator, -part.numerator))])
+    stops = np.flatnonzero(equal) + 1  # a run ends with a match
+    if not len(stops):
+        return 0, 0
+    # The earliest start from which the total doesn't fall up to the stop; then the first match from there on.
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total[stops], side="left")
+    first = np.searchsorted(stops - 1, starts)
+    starts, matches = stops[first] - 1, np.arange(1, len(stops) + 1) - first
+    best = np.lexsort((starts, stops - starts, -matches))[0]
+    return int(starts[best]), int(stops[best])

@@ -105,6 +105,25 @@ def test_decontamination(spark, docs, none):
     assert decontam.contaminated(none, bench).count() == 0 and decontam.contaminated(docs, bench.filter("false")).count() == 0
 
 
+def test_longest_run_counts():
+    rng = np.random.default_rng(1)
+    for n in list(range(1, 41)) * 5:
+        equal = rng.random(n) < rng.choice([0.5, 0.7, 0.8])
+        runs = [(-int(equal[a:b].sum()), b - a, a) for a in range(n) for b in range(a + 1, n + 1) if equal[a:b].sum() * 10 >= 7 * (b - a)]
+        start, stop = decontam.best_run(equal, 0.7)
+        assert (-int(equal[start:stop].sum()), stop - start, start) == min(runs, default=(0, 0, 0))
+
+
+def test_clustered_substitutions_are_one_run(spark):
+    items = [[f"i{k}t{i}" for i in range(n)] for k, n in enumerate((24, 20, 40))]
+    changed = [range(11, 15), range(9, 14), range(12, 24)]  # 20 of 24, 15 of 20, 28 of 40 tokens stay
+    texts = [" ".join(f"x{i}" if i in c else w for i, w in enumerate(item)) for item, c in zip(items, changed)]
+    docs = spark.createDataFrame([(k, f"before it {t} after it") for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["doc_token"], r["item_token"], r["length"], r["matches"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {k: (k, 2, 0, len(i), len(i) - len(c)) for k, (i, c) in enumerate(zip(items, changed))}
+
+
 def test_fingerprints(spark, docs, none):
     own = [(d, t) for d, t in ROWS if d is not None]
     got = sorted(map(tuple, fingerprint.edited_fingerprints(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()))
