@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from faultline.llm.common import WordHashes, materialise, mix, pieces, text_or_empty, texts_of
 
-# Masks of span 12 to 16 with eight ones each; none is a shifted copy of another.
-MASKS = ("110100110101", "1101000110101001", "111111110000", "1010011001011001")
+# Five ones each, spans of 6 to 9. Every run with at least 12 equal tokens and a share of at
+# least 0.7 contains one of them, however its substitutions lie (shown in tests/llm/test_edges.py).
+MASKS = ("111011", "110100011", "1001111", "101100101", "101010011", "1111001")
 LEAST_MATCHES, LEAST_SHARE = 12, 0.7  # of the tokens that lie over each other
 BITMAP_BITS = 1 << 24
 
@@ -151,7 +152,8 @@ def contaminated(
 
     The item is laid over the document at each hit; an overlap is the run of ``length`` tokens
     there of which at least ``least_share`` and at least ``least_matches`` are equal. Shorter
-    overlaps can't be told from chance. NULL text is empty, items with a NULL id are left
+    overlaps can't be told from chance. With the default masks, every such overlap has a hit
+    if the two limits are no lower than theirs. NULL text is empty, items with a NULL id are left
     out, documents with one are kept; repeated rows of a document or an item give their pair
     once, empty tables give no rows.
     """

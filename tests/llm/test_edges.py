@@ -124,6 +124,45 @@ def test_clustered_substitutions_are_one_run(spark):
     assert got == {k: (k, 2, 0, len(i), len(i) - len(c)) for k, (i, c) in enumerate(zip(items, changed))}
 
 
+def test_masks_hit_every_qualifying_run():
+    """The most equal tokens in a run that no mask hits, over all substitutions, by the last places of the run."""
+    span = max(map(len, decontam.MASKS))
+    places = [[len(m) - 1 - i for i, one in enumerate(m) if one == "1"] for m in decontam.MASKS]
+    most = {(): 0}
+    # A run of 36 or more has a half with the share; halves of 18 or more have 12 matches: lengths up to 35 decide.
+    for length in range(1, 36):
+        after = {}
+        for last, ones in most.items():
+            for bit in (0, 1):
+                now = (bit, *last)[:span]
+                if not any(all(p < len(now) and now[p] for p in mask) for mask in places):
+                    after[now] = max(after.get(now, 0), ones + bit)
+        most = after
+        assert max(most.values()) < max(decontam.LEAST_MATCHES, -(-7 * length // 10))
+
+
+def test_changed_copies_are_found_as_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    items = [[f"i{k}t{i}" for i in range(n)] for k, n in enumerate([15] * 20 + [16] * 20 + [20] * 40 + [24] * 20 + [30] * 20 + [59])]
+    texts = []
+    for k, item in enumerate(items):
+        n = len(item)
+        changed = set(range(3, n, 4)) if k == len(items) - 1 else set(rng.choice(n, int(rng.integers(0, n // 2 + 1)), replace=False).tolist())
+        texts.append(["lead", "in", *(f"x{i}" if i in changed else w for i, w in enumerate(item)), "end"])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k, item in enumerate(items)], "item_id long, text string")
+    want = set()
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            for first in range(1 - len(item), len(text)):  # every diagonal
+                equal = np.array([0 <= first + i < len(text) and text[first + i] == w for i, w in enumerate(item)])
+                if equal.sum() >= 12:
+                    a, b = decontam.best_run(equal, 0.7)
+                    want |= {(d, k, int(equal[a:b].sum()))} if equal[a:b].sum() >= 12 else set()
+    got = {(r["doc_id"], r["item_id"], r["matches"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert len(want) > 60 and got == want
+
+
 def test_fingerprints(spark, docs, none):
     own = [(d, t) for d, t in ROWS if d is not None]
     got = sorted(map(tuple, fingerprint.edited_fingerprints(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()))
