@@ -159,7 +159,7 @@ def q_median_impute(spark, sf):
 
 def q_mice_impute(spark, sf):
     cols = ["na_mid", "na_high"]
-    _, done = mice.mice_fit(X.cust_features(spark, sf).select("row_id", *cols), cols, max_rounds=10)
+    _, done = mice.mice_fit(X.cust_features(spark, sf).select("row_id", *cols), cols)
     return rounded(done, *cols)
 
 
@@ -565,9 +565,10 @@ def q_selection_stability(spark, sf):
 def q_model_registry(spark, sf):
     df = X.cust_features(spark, sf)
     parts = []
-    for name in ("gbt", "logistic", "forest", "tree", "mlp"):
+    registry = models.model_registry(SEED)
+    for name in registry:
         scaled = scaling.standard_scale(df, CORE)
-        scores = models.predict(models.fit_model(name, scaled, CORE, quick(3, 3)), scaled, CORE)
+        scores = models.predict(models.fit_model(name, scaled, CORE, registry), scaled, CORE)
         parts.append(cost.auc(scores).withColumn("model", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -633,7 +634,7 @@ def q_fold_summary(spark, sf):
 
 def q_evaluate_holdout(spark, sf):
     train, test = sampling.split_frames(X.cust_features(spark, sf), 0.75, seed=7)
-    return experiment.evaluate_holdout(train, test, CORE, "logistic", preprocess=False, registry=quick())
+    return experiment.evaluate_holdout(train, test, CORE, "logistic")
 
 
 def q_experiment_grid(spark, sf):
@@ -667,7 +668,7 @@ def q_best_per_feature_set(spark, sf):
 
 
 def _reference(spark, sf):
-    return rca.shared_reference(X.cust_features(spark, sf), CORE, quick())
+    return rca.shared_reference(X.cust_features(spark, sf), CORE, None)
 
 
 def q_reference_model(spark, sf):
@@ -722,7 +723,7 @@ def q_rank_agreement(spark, sf):
 
 def q_pdp_ice(spark, sf):
     model, _, valid = _reference(spark, sf)
-    return explain.pdp(explain.pdp_ice(model, valid, CORE, ["aa_000", "ag_003"], max_rows=None))
+    return explain.pdp(explain.pdp_ice(model, valid, CORE))
 
 
 def q_surrogate_tree(spark, sf):
@@ -738,7 +739,11 @@ def q_surrogate_rules(spark, sf):
 
 
 def q_rca_steps(spark, sf):
-    return rca.explain_run(X.cust_features(spark, sf), CORE, registry=quick(), repeats=2, shap_rows=None, pdp_rows=None)["ranks"]
+    """Every part of the explanation run: its name and its rows as JSON."""
+    run = rca.explain_run(X.cust_features(spark, sf), CORE)
+    numbers = spark.createDataFrame([(float(run.pop("threshold")), float(run.pop("fidelity")))], "threshold double, fidelity double")
+    parts = {"numbers": numbers, **run}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in parts.items()])
 
 
 # --- causal discovery --------------------------------------------------------------
