@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.llm import ans, decontam, fingerprint, langid, minhash, packing, pii, quality, tokens, warc
+from faultline.llm import ans, decontam, fim, fingerprint, langid, minhash, packing, pii, quality, tokens, toxicity, vectorcodes, warc
 from faultline.llm.common import read
 from faultline.llm.encoding import library_path
 
@@ -68,6 +68,24 @@ def op10_language(spark, sf_dir):
     return langid.page_languages(read(spark, sf_dir, "pages"), model)
 
 
+def op11_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", toxicity.held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    made = fim.restore(fim.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    coded, books = vectorcodes.vector_codes(read(spark, sf_dir, "embeddings"))
+    return vectorcodes.with_label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vectorcodes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -76,5 +94,5 @@ def pipeline(spark, sf_dir):
 
 def queries():
     own = (op1_warc, op2_minhash, op3_quality, op4_token_counts, op5_pii, op6_decontamination, op7_fingerprints,
-           op8_token_files, op9_packing, op10_language, pipeline)
+           op8_token_files, op9_packing, op10_language, op11_toxicity, op12_fill_in_middle, op13_vector_codes, pipeline)
     return {f.__name__: f for f in own}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from faultline.llm.fingerprint import LANES, MODULUS, UNIT
+from faultline.llm.vectorcodes import ENTRIES, PARTS, SCALE
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -43,5 +44,48 @@ SELECT e.doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha2
 FROM edits e JOIN own a USING (doc_id) JOIN changed b USING (doc_id) JOIN own c ON c.doc_id = e.next_id"""
 
 
+def _fill_in_middle() -> str:
+    group = lambda i: f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)"
+    joined = lambda a, b: f"array_to_string(u[{a} + 1:{b}], '')"
+    return rf"""WITH base AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM base),
+drawn AS (SELECT *, len(u) AS n, least({group(0)} % (len(u) + 1), {group(1)} % (len(u) + 1)) AS a, greatest({group(0)} % (len(u) + 1), {group(1)} % (len(u) + 1)) AS b,
+ CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {group(2)} % 100 >= 50 THEN 'plain'
+ WHEN {group(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+cut AS (SELECT *, {joined("0", "a")} AS p, {joined("a", "b")} AS m, {joined("b", "n")} AS s FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+ CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+ sha256(text) AS restored_sha256 FROM cut"""
+
+
+def _vector_codes() -> str:
+    def assigned(k: int) -> str:
+        return f"""a{k} AS (SELECT r, vec_id, label, p, x, min(d * {ENTRIES} + e) % {ENTRIES} AS e, min(d * {ENTRIES} + e) // {ENTRIES} AS d FROM
+ (SELECT parts.*, b.e, CAST(list_sum(list_transform(range(len(b.x)), lambda i: (parts.x[i + 1] - b.x[i + 1]) * (parts.x[i + 1] - b.x[i + 1]))) AS BIGINT) AS d
+ FROM parts JOIN b{k} b USING (p)) GROUP BY r, vec_id, label, p, x)"""
+
+    def moved(k: int) -> str:
+        return f"""c{k} AS (SELECT p, e, list(m ORDER BY i) AS x FROM (SELECT p, e, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m FROM
+ (SELECT p, e, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY p, e, i) GROUP BY p, e),
+b{k + 1} AS (SELECT b.p, b.e, coalesce(c.x, b.x) AS x FROM b{k} b LEFT JOIN c{k} c USING (p, e))"""
+
+    return f"""WITH kept AS (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+parts AS (SELECT r, vec_id, label, p, list_transform(embedding[p * len(embedding) // {PARTS} + 1:(p + 1) * len(embedding) // {PARTS}],
+ lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM kept, range({PARTS}) AS t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM (SELECT p, vec_id, min(x) AS x FROM parts WHERE vec_id IS NOT NULL GROUP BY p, vec_id)
+ QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {ENTRIES}),
+{assigned(0)},
+{moved(0)},
+{assigned(1)},
+{moved(1)},
+{assigned(2)},
+coded AS (SELECT r, vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r, vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _archives(), "op7_fingerprints": _fingerprints()}
+    return {"op1_warc": _archives(), "op7_fingerprints": _fingerprints(), "op12_fill_in_middle": _fill_in_middle(),
+            "op13_vector_codes": _vector_codes()}

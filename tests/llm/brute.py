@@ -124,3 +124,51 @@ def fingerprints(docs):
 
         out.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), like(a, b), like(a, c)))
     return out
+
+
+def fill_in_middle(doc_id, text, seed=42):
+    """``(n, form, prefix chars, middle chars, output)`` by slices of the list of tokens."""
+    units = re.findall("[\x20\x09-\x0d]*[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+", text)
+    digest = hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    if not text or any(s in text for s in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 50:
+        return len(units), "plain", None, None, text
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if h[3] % 100 < 80:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def vector_codes(rows, parts=16, entries=64, rounds=2, scale=256):
+    """``(vec_id, label, vector)`` to ``(vec_id, label, code, error)`` and the codebooks, entry by entry."""
+    import math
+
+    kept = [(i, label, [math.floor(scale * x) for x in v]) for i, label, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    width = len(kept[0][2]) // parts
+    smallest = {}
+    for i, _, v in kept:
+        if i is not None:
+            smallest[i] = min(v, smallest.get(i, v))
+    books = [[smallest[i][p * width : (p + 1) * width] for i in sorted(smallest)[:entries]] for p in range(parts)]
+
+    def near(p, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, c)), e) for e, c in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            members = defaultdict(list)
+            for _, _, v in kept:
+                x = v[p * width : (p + 1) * width]
+                members[near(p, x)[1]].append(x)
+            for e, found in members.items():
+                books[p][e] = [sum(c) // len(found) for c in zip(*found)]
+    out = []
+    for i, label, v in kept:
+        best = [near(p, v[p * width : (p + 1) * width]) for p in range(parts)]
+        out.append((i, label, "".join(f"{e:02x}" for _, e in best), sum(d for d, _ in best)))
+    return out, books
+
+
+def character_grams(text, sizes):
+    return {f" {w} "[i : i + n] for w in text.lower().split() for n in sizes for i in range(len(w) + 3 - n)}
