@@ -170,5 +170,18 @@ def vector_codes(rows, parts=16, entries=64, rounds=2, scale=256):
     return out, books
 
 
-def character_grams(text, sizes):
-    return {f" {w} "[i : i + n] for w in text.lower().split() for n in sizes for i in range(len(w) + 3 - n)}
+def gram_buckets(text, sizes, most):
+    """Buckets of the n-grams of each word with its spaces, one n-gram after another."""
+    out, full = set(), (1 << 64) - 1
+    for word in set(text.lower().split()):
+        padded = f" {word} "
+        for n in sizes:
+            for gram in {padded[i : i + n] for i in range(len(padded) - n + 1)}:
+                x = 0
+                for c in gram:
+                    x = (x * 0x100000001B3 + ord(c)) & full
+                x = (x + n) & full
+                x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+                x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+                out.add((x ^ (x >> 31)) % most)
+    return sorted(out)
