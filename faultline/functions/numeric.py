@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,45 @@ def kolmogorov_sf(x: Column, terms: int = 50) -> Column:
     )
 
 
+def ks_exact_p(n0: int, n1: int, gap: int, ends: Sequence[int] | None = None) -> float:
+    """P(D >= d) of the two-sample Kolmogorov-Smirnov distance, every split of the pool equally likely.
+
+    ``gap`` is d times n0 * n1, an integer. A split is a lattice path: after i + j pooled values,
+    i of them of the smaller sample, the distance is |i n0 - j n1| / (n0 n1). Going from start to end, a
+    place's chance of having reached the gap is that of its two predecessors, weighted i : j, or 1
+    at the gap; all terms are positive, so small chances keep their digits. With ties the
+    distance exists only after whole groups of equal values: ``ends`` are the pooled counts
+    after each group. Without it the pool is taken as free of ties. Costs (n0 + n1) steps over the places
+    within the gap.
+    """
+    if gap <= 0:
+        return 1.0
+    if n1 > n0:
+        n0, n1 = n1, n0
+    n, checked = n0 + n1, None if ends is None else set(map(int, ends))
+    reached = np.zeros(n1 + 1)
+    for s in range(1, n + 1):
+        low, high = max(0, s - n0), min(n1, s)
+        if checked is None:  # the places within the gap and one on either side
+            low, high = max(low, -((gap - 1 - s * n1) // n) - 1), min(high, (s * n1 + gap - 1) // n + 1)
+        i = np.arange(low, high + 1, dtype=np.int64)
+        now = (i * reached[np.maximum(i - 1, 0)] + (s - i) * reached[i]) / s
+        if checked is None or s in checked:
+            now[np.abs(i * n - s * n1) >= gap] = 1.0
+        reached[low : high + 1] = now
+    return float(min(1.0, reached[n1]))
+
+
+def digamma_count(x: Column) -> Column:
+    """Digamma of a positive whole number: the recurrence up to 8 more, then the asymptotic series."""
+    z = x.cast("double") + 8.0
+    inv = 1.0 / (z * z)
+    series = F.log(z) - 0.5 / z - inv * (1.0 / 12 - inv * (1.0 / 120 - inv * (1.0 / 252 - inv * (1.0 / 240 - inv * (1.0 / 132)))))
+    for i in range(8):
+        series = series - 1.0 / (x.cast("double") + float(i))
+    return series
+
+
 def normal_sf2(z: float) -> float:
     """Two-sided normal tail probability."""
     return math.erfc(abs(z) / math.sqrt(2.0))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import factorial
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -16,9 +16,10 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.functions.seeded import seeded_bijection
 from faultline.operators.cost import COST_FN, COST_FP
 from faultline.operators.models import assemble, predict
-from faultline.operators.order import seeded_rank, seeded_take
+from faultline.operators.order import dense_positions, seeded_take
 from faultline.operators.prefix import quantile_map, small_sorted
 
 
@@ -73,68 +74,98 @@ def to_prob(margin: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-2.0 * margin))
 
 
-def _leaf_tables(tree: Tree):
-    """Per leaf: path features with their intervals, and contributions by satisfied set.
+@dataclass
+class LeafPath:
+    """A leaf: the distinct features above it, their intervals and cover shares, and its value."""
 
-    For the d distinct features of a path, bit b of the index says whether the row
-    satisfies feature b; the d contributions then follow from the Shapley sum over the
-    2**d coalitions, absent features weighing the leaf by their cover share.
-    """
+    features: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: float
+
+
+def leaf_paths(tree: Tree) -> list[LeafPath]:
+    """The leaves of a tree; each costs as many numbers as its path has features."""
     out, stack = [], [(0, {})]
     while stack:
         node, path = stack.pop()
         f = tree.feature[node]
-        if f >= 0:
-            for child, low in ((tree.left[node], False), (tree.right[node], True)):
-                lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
-                share *= tree.cover[child] / tree.cover[node]
-                cut = tree.split[node]
-                bounds = (max(lo, cut), hi, share) if low else (lo, min(hi, cut), share)
-                stack.append((child, {**path, f: bounds}))
+        if f < 0:
+            ends = np.array(list(path.values()), dtype=float).reshape(len(path), 3)
+            out.append(LeafPath(np.array(list(path), dtype=int), ends[:, 0], ends[:, 1], ends[:, 2], tree.weight * tree.value[node]))
             continue
-        feats = list(path)
-        d = len(feats)
-        leaf = tree.weight * tree.value[node]
-        shares = np.array([path[f][2] for f in feats])
-        sets = np.arange(2**d)
-        bit = (sets[:, None] >> np.arange(d)) & 1
-        absent = np.prod(np.where(bit == 1, 1.0, shares), axis=1)
-        v = np.where((sets[:, None] & sets[None, :]) == sets[None, :], absent[None, :], 0.0) * leaf
-        phi = np.zeros((2**d, d))
-        size = bit.sum(axis=1)
-        for b in range(d):
-            without = sets[bit[:, b] == 0]
-            w = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in size[without]])
-            phi[:, b] = ((v[:, without | (1 << b)] - v[:, without]) * w).sum(axis=1)
-        lo = np.array([path[f][0] for f in feats])
-        hi = np.array([path[f][1] for f in feats])
-        out.append((np.array(feats, dtype=int), lo, hi, phi, leaf * float(np.prod(shares))))
+        for child, right in ((tree.left[node], False), (tree.right[node], True)):
+            lo, hi, share = path.get(f, (-np.inf, np.inf, 1.0))
+            share *= tree.cover[child] / tree.cover[node]
+            cut = tree.split[node]
+            stack.append((child, {**path, f: (max(lo, cut), hi, share) if right else (lo, min(hi, cut), share)}))
     return out
 
 
+def path_contributions(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1, for rows of flags: which features of its path a row satisfies.
+
+    A coalition keeps the leaf with the flags of its members and the shares of the others, so the
+    sums over coalitions of each size are the coefficients of the product of (share + flag t) over
+    the features. A factor is extended into the product for every feature and unwound again for the
+    feature in question: d squared steps in place of 2^d coalitions.
+    """
+    rows, d = inside.shape
+    flag = inside.astype(float)
+    product = np.zeros((rows, d + 1))
+    product[:, 0] = 1.0
+    for b in range(d):
+        grown = product * share[b]
+        grown[:, 1:] += product[:, :-1] * flag[:, b : b + 1]
+        product = grown
+    weight = np.array([1.0 / (d * comb(d - 1, k)) for k in range(d)])
+    out = np.zeros((rows, d))
+    for b in range(d):
+        total = np.zeros(rows)
+        above = np.zeros(rows)  # for flag 1: the quotient by (share + t), from the highest power down
+        for k in range(d - 1, -1, -1):
+            above = product[:, k + 1] - share[b] * above
+            total += weight[k] * above
+        if share[b] > 0:
+            absent = (product[:, :-1] / share[b]) @ weight
+        else:  # without cover the factor is 0 and so are the row's terms
+            absent = np.zeros(rows)
+        out[:, b] = np.where(inside[:, b], (1.0 - share[b]) * total, -share[b] * absent)
+    return out
+
+
+def attributions(paths: Sequence[LeafPath], x: np.ndarray) -> np.ndarray:
+    """Shapley values of the sum of leaves for each row; rows with the same flags share the work."""
+    phi = np.zeros_like(x, dtype=float)
+    for leaf in paths:
+        d = len(leaf.features)
+        if not d:
+            continue
+        part = x[:, leaf.features]
+        inside = (part > leaf.low) & (part <= leaf.high)
+        key, first, back = np.unique(inside @ (1 << np.arange(d, dtype=np.int64)), return_index=True, return_inverse=True)
+        phi[:, leaf.features] += leaf.value * path_contributions(inside[first], leaf.share)[back]
+    return phi
+
+
 def shap_values(model, df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ("row_id", "label")) -> DataFrame:
     """``(keep..., margin, base, phi ARRAY)``: path-dependent tree attributions of class 1.
 
     ``sum(phi) + base = margin`` for every row; prob = 1 / (1 + exp(-2 margin)).
     """
     trees = read_trees(model)
-    leaves = [leaf for t in trees for leaf in _leaf_tables(t)]
-    base = float(sum(leaf[4] for leaf in leaves))
-    n_cols, keep = len(cols), list(keep)
+    paths = [leaf for t in trees for leaf in leaf_paths(t)]
+    base = float(sum(leaf.value * np.prod(leaf.share) for leaf in paths))
+    keep = list(keep)
 
     def explain(batches):
         for pdf in batches:
             x = np.array(pdf["_x"].tolist(), dtype=float)
-            phi = np.zeros((len(x), n_cols))
-            for feats, lo, hi, table, _ in leaves:
-                if len(feats):
-                    part = x[:, feats]
-                    index = ((part > lo) & (part <= hi)) @ (1 << np.arange(len(feats)))
-                    phi[:, feats] += table[index]
             out = pdf[keep].copy()
             out["margin"] = sum(t.score(x) for t in trees)
             out["base"] = base
-            out["phi"] = list(phi)
+            out["phi"] = list(attributions(paths, x))
             yield out
 
     kinds = dict(df.dtypes)
@@ -175,41 +206,52 @@ def permutation_importance_cost(
 ) -> DataFrame:
     """``(feature, pi_mean, pi_std)``: rise of the cost when one column is permuted.
 
-    A repeat is one seeded permutation of rows, shared by its features: row at position
-    r takes each column in turn from the row at position r of the seeded order. Only
-    trees that use the column are re-evaluated. One join, one pass for all features.
+    A repeat is one seeded permutation of rows, shared by its features: the row at position p takes
+    each column in turn from the row whose position the repeat's bijection turns into p. Positions
+    follow the stored rows. The table goes through one exchange, once as takers and once per repeat as
+    givers, keyed by position, so no key repeats more often than that; a task walks its positions in order. Only trees
+    that use the column are evaluated again.
     """
     trees = read_trees(model)
     users = [[t for t in trees if (t.feature == i).any()] for i in range(len(cols))]
-    vec = df.select(F.col(id_col).alias("_id"), F.col(label).alias("_y"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x"))
-    n_repeats = F.sequence(F.lit(0), F.lit(repeats - 1))
-    takers = seeded_rank(vec, (), f"{seed}base", "_id", "_rank").withColumn("rep", F.explode(n_repeats))
-    givers = vec.select(F.explode(n_repeats).alias("rep"), "_id", F.col("_x").alias("_d"))
-    givers = givers.withColumn("_rid", F.concat_ws(":", "rep", "_id"))
-    givers = seeded_rank(givers, ["rep"], seed, "_rid", "_rank").select("rep", "_rank", "_d")
+    vec, n = dense_positions(df.select(F.col(label).alias("_y"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_x")), "_at")
+    reps = F.array(*[F.lit(i) for i in range(-1, repeats)])
+    to = F.when(F.col("rep") < 0, F.col("_at")).otherwise(seeded_bijection(F.col("_at"), n, seed, F.col("rep")))
+    rows = vec.withColumn("rep", F.explode(reps)).select(to.alias("_at"), "rep", F.when(F.col("rep") < 0, F.col("_y")).alias("_y"), "_x")
+    dealt = rows.repartition("_at").sortWithinPartitions("_at", "rep")
     names = list(cols)
 
     def count(batches):
+        fp, fn = np.zeros((len(names) + 1, repeats)), np.zeros((len(names) + 1, repeats))
+        held_x = held_y = None
         for pdf in batches:
-            x, d = np.array(pdf["_x"].tolist(), dtype=float), np.array(pdf["_d"].tolist(), dtype=float)
-            y, rep = pdf["_y"].to_numpy() == 1, pdf["rep"].to_numpy()
+            given, rep = np.array(pdf["_x"].tolist(), dtype=float), pdf["rep"].to_numpy()
+            y = pdf["_y"].to_numpy(dtype=float, na_value=0) == 1
+            if held_x is not None:  # givers may follow their taker in the next batch
+                given, rep, y = np.vstack([held_x, given]), np.append(-1, rep), np.append(held_y, y)
+            taker = np.maximum.accumulate(np.where(rep < 0, np.arange(len(rep)), 0))
+            held_x, held_y = given[taker[-1]], y[taker[-1]]
+            pick = np.flatnonzero(rep >= 0)
+            if not len(pick):
+                continue
+            x, d, truth, rep = given[taker[pick]], given[pick], y[taker[pick]], rep[pick]
             margin = sum(t.score(x) for t in trees)
-            for i, name in enumerate([None, *names]):
+            for i in range(len(names) + 1):
                 m = margin
-                if name is not None and users[i - 1]:
+                if i and users[i - 1]:
                     mixed = x.copy()
                     mixed[:, i - 1] = d[:, i - 1]
                     m = margin + sum(t.score(mixed) - t.score(x) for t in users[i - 1])
                 hit = to_prob(m) >= threshold
-                part = pd.DataFrame({"rep": rep, "fp": hit & ~y, "fn": ~hit & y}).groupby("rep").sum().reset_index()
-                yield part.assign(feature=name)[["rep", "feature", "fp", "fn"]]
-
-    counts = (
-        takers.join(givers, ["rep", "_rank"])
-        .mapInPandas(count, "rep int, feature string, fp long, fn long")
-        .groupBy("rep", "feature")
-        .agg((cost_fp * F.sum("fp") + cost_fn * F.sum("fn")).alias("cost"))
-    )
+                fp[i] += np.bincount(rep, hit & ~truth, repeats)
+                fn[i] += np.bincount(rep, ~hit & truth, repeats)
+        if held_x is not None:
+            yield pd.DataFrame({
+                "rep": np.tile(np.arange(repeats, dtype="int32"), len(names) + 1), "feature": np.repeat([None, *names], repeats),
+                "fp": fp.ravel().astype("int64"), "fn": fn.ravel().astype("int64")})
+
+    counts = dealt.mapInPandas(count, "rep int, feature string, fp long, fn long").groupBy("rep", "feature").agg(
+        (cost_fp * F.sum("fp") + cost_fn * F.sum("fn")).alias("cost"))
     # Small from here on: one row per feature and repeat.
     base = counts.where("feature is null").select("rep", F.col("cost").alias("base_cost"))
     rise = counts.where("feature is not null").join(base, "rep")

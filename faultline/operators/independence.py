@@ -14,14 +14,14 @@ from faultline.functions.numeric import chi2_sf
 Test = tuple[str, str, tuple[str, ...]]
 
 
-def _ranges(df: DataFrame, names: Sequence[str], levels: int) -> tuple[dict[str, int], dict[str, int]]:
+def code_ranges(df: DataFrame, names: Sequence[str], levels: int) -> tuple[dict[str, int], dict[str, int]]:
     """Lowest code (at most 0) and number of codes (at least ``levels``) of each column."""
     row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("a", F.min), ("b", F.max))]).first()
     low = {c: min(int(row[f"a{i}"] or 0), 0) for i, c in enumerate(names)}
     return low, {c: max(int(row[f"b{i}"] or 0) - low[c] + 1, levels) for i, c in enumerate(names)}
 
 
-def _weights(radices: Sequence[int]) -> np.ndarray:
+def code_weights(radices: Sequence[int]) -> np.ndarray:
     weights = [1]
     for r in radices:
         weights.append(weights[-1] * r)
@@ -44,8 +44,8 @@ def contingency(df: DataFrame, tests: Sequence[Test], levels: int = 3, by: str |
     names = sorted({c for x, y, z in tests for c in (x, y, *z)})
     at = {c: i for i, c in enumerate(names)}
     sets = sorted({tuple(sorted({x, y, *z})) for x, y, z in tests})
-    low, radix = _ranges(df, names, levels)
-    weights = {s: _weights([radix[c] for c in s]) for s in sets}
+    low, radix = code_ranges(df, names, levels)
+    weights = {s: code_weights([radix[c] for c in s]) for s in sets}
     base = np.array([low[c] for c in names], dtype="int64")
     key = [by] if by else []
 
@@ -54,7 +54,7 @@ def contingency(df: DataFrame, tests: Sequence[Test], levels: int = 3, by: str |
             s = tuple(sorted({x, y, *z}))
             code, size = counts[s]
             digit = {c: code // w % radix[c] for c, w in zip(s, weights[s])}
-            strata = sum((digit[c] * w for c, w in zip(z, _weights([radix[c] for c in z]))), np.zeros(len(code), dtype="int64"))
+            strata = sum((digit[c] * w for c, w in zip(z, code_weights([radix[c] for c in z]))), np.zeros(len(code), dtype="int64"))
             out = pd.DataFrame({"test": np.int32(t), "z": strata, "x": (digit[x] + low[x]).astype("int32"),
                                 "y": (digit[y] + low[y]).astype("int32"), "n": size})
             if by:

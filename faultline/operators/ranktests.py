@@ -9,31 +9,53 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.numeric import kolmogorov_sf
+from faultline.functions.numeric import digamma_count, kolmogorov_sf, ks_exact_p
 from faultline.operators.prefix import (
     class_counts_by_value, class_running_counts, name_features, running_counts, small_sorted,
 )
+from faultline.session import cut_lineage
 
 
-def ks_statistics(df: DataFrame, cols: Sequence[str], label: str = "label", large: bool | None = None) -> DataFrame:
-    """``(feature, stat, p_value, n0, n1)``; features with an empty side get stat NULL, p 1."""
+# Fixed value: up to this sample size the p-value is exact, beyond it that of the limit.
+EXACT_ROWS = 10_000
+
+
+def ks_statistics(
+    df: DataFrame, cols: Sequence[str], label: str = "label", large: bool | None = None, exact: int = EXACT_ROWS, ties: bool = False,
+) -> DataFrame:
+    """``(feature, stat, p_value, n0, n1)``; features with an empty side get stat NULL, p 1.
+
+    If no side has more than ``exact`` rows, p is the exact chance over all splits of the pooled
+    values, else that of the Kolmogorov limit. ``ties=False`` takes the pool as free of ties,
+    which is conservative; ``ties=True`` conditions on its groups of equal values. Exact
+    chances are computed on the summary, one row per feature, dealt over the tasks.
+    """
     run = class_running_counts(df, cols, label, large)
-    gap = F.abs(F.col("cum_n1") / F.col("t1") - F.col("cum_n0") / F.col("t0"))
     both = (F.col("t0") > 0) & (F.col("t1") > 0)
+    gap = F.abs(F.col("cum_n1") / F.col("t1") - F.col("cum_n0") / F.col("t0"))
+    small = both & (F.greatest("t0", "t1") <= exact)
+    # At most 2 * ``exact`` places of a feature are listed: NULL for the others is left out.
+    place = F.when(small, F.col("cum_n0") + F.col("cum_n1")) if ties else F.lit(None).cast("long")
     out = run.groupBy("feature").agg(
-        F.max(F.when(both, gap)).alias("stat"), F.first("t0").alias("n0"), F.first("t1").alias("n1")
+        F.max(F.when(both, gap)).alias("stat"), F.first("t0").alias("n0"), F.first("t1").alias("n1"),
+        F.max(F.when(small, F.abs(F.col("cum_n1") * F.col("t0") - F.col("cum_n0") * F.col("t1")))).alias("_gap"),
+        F.collect_list(place).alias("_ends"),
     )
     scale = F.sqrt(F.col("n1").cast("double") * F.col("n0") / (F.col("n1") + F.col("n0")))
-    return out.select(
-        "feature",
-        "stat",
-        F.when(F.col("stat").isNull(), 1.0).otherwise(kolmogorov_sf(F.col("stat") * scale)).alias("p_value"),
-        "n0",
-        "n1",
-    )
+    limit = F.when(F.col("stat").isNull(), 1.0).otherwise(kolmogorov_sf(F.col("stat") * scale))
+
+    @F.pandas_udf("double")
+    def chance(n0: pd.Series, n1: pd.Series, gap: pd.Series, ends: pd.Series) -> pd.Series:
+        rows = zip(n0, n1, gap, ends)
+        return pd.Series([None if pd.isna(g) else ks_exact_p(int(a), int(b), int(g), e if ties else None) for a, b, g, e in rows], dtype="float64")
+
+    tasks = max(1, min(len(cols), df.sparkSession.sparkContext.defaultParallelism))
+    dealt = out.withColumn("_limit", limit).repartition(tasks, "feature").withColumn("_exact", chance("n0", "n1", "_gap", "_ends"))
+    return dealt.select("feature", "stat", F.coalesce("_exact", "_limit").alias("p_value"), "n0", "n1")
 
 
 def ks_two_sample(
@@ -114,13 +136,13 @@ def kruskal_wallis(
     )
 
 
-def mutual_info(
+def mutual_info_binned(
     df: DataFrame, cols: Sequence[str], label: str = "label", bins: int = 10, large: bool | None = None
 ) -> DataFrame:
     """Plug-in mutual information (nats) of each feature with the class.
 
-    Deviation: quantile bins over the rank of distinct values, not a nearest-neighbour
-    estimate. Equal values share a bin, and the cost is one more small aggregation.
+    Quantile bins over the rank of distinct values. Equal values share a bin, and the cost is
+    one more small aggregation; ``mutual_info`` is the estimate without bins.
     """
     counts = class_counts_by_value(df, cols, label).withColumn("one", F.lit(1))
     run = running_counts(counts, ["feature"], "value", ["one", "n0", "n1"], large)
@@ -145,10 +167,81 @@ def mutual_info(
     return name_features(cells.groupBy("feature").agg(F.sum(term("0") + term("1")).alias("mi")), cols)
 
 
+BLOCK = 4096  # distinct values of a feature and class whose neighbours are sought in one window
+
+
+def _radii(counts: DataFrame, neighbours: int, block: int, large: bool | None) -> DataFrame:
+    """``(feature, cls, value, n, total, low, high)`` for each distinct value of each class.
+
+    ``low`` and ``high`` bound the interval of the distance to the nearest ``neighbours`` other
+    rows of the class. Values are numbered by running counts and cut into blocks of numbers; the values
+    next to a block are copied into it, so a window never holds more than a block and its rim,
+    whatever the feature.
+    """
+    sides = F.inline(F.array(*[F.struct(F.lit(c).alias("cls"), F.col(f"n{c}").alias("n")) for c in (0, 1)]))
+    rows = counts.select("feature", "value", sides).where("n > 0").withColumn("one", F.lit(1))
+    placed = running_counts(rows, ["feature", "cls"], "value", ["one", "n"], large)
+    at, own = F.col("cum_one") - 1, F.floor((F.col("cum_one") - 1) / block)
+    blocks = F.array_distinct(F.array(own, F.greatest(F.floor((at - neighbours) / block), F.lit(0)), F.floor((at + neighbours) / block)))
+    copied = placed.select("feature", "cls", "value", "n", F.col("tot_n").alias("total"), own.alias("own"), F.explode(blocks).alias("block"))
+    w = Window.partitionBy("feature", "cls", "block").orderBy("value")
+    near = [F.struct(F.abs(v - F.col("value")).alias("d"), n.alias("n"), v.alias("v"))
+            for k in range(1, neighbours + 1) for f in (F.lag, F.lead) for v, n in ((f("value", k).over(w), f("n", k).over(w)),)]
+    self_ = F.struct(F.lit(0.0).alias("d"), (F.col("n") - 1).alias("n"), F.col("value").alias("v"))
+    around = F.array_sort(F.filter(F.array(self_, *near), lambda e: e["d"].isNotNull()))
+    need = F.least(F.lit(neighbours).cast("long"), F.col("total") - 1)
+    start = F.struct(need.alias("left"), F.lit(0.0).alias("d"), F.col("value").alias("v"))
+    reach = F.aggregate("around", start, lambda acc, e: F.when(acc["left"] > 0, F.struct((acc["left"] - e["n"]).alias("left"), e["d"].alias("d"), e["v"].alias("v"))).otherwise(acc))
+    found = copied.withColumn("around", around).where("own = block").withColumn("reach", reach)
+    d, v = F.col("reach.d"), F.col("reach.v")
+    # The neighbour at the rim belongs to the interval whatever the rounding of value +- distance.
+    return found.select("feature", "cls", "value", "n", "total", F.least(F.col("value") - d, v).alias("low"), F.greatest(F.col("value") + d, v).alias("high"))
+
+
+def mutual_info(
+    df: DataFrame, cols: Sequence[str], label: str = "label", neighbours: int = 3, block: int = BLOCK, large: bool | None = None
+) -> DataFrame:
+    """``(feature, mi)``: nearest-neighbour mutual information (nats) of each feature with the class.
+
+    For a row, the interval reaches to the ``neighbours``-th nearest other row of its class (all others, if
+    there are fewer); k rows of the class and m of all lie in it besides the row. The estimate is
+    psi(N) + mean(psi(k) - psi(m)) - mean(psi(rows of the class)), at least 0. Without
+    ties k is ``neighbours``; with ties both count all equal values, so no noise has to break
+    them. Rows that are alone in their class are left out, as are missing values; a feature with no rows left has 0.
+
+    Rows collapse to distinct values first. Radii come from windows over blocks with copied
+    rims, the counts inside from one running count in which the ends of the intervals are
+    rows of count 0.
+    """
+    if neighbours < 1 or block < neighbours:
+        raise ValueError("a block has to hold the neighbours of a value")
+    counts = class_counts_by_value(df, cols, label)
+    radii = cut_lineage(_radii(counts, neighbours, block, large).where("total > 1"))
+    alone = counts.groupBy("feature").agg(*[F.sum(f"n{c}").alias(f"t{c}") for c in (0, 1)])
+    kept = [F.when(F.col(f"t{c}") > 1, F.col(f"n{c}")).otherwise(0).alias(f"n{c}") for c in (0, 1)]
+    # One row per feature: rows that are alone in their class do not count for the others either.
+    sized = counts.join(alone, "feature").select("feature", "value", *kept)
+    nothing = F.lit(None)
+    points = sized.select("feature", F.struct("value", F.lit(1).alias("side")).alias("at"), "n0", "n1", nothing.cast("int").alias("cls"),
+                          nothing.cast("double").alias("of"), nothing.cast("long").alias("n"), nothing.cast("long").alias("total"))
+    ends = [radii.select("feature", F.struct(F.col(c).alias("value"), F.lit(side).alias("side")).alias("at"), F.lit(0).cast("long").alias("n0"),
+                         F.lit(0).cast("long").alias("n1"), "cls", F.col("value").alias("of"), "n", "total") for c, side in (("low", 0), ("high", 2))]
+    run = running_counts(points.unionByName(ends[0]).unionByName(ends[1]), ["feature"], "at", ["n0", "n1"], large)
+    sign = F.when(F.col("at.side") == 2, 1).otherwise(-1)
+    inside = run.where(F.col("of").isNotNull()).groupBy("feature", "cls", "of", "n", "total").agg(
+        F.sum(sign * F.when(F.col("cls") == 1, F.col("cum_n1")).otherwise(F.col("cum_n0"))).alias("k"), F.sum(sign * (F.col("cum_n0") + F.col("cum_n1"))).alias("m"))
+    term = F.col("n") * (digamma_count(F.col("k") - 1) - digamma_count(F.col("m") - 1) - digamma_count(F.col("total")))
+    rows = F.sum("n").cast("double")
+    found = inside.groupBy("feature").agg((digamma_count(rows) + F.sum(term) / rows).alias("mi"))
+    all_ = counts.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("feature"))
+    return name_features(all_.join(found, "feature", "left").select("feature", F.greatest(F.coalesce("mi", F.lit(0.0)), F.lit(0.0)).alias("mi")), cols)
+
+
 def mutual_info_rank(
-    df: DataFrame, cols: Sequence[str], label: str = "label", top_n: int | None = None, bins: int = 10, large: bool | None = None
+    df: DataFrame, cols: Sequence[str], label: str = "label", top_n: int | None = None, neighbours: int = 3, large: bool | None = None
 ) -> DataFrame:
-    out, order = mutual_info(df, cols, label, bins, large), (F.desc("mi"), "feature")
+    """``mutual_info``, largest first."""
+    out, order = mutual_info(df, cols, label, neighbours, large=large), (F.desc("mi"), "feature")
     return out.orderBy(*order).limit(top_n) if top_n else small_sorted(out, *order)
 
 

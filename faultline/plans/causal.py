@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import discovery, graphs, logit, scaling
 from faultline.operators.sampling import undersample_majority
+from faultline.session import cut_lineage
 
 # Rule triples: class is a sink, time is a source, time acts through mediators only.
 EXPERIMENTS = [(False, False, False), (True, False, False), (True, True, True)]
@@ -40,27 +41,29 @@ def experiment_rules_grid(
 ) -> dict[str, DataFrame]:
     """Run both searches per rule triple; returns ``nodes`` and ``edges`` for all experiments.
 
-    The sample and its discretised form are the same for every experiment, so a CI test
-    asked by one is answered from memory for the next.
+    The sample and its discretised form are the same for every experiment, and the skeleton does
+    not depend on the rules: it is searched once. The linear models of all experiments go in
+    lockstep.
     """
     names = one_global(features, groups)
     balanced = undersample_majority(df, ratio, label).select("row_id", label, *names).persist()
     codes = scaling.quantile_discretise(balanced, names).select(F.col(label).alias(graphs.TARGET), *names).persist()
     smooth = scaling.standard_scale(balanced, names).select(F.col(label).cast("double").alias(graphs.TARGET), *names).persist()
     everyone = [*names, graphs.TARGET]
-    ci = discovery.IndependenceCache(codes)
+    skeletons = discovery.pc_skeletons(codes.withColumn("run_id", F.lit("")), everyone, "run_id", max_level=max_level)
+    skeleton = skeletons.get("", discovery.SkeletonSearch(everyone, 0.05))
+    names_of = {experiment_name(rules): rules for rules in experiments}
+    models = cut_lineage(discovery.lingam_by_run(
+        smooth.withColumn("_all", F.lit("")), everyone, "_all",
+        {k: discovery.forbidden_pairs(everyone, dict(groups), *rules) for k, rules in names_of.items()}, spread=False))
     whole = scaling.standard_scale(df.select("row_id", label, *names), names)
     screen = logit.age_adjusted_logit(whole, names, time, label) if time in names else None
     node_parts, edge_parts = [], []
-    for rules in experiments:
-        name = experiment_name(rules)
-        sink, source, mediation = rules
-        pc = discovery.pc_skeleton_orient(
-            codes, everyone, discovery.forbidden_pairs(everyone, None, *rules), run_id=name, ci=ci, max_level=max_level
-        )
-        raw = discovery.direct_lingam(smooth, everyone, discovery.forbidden_pairs(everyone, dict(groups), *rules), name)
+    for name, (sink, source, mediation) in names_of.items():
+        edges = discovery.pc_orient(everyone, skeleton.adj, skeleton.sepset, discovery.forbidden_pairs(everyone, None, sink, source, mediation))
+        pc = df.sparkSession.createDataFrame([(name, a, b) for a, b in sorted(edges)], "run_id string, src string, dst string")
+        raw = models.where(F.col("rule") == name).select(F.col("rule").alias("run_id"), "src", "dst", "weight")
         lingam = graphs.edge_cleanup(raw, sink, source, mediation)
-        pc = pc.select("run_id", "src", "dst")
         hybrid = graphs.hybrid_graph(lingam, pc, source)
         nodes = df.sparkSession.createDataFrame([(name, n) for n in everyone], "run_id string, node string")
         for algo, edges in (("PC", pc), ("LiNGAM", lingam)):

@@ -73,7 +73,7 @@ def long(src: str, names, ids: str = "label", where: str = "value IS NOT NULL")
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
 
 def running(src: str, names, label: str = "label") -> str:
@@ -86,16 +86,51 @@ run AS (SELECT *, sum(n0) OVER w AS c0, sum(n1) OVER w AS c1, sum(n0) OVER (PART
  WINDOW w AS (PARTITION BY feature ORDER BY value ROWS UNBOUNDED PRECEDING))"""
 
 
-KS = """ks AS (SELECT feature, max(CASE WHEN t0 > 0 AND t1 > 0 THEN abs(c1 / t1 - c0 / t0) END) AS stat, max(t0) AS n0, max(t1) AS n1 FROM run GROUP BY feature),
-ksp AS (SELECT feature, stat, CASE WHEN stat IS NULL OR x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (
- SELECT sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * x * x)) FROM range(1, 51) t(j)))) END AS p_value
- FROM (SELECT *, stat * sqrt(CAST(n1 AS DOUBLE) * n0 / (n1 + n0)) AS x FROM ks))"""
+def ks(ties: bool = False) -> str:
+    """Distances and p-values; the exact chance is a recursion over the pooled rows."""
+    ends = ", list(c0 + c1) AS ends" if ties else ""
+    checked = " AND list_contains(ends, s + 1)" if ties else ""
+    carried = ", ends" if ties else ""
+    return f"""ks AS (SELECT feature, max(CASE WHEN t0 > 0 AND t1 > 0 THEN abs(c1 / t1 - c0 / t0) END) AS stat, max(t0) AS n0, max(t1) AS n1,
+ CAST(max(abs(c1 * t0 - c0 * t1)) AS BIGINT) AS gap{ends} FROM run GROUP BY feature),
+ksx(feature, a, b, gap{carried}, s, u) USING KEY (feature) AS (
+ SELECT feature, CAST(greatest(n0, n1) AS BIGINT), CAST(least(n0, n1) AS BIGINT), gap{carried}, CAST(0 AS BIGINT), list_transform(range(0, CAST(least(n0, n1) + 1 AS BIGINT)), lambda i: 0.0::DOUBLE)
+ FROM ks WHERE stat IS NOT NULL AND greatest(n0, n1) <= 10000
+ UNION SELECT feature, a, b, gap{carried}, s + 1, list_transform(range(0, b + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > a THEN 0.0::DOUBLE
+  WHEN abs(i * (a + b) - (s + 1) * b) >= gap{checked} THEN 1.0::DOUBLE ELSE (i * coalesce(u[i], 0.0) + (s + 1 - i) * u[i + 1]) / (s + 1) END) FROM ksx WHERE s < a + b),
+ksp AS (SELECT z.feature, stat, coalesce(least(1.0, ksx.u[ksx.b + 1]), CASE WHEN stat IS NULL OR x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (
+ SELECT sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * x * x)) FROM range(1, 51) t(j)))) END) AS p_value, z.n0, z.n1
+ FROM (SELECT *, stat * sqrt(CAST(n1 AS DOUBLE) * n0 / (n1 + n0)) AS x FROM ks) z LEFT JOIN ksx ON ksx.feature = z.feature)"""
+
+
+KS = ks()
+
+
+def _psi(x: str) -> str:
+    z = f"({x} + 8.0::DOUBLE)"
+    inv = f"(1.0 / ({z} * {z}))"
+    terms = " + ".join(f"1.0 / ({x} + {i}.0::DOUBLE)" for i in range(8))
+    return f"(ln({z}) - 0.5 / {z} - {inv} * (1.0 / 12 - {inv} * (1.0 / 120 - {inv} * (1.0 / 252 - {inv} * (1.0 / 240 - {inv} / 132)))) - ({terms}))"
+
+
+def _near(k: int) -> str:
+    return ", ".join(f"{{'d': abs({f}(value, {i}) OVER w - value), 'n': {f}(n, {i}) OVER w, 'v': {f}(value, {i}) OVER w}}" for i in range(1, k + 1) for f in ("lag", "lead"))
+
+
+# Nearest-neighbour mutual information: counts in the interval of each row's third neighbour.
+MI = f"""nn0 AS ({" UNION ALL ".join(f"SELECT feature, value, {c} AS cls, CAST(n{c} AS BIGINT) AS n, CAST(t{c} AS BIGINT) AS total FROM run WHERE n{c} > 0 AND t{c} > 1" for c in (0, 1))}),
+nn1 AS (SELECT *, list_sort(list_filter([{{'d': 0.0::DOUBLE, 'n': n - 1, 'v': value}}, {_near(3)}], lambda e: e.d IS NOT NULL)) AS around FROM nn0 WINDOW w AS (PARTITION BY feature, cls ORDER BY value)),
+nn2 AS (SELECT feature, value, cls, n, total, around[list_filter(range(1, len(around) + 1), lambda i: list_sum(list_transform(around[1:i], lambda e: e.n)) >= least(3, total - 1))[1]] AS r FROM nn1),
+nn3 AS (SELECT *, least(value - r.d, r.v) AS low, greatest(value + r.d, r.v) AS high FROM nn2),
+nn4 AS (SELECT q.*, b.c0 - coalesce(a.c0, 0) AS k0, b.c1 - coalesce(a.c1, 0) AS k1 FROM nn3 q ASOF JOIN run b ON q.feature = b.feature AND q.high >= b.value
+ ASOF LEFT JOIN run a ON q.feature = a.feature AND q.low > a.value),
+mi AS (SELECT feature, greatest(0.0, {_psi('CAST(sum(n) AS DOUBLE)')} + sum(n * ({_psi('(CASE WHEN cls = 1 THEN k1 ELSE k0 END - 1)')} - {_psi('(k0 + k1 - 1)')} - {_psi('total')})) / sum(n)) AS mi FROM nn4 GROUP BY feature)"""
 KW = """kw0 AS (SELECT feature, t0, t1, n0, n1, CAST(n0 + n1 AS DOUBLE) AS t, c0 + c1 - (CAST(n0 + n1 AS DOUBLE) - 1) / 2 AS rk FROM run),
 kw1 AS (SELECT feature, max(t0) AS n0, max(t1) AS n1, CAST(max(t0 + t1) AS DOUBLE) AS n, sum(n0 * rk) AS r0, sum(n1 * rk) AS r1,
  sum(t * t * t - t) AS ties FROM kw0 GROUP BY feature),
 kw AS (SELECT feature, n0, n1, n, r0, r1, CASE WHEN n0 > 0 AND n1 > 0 AND 1 - ties / (n * n * n - n) > 0 THEN
  (12.0 / (n * (n + 1)) * (r0 * r0 / n0 + r1 * r1 / n1) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) END AS stat FROM kw1)"""
-MI = """mib AS (SELECT *, ntile(10) OVER (PARTITION BY feature ORDER BY value) AS b FROM run),
+MI_BINNED = """mib AS (SELECT *, ntile(10) OVER (PARTITION BY feature ORDER BY value) AS b FROM run),
 mic AS (SELECT feature, b, sum(n0) AS n0, sum(n1) AS n1, CAST(max(t0) AS DOUBLE) AS t0, CAST(max(t1) AS DOUBLE) AS t1 FROM mib GROUP BY feature, b),
 mi AS (SELECT feature, sum(CASE WHEN n0 > 0 THEN n0 / (t0 + t1) * ln((n0 / (t0 + t1)) / (((n0 + n1) / (t0 + t1)) * (t0 / (t0 + t1)))) ELSE 0 END
  + CASE WHEN n1 > 0 THEN n1 / (t0 + t1) * ln((n1 / (t0 + t1)) / (((n0 + n1) / (t0 + t1)) * (t1 / (t0 + t1)))) ELSE 0 END) AS mi
@@ -414,6 +449,8 @@ FROM eng e JOIN cust USING (row_id), refs"""
     flat = "flatc AS (SELECT *, 1.0 AS flat FROM cust)"
     o["kruskal_wallis"] = with_(CUST, flat, running("flatc", [*WITH_GAPS, "flat"]), KW) + f"SELECT feature, {r6('stat')} FROM kw"
     o["mutual_info_rank"] = with_(ITEM, running("item", X.ITEM), MI) + f"SELECT feature, {r6('mi')} FROM mi"
+    o["mutual_info_binned"] = with_(ITEM, running("item", X.ITEM), MI_BINNED) + f"SELECT feature, {r6('mi')} FROM mi"
+    o["ks_pvalues_ties"] = with_(CUST, running("cust", [*CORE, *X.BA]), ks(True)) + f"SELECT feature, {r6('stat')}, {r6('p_value')}, n0, n1 FROM ksp"
     o["spearman_pair"] = with_(CUST, "f AS (SELECT * FROM cust WHERE na_mid IS NOT NULL)") + f"""SELECT 'na_mid' AS feature, {r6('corr(a, b)', 'rho')}
  FROM (SELECT {avg_rank('na_mid')} AS a, {avg_rank('aa_000')} AS b FROM f)"""
     sm = ["aa_000", *X.BA]
@@ -455,13 +492,26 @@ SELECT feature, label, peaks, n, {r6('n / sum(n) OVER (PARTITION BY feature, lab
     o["fan_points"] = with_(CUST, ENG) + f"SELECT row_id, {r6('aa_000', 'x')}, {r6('ay_DCI', 'y')}, label FROM eng"
     zone = lambda z, w: f"SELECT {z} AS zone, count(*) AS n, {r6('avg(ay_DCI)', 'mean_y', 8)}, {r6('regr_slope(ay_DCI, aa_000)', 'slope', 8)}, {r6('regr_intercept(ay_DCI, aa_000)', 'intercept', 8)} FROM eng {w}"
     o["zone_means"] = with_(CUST, ENG) + zone("CAST(label AS VARCHAR)", "GROUP BY label") + " UNION ALL " + zone("'all'", "")
-    dens = lambda f: f"""SELECT '{f}' AS feature, label, CAST(least(19, floor(({f} - (SELECT min({f}) FROM item)) / w)) AS INT) AS bin, count(*) AS n, max(w) AS w
- FROM item, (SELECT (max({f}) - min({f})) / 20 AS w FROM item) GROUP BY ALL"""
     dens = lambda f: f"""SELECT '{f}' AS feature, label, CAST(least(19, floor(({f} - lo) / w)) AS INT) AS bin, count(*) AS n, max(w) AS w
  FROM item, (SELECT min({f}) AS lo, (max({f}) - min({f})) / 20 AS w FROM item) GROUP BY 1, 2, 3"""
-    o["density_by_class"] = with_(ITEM) + f""", k AS ({dens('l_extendedprice')} UNION ALL {dens('l_quantity')})
+    o["histogram_by_class"] = with_(ITEM) + f""", k AS ({dens('l_extendedprice')} UNION ALL {dens('l_quantity')})
 SELECT feature, label, bin, n, {r6('n / sum(n) OVER (PARTITION BY feature, label) / w', 'density', 9)},
  {r6('sum(n) OVER (PARTITION BY feature, label ORDER BY bin ROWS UNBOUNDED PRECEDING) / sum(n) OVER (PARTITION BY feature, label)', 'cdf', 9)} FROM k"""
+    # The same grid as the operator; its closeness to the direct sum is tested apart.
+    phi = "0.5 * ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-y * y)"
+    o["density_by_class"] = with_(ITEM) + f""", dv AS (SELECT 'l_extendedprice' AS feature, label, l_extendedprice AS value FROM item UNION ALL SELECT 'l_quantity', label, l_quantity FROM item),
+dw AS (SELECT feature, label, count(*) AS n, min(value) AS least, max(value) AS most, stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2) AS w FROM dv GROUP BY 1, 2),
+dg AS (SELECT *, least - 3.0 * w AS first, ((most + 3.0 * w) - (least - 3.0 * w)) / 199.0 AS step FROM dw),
+db AS (SELECT feature, label, floor((value - first) / least(step, g.w / 16.0)) AS cell, (value - first) / least(step, g.w / 16.0) AS place FROM dv JOIN dg g USING (feature, label)),
+dc AS (SELECT feature, label, cell, sum(weight) AS weight FROM (SELECT feature, label, cell, 1.0 - (place - cell) AS weight FROM db UNION ALL SELECT feature, label, cell + 1, place - cell FROM db) GROUP BY 1, 2, 3),
+dn AS (SELECT c.*, g.*, first + cell * least(step, w / 16.0) AS at FROM dc c JOIN dg g ON c.feature = g.feature AND c.label = g.label),
+dp AS (SELECT feature, label, unnest(range(0, 200)) AS point FROM dg),
+dt AS (SELECT p.feature, p.label, p.point, d.weight, d.w, (d.first + p.point * d.step - d.at) / d.w AS z FROM dp p JOIN dn d ON p.feature = d.feature AND p.label = d.label),
+du AS (SELECT *, abs(z) / sqrt(2.0) AS y, 1.0 / (1.0 + 0.3275911 * (abs(z) / sqrt(2.0))) AS t FROM dt),
+ds AS (SELECT feature, label, point, sum(CASE WHEN abs(z) <= 6 THEN weight * exp(-z * z / 2.0) / (sqrt(2.0 * pi()) * w) END) AS density,
+ sum(CASE WHEN z > 6 THEN weight WHEN z < -6 THEN 0 WHEN z >= 0 THEN weight * (1.0 - {phi}) ELSE weight * ({phi}) END) AS cdf FROM du GROUP BY 1, 2, 3)
+SELECT s.feature, s.label, CAST(s.point AS INT) AS point, {r6('g.first + s.point * g.step', 'x')}, {r6('coalesce(s.density, 0) / g.n', 'density')},
+ {r6('least(s.cdf / g.n, 1.0)', 'cdf')} FROM ds s JOIN dg g ON s.feature = g.feature AND s.label = g.label"""
     feats = ["aa_000", *X.BA, "ag_000"]
     fam_rk = with_(CUST, "fs AS (SELECT *, " + ", ".join(f"{' + '.join(b)} AS s_{f}" for f, b in X.FAMILIES.items()) + " FROM cust)",
                    "rks AS (SELECT " + ", ".join(f"{avg_rank(x)} AS {x}" for x in [*feats, *[f"s_{f}" for f in X.FAMILIES]]) + " FROM fs)",

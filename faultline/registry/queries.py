@@ -320,6 +320,15 @@ def q_mutual_info_rank(spark, sf):
     return rounded(ranktests.mutual_info_rank(X.item_features(spark, sf), X.ITEM), "mi")
 
 
+def q_mutual_info_binned(spark, sf):
+    return rounded(ranktests.mutual_info_binned(X.item_features(spark, sf), X.ITEM), "mi")
+
+
+def q_ks_pvalues_ties(spark, sf):
+    """Chances given the ties, exact up to the size for it."""
+    return rounded(ranktests.ks_statistics(X.cust_features(spark, sf), [*CORE, *X.BA], ties=True), "stat", "p_value")
+
+
 def q_spearman_pair(spark, sf):
     return rounded(correlation.spearman_pair(X.cust_features(spark, sf), "na_mid", "aa_000"), "rho")
 
@@ -386,7 +395,12 @@ def q_zone_means(spark, sf):
 
 def q_density_by_class(spark, sf):
     df = X.item_features(spark, sf)
-    return rounded(describe.density_by_class(df, ["l_extendedprice", "l_quantity"], 20), "density", "cdf", digits=9)
+    return rounded(describe.density_by_class(df, ["l_extendedprice", "l_quantity"]), "x", "density", "cdf")
+
+
+def q_histogram_by_class(spark, sf):
+    df = X.item_features(spark, sf)
+    return rounded(describe.histogram_by_class(df, ["l_extendedprice", "l_quantity"], 20), "density", "cdf", digits=9)
 
 
 def q_melt_by_class(spark, sf):
@@ -766,9 +780,13 @@ def q_contingency(spark, sf):
     return independence.contingency(_codes(spark, sf), TESTS)
 
 
-def q_contingency_by_run(spark, sf):
+def _by_nation(spark, sf, df):
     nation = X.table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").cast("long").alias("run_id"))
-    df = X.cust_features(spark, sf).join(nation, "row_id").select("run_id", F.col("label").alias("class"), *CAUSAL)
+    return df.join(nation, "row_id").select("run_id", F.col("label").alias("class"), *CAUSAL)
+
+
+def q_contingency_by_run(spark, sf):
+    df = _by_nation(spark, sf, X.cust_features(spark, sf))
     return independence.contingency(scaling.quantile_discretise(df, CAUSAL), TESTS[:3], by="run_id")
 
 
@@ -779,7 +797,7 @@ def q_chisq_ci(spark, sf):
 
 def q_pc_skeleton_orient(spark, sf):
     names = [*CAUSAL, "class"]
-    return discovery.pc_skeleton_orient(_codes(spark, sf).persist(), names, discovery.forbidden_pairs(names))
+    return discovery.pc_skeleton_orient(_codes(spark, sf), names, discovery.forbidden_pairs(names))
 
 
 def _continuous(spark, sf):
@@ -792,6 +810,20 @@ def q_direct_lingam(spark, sf):
     return discovery.direct_lingam(_continuous(spark, sf).persist(), names, discovery.forbidden_pairs(names))
 
 
+def q_pc_by_run(spark, sf):
+    """One search per nation, all at once."""
+    names = [*CAUSAL, "class"]
+    codes = scaling.quantile_discretise(_by_nation(spark, sf, X.cust_features(spark, sf)), CAUSAL)
+    return discovery.pc_by_run(codes, names, "run_id", discovery.forbidden_pairs(names))
+
+
+def q_lingam_by_run(spark, sf):
+    names = [*CAUSAL, "class"]
+    df = _by_nation(spark, sf, missing.median_impute(X.cust_features(spark, sf), ["na_mid"]))
+    found = discovery.lingam_by_run(scaling.standard_scale(df, CAUSAL), names, "run_id", {"ruled": discovery.forbidden_pairs(names), "free": set()})
+    return rounded(found, "weight")
+
+
 def q_edge_cleanup(spark, sf):
     return graphs.edge_cleanup(X.edge_table(spark, sf))
 

@@ -139,3 +139,124 @@ def test_rules_grid_respects_rules(spark, cust):
 def test_one_global():
     groups = {"a": "Global", "aa_000": "Global", "b": "Secondary"}
     assert causal.one_global(["a", "b", "aa_000"], groups) == ["b", "aa_000"]
+
+
+def _runs(spark, runs, rows=600):
+    rng = np.random.default_rng(7)
+    parts = []
+    for r in range(runs):
+        a, b = rng.integers(0, 2 + r % 2, rows), rng.integers(0, 3, rows)
+        c = np.where(rng.random(rows) < 0.5 + 0.1 * (r % 5), (a + b) % 3, rng.integers(0, 3, rows))
+        d = np.where(rng.random(rows) < 0.8, c, rng.integers(0, 3, rows))
+        e = np.where(rng.random(rows) < 0.4, a, rng.integers(-2, 2, rows))
+        parts.append(pd.DataFrame({"run_id": r, "a": a, "b": b, "c": c, "d": d, "e": e}))
+    return pd.concat(parts)
+
+
+def plain_skeleton(pdf, names, alpha):
+    """Every test of every level, one at a time, from dense tables."""
+    from itertools import combinations
+
+    from faultline.functions.numeric import chi2_sf
+
+    def p_value(x, y, z):
+        stat = dof = 0
+        for _, g in pdf.groupby(list(z)) if z else [(0, pdf)]:
+            t = pd.crosstab(g[x], g[y]).to_numpy()
+            e = t.sum(1, keepdims=True) * t.sum(0, keepdims=True) / t.sum()
+            stat, dof = stat + ((t - e) ** 2 / e).sum(), dof + (t.shape[0] - 1) * (t.shape[1] - 1)
+        return chi2_sf(stat, dof)
+
+    adj, sep, level = {a: set(names) - {a} for a in names}, {}, 0
+    while any(len(v) > level for v in adj.values()):
+        before = {a: set(v) for a, v in adj.items()}
+        for a, b in combinations(sorted(names), 2):
+            if b in before[a]:
+                sets = sorted({z for p, q in ((a, b), (b, a)) for z in combinations(sorted(before[p] - {q}), level)})
+                z = next((z for z in sets if p_value(a, b, z) > alpha), None)
+                if z is not None:
+                    sep[a, b] = set(z)
+                    adj[a].discard(b)
+                    adj[b].discard(a)
+        level += 1
+    return adj, sep, level
+
+
+def test_pc_of_many_runs_in_as_many_jobs_as_levels(spark, monkeypatch):
+    pdf, names = _runs(spark, 40), list("abcde")
+    df = spark.createDataFrame(pdf).repartition(6)
+    asked, answer = [], discovery._p_values
+    monkeypatch.setattr(discovery, "_p_values", lambda *a: asked.append({r: list(t) for r, t in a[3].items()}) or answer(*a))
+    found = discovery.pc_skeletons(df, names, "run_id")
+    plain = {r: plain_skeleton(g, names, 0.05) for r, g in pdf.groupby("run_id")}
+    assert {r: (s.adj, s.sepset) for r, s in found.items()} == {r: (adj, sep) for r, (adj, sep, _) in plain.items()}
+    assert len(asked) == max(levels for _, _, levels in plain.values())
+    asked.clear()
+    parts = discovery.pc_skeletons(df, names, "run_id", batch=90)
+    assert {r: (s.adj, s.sepset) for r, s in parts.items()} == {r: (s.adj, s.sepset) for r, s in found.items()}
+    assert len(asked) > 5 and max(sum(map(len, a.values())) for a in asked) <= 100
+    known = {("c", "a"), ("c", "b"), ("d", "c")}
+    edges = {(r["run_id"], r["src"], r["dst"]) for r in discovery.pc_by_run(df.where("run_id < 3"), names, forbidden=known).collect()}
+    alone = {(k, r["src"], r["dst"]) for k in range(3) for r in discovery.pc_skeleton_orient(df.where(f"run_id = {k}"), names, known).collect()}
+    assert edges == alone and edges
+
+
+def test_conditioning_sets_come_from_generators():
+    """A dense graph's level is drawn in parts without listing it."""
+    names = [f"v{i:02d}" for i in range(40)]
+    search = discovery.SkeletonSearch(names, 0.05)
+    assert search.start(15)  # 39 over 15 sets a side
+    first = search.draw(2)
+    assert len(first) == 2 * 780 and first[0] == ("v00", "v01", tuple(names[2:17]))
+    assert search.draw(1)[0] == ("v00", "v01", (*names[2:16], names[18]))
+    search.learn(first, [1.0] * len(first))
+    assert not search.open and search.sepset["v00", "v01"] == set(names[2:17])
+
+
+def test_lingam_of_many_runs_equals_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = []
+    for r in range(30):
+        a = rng.uniform(-1, 1, 300 if r else 5000)
+        b = (0.5 + r / 60) * a + rng.uniform(-1, 1, len(a))
+        parts.append(pd.DataFrame({"run_id": f"r{r}", "c": 0.7 * b + rng.uniform(-1, 1, len(a)) + r, "a": a, "b": b}))
+    pdf = pd.concat(parts)
+    pdf.loc[pdf.index[:3], "a"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    jobs, terms = [], discovery.entropy_terms
+    monkeypatch.setattr(discovery, "entropy_terms", lambda *a: jobs.append(sum(len(w) for w, _ in a[3].values())) or terms(*a))
+    rules = {"free": set(), "no_ab": {("a", "b")}}
+    got = {(r["run_id"], r["rule"], r["src"], r["dst"]): r["weight"] for r in discovery.lingam_by_run(df, ["c", "a", "b"], rules=rules).collect()}
+    assert len(jobs) == 2
+    jobs.clear()
+    parts = {(r["run_id"], r["rule"], r["src"], r["dst"]): r["weight"] for r in discovery.lingam_by_run(df, ["c", "a", "b"], rules=rules, batch=50).collect()}
+    assert parts == pytest.approx(got) and max(jobs) <= 50
+    for r in ("r0", "r7", "r29"):
+        for k, rule in rules.items():
+            one = {(r, k, e["src"], e["dst"]): e["weight"] for e in discovery.direct_lingam(df.where(F.col("run_id") == r), ["c", "a", "b"], rule).collect()}
+            assert one == pytest.approx({key: w for key, w in got.items() if key[:2] == (r, k)})
+    assert ("r0", "no_ab", "a", "b") not in got and got["r0", "free", "a", "b"] == pytest.approx(0.5, abs=0.05)
+
+
+def test_discovery_of_empty_and_null_runs(spark):
+    df = spark.createDataFrame(_runs(spark, 2)).selectExpr("nullif(run_id, 1) as run_id", "a", "b", "c", "d", "e")
+    assert discovery.pc_by_run(df.where("false"), list("abc")).count() == 0
+    assert discovery.lingam_by_run(df.where("false"), list("abc")).count() == 0
+    assert set(discovery.pc_skeletons(df, list("abcd"), "run_id")) == {0, None}
+    assert {r["run_id"] for r in discovery.lingam_by_run(df, list("abcd")).collect()} == {0, None}
+
+
+def test_lingam_of_degenerate_runs(spark):
+    """Constant, doubled and nearly empty columns give finite weights and no warnings."""
+    import warnings
+
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-1, 1, 200)
+    pdf = pd.concat([
+        pd.DataFrame({"run_id": 0, "a": x, "b": 2 * x, "c": 0.0, "d": x + rng.uniform(-1, 1, 200)}),
+        pd.DataFrame({"run_id": 1, "a": x[:2], "b": x[2:4], "c": x[4:6], "d": x[6:8]}), pd.DataFrame({"run_id": 2, "a": [1.0], "b": 2.0, "c": 3.0, "d": 4.0})])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        got = discovery.lingam_by_run(spark.createDataFrame(pdf), list("abcd")).collect()
+    assert all(np.isfinite(r["weight"]) for r in got) and {r["run_id"] for r in got} <= {0, 1}
+    assert all("c" not in (r["src"], r["dst"]) for r in got if r["run_id"] == 0)
