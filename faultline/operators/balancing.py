@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions import special
 from faultline.functions.seeded import seeded_normal, seeded_uniform
-from faultline.operators.correlation import spearman_matrix
 from faultline.operators.knn import knn_self
+from faultline.operators.marginals import Marginal, fit_marginals, score_correlation
 from faultline.operators.order import seeded_rank
-from faultline.operators.prefix import quantile_map
 
 
 def _vector(cols: Sequence[str]):
@@ -119,33 +118,13 @@ def _binary_columns(df: DataFrame, cols: Sequence[str]) -> set[str]:
     return {c for i, c in enumerate(cols) if row[i] or "is_missing" in c}
 
 
-def _normal_cdf(x: np.ndarray) -> np.ndarray:
-    """Abramowitz-Stegun 7.1.26, error below 1.5e-7."""
-    z = np.abs(x) / math.sqrt(2.0)
-    t = 1.0 / (1.0 + 0.3275911 * z)
-    # Coefficients of the published approximation.
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    tail = 0.5 * poly * np.exp(-z * z)
-    return np.where(x >= 0, 1.0 - tail, tail)
-
-
-def copula_fit(minority: DataFrame, cols: Sequence[str], id_col: str = "row_id", grid: int = 100):
-    """Empirical marginals (quantile grids) and the Cholesky factor of the copula.
-
-    Deviation: marginals are empirical, not parametric. The normal-score correlation
-    follows from rank correlation as 2 sin(pi/6 rho).
-    """
-    probs = [i / grid for i in range(grid + 1)]
-    marginals = quantile_map(minority, cols, probs)
-    pos = {c: i for i, c in enumerate(cols)}
-    corr = np.eye(len(cols))
-    for r in spearman_matrix(minority, cols, id_col).collect():
-        if r["a"] != r["b"] and r["rho"] is not None:
-            corr[pos[r["a"]], pos[r["b"]]] = 2 * math.sin(math.pi / 6 * r["rho"])
-    values, vectors = np.linalg.eigh((corr + corr.T) / 2)
+def copula_fit(minority: DataFrame, cols: Sequence[str]) -> tuple[dict[str, Marginal], np.ndarray]:
+    """The closest parametric marginal of each column and the Cholesky factor of the normal scores' correlation."""
+    marginals = fit_marginals(minority, cols)
+    values, vectors = np.linalg.eigh(score_correlation(minority, marginals))
     fixed = vectors @ np.diag(np.maximum(values, 1e-8)) @ vectors.T
     scale = np.sqrt(np.diag(fixed))
-    return probs, marginals, np.linalg.cholesky(fixed / np.outer(scale, scale))
+    return marginals, np.linalg.cholesky(fixed / np.outer(scale, scale))
 
 
 def copula_balance(
@@ -154,6 +133,7 @@ def copula_balance(
 ) -> DataFrame:
     """Add int(n_maj * ratio) - n_min minority rows drawn from a Gaussian copula.
 
+    Marginals are beta, gamma, normal or uniform, whichever comes closest to the minority's values.
     No-op when the ratio is met; NULLs are an error. Binary columns are rounded into
     {0, 1}, others are >= 0, and columns named with a final digit are whole numbers.
     Synthetic ids are negative.
@@ -168,17 +148,21 @@ def copula_balance(
         return base
     minority = base.where(F.col(label) == 1)
     binary = _binary_columns(base, cols)
-    probs, marginals, chol = copula_fit(minority, cols, id_col)
-    grids = [np.array(marginals[c]) for c in cols]
+    marginals, chol = copula_fit(minority, cols)
+    # Quantiles tabulated by normal score; a column of two values has a step that no table keeps.
+    knots = np.linspace(-8.0, 8.0, 1025)
+    grids = [marginals[c].quantile(special.normal_cdf(knots)) for c in cols]
     whole = [c in binary or c[-1].isdigit() for c in cols]
     is_binary = [c in binary for c in cols]
 
     def draw(batches):
         for pdf in batches:
-            u = _normal_cdf(pdf.drop(columns=[id_col]).to_numpy() @ chol.T)
+            z = pdf.drop(columns=[id_col]).to_numpy() @ chol.T
             out = {id_col: pdf[id_col], label: np.ones(len(pdf), dtype="int32")}
             for i, c in enumerate(cols):
-                v = np.maximum(0.0, np.interp(u[:, i], probs, grids[i]))
+                m = marginals[c]
+                v = m.quantile(special.normal_cdf(z[:, i])) if m.family == "two values" else np.interp(z[:, i], knots, grids[i])
+                v = np.maximum(0.0, v)
                 v = np.round(v) if whole[i] else v
                 out[c] = np.minimum(v, 1.0) if is_binary[i] else v
             yield pd.DataFrame(out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,6 @@ from faultline.functions.numeric import finite_or_null, normal_sf2
 from faultline.operators.pairs import pearson_matrix
 
 Z95 = 1.959963984540054
-Z94 = 1.880793608151251
 
 
 def _batched(
@@ -125,28 +125,134 @@ def _wald(spark, features: Sequence[str], fits: dict[str, tuple[float, float, fl
     )
 
 
+DRAWS = 4000
+
+
+@dataclass
+class Proposal:
+    """Draws of a multivariate t around a posterior mode, to be weighted by the true posterior."""
+
+    columns: list[str]  # the columns that the coefficients after the intercept belong to
+    draws: np.ndarray  # draws x coefficients, the intercept first
+    log_density: np.ndarray
+    log_prior: np.ndarray
+
+
+def propose(columns: Sequence[str], mode: np.ndarray, cov: np.ndarray, precision: np.ndarray, draws: int, seed: int, freedom: float = 5.0) -> Proposal:
+    """Antithetic t draws with the mode's curvature; their tails are heavier than those of a posterior with normal priors."""
+    rng = np.random.default_rng(seed)
+    d, half = len(mode), -(-draws // 2)
+    z = rng.standard_normal((half, d))
+    stretch = np.sqrt(freedom / rng.chisquare(freedom, half))
+    unit = np.concatenate([z * stretch[:, None], -z * stretch[:, None]])[:draws]
+    b = mode + unit @ np.linalg.cholesky(cov).T
+    return Proposal(list(columns), b, -(freedom + d) / 2 * np.log1p((unit**2).sum(axis=1) / freedom), -0.5 * ((b @ precision) * b).sum(axis=1))
+
+
+def log_likelihoods(df: DataFrame, proposals: Sequence[Proposal], label: str, rows: int = 256) -> list[np.ndarray]:
+    """The log likelihood of all draws of all proposals in one pass: a task adds its rows up, one sum per draw.
+
+    A proposal counts the rows that have all its columns.
+    """
+    names = sorted({c for p in proposals for c in p.columns})
+    at = {c: i for i, c in enumerate(names)}
+    starts = np.cumsum([0, *[len(p.draws) for p in proposals]])
+
+    def partial(batches):
+        total = np.zeros(starts[-1])
+        for pdf in batches:
+            x, y = pdf[names].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float)
+            for p, a in zip(proposals, starts):
+                own = x[:, [at[c] for c in p.columns]]
+                seen = np.isfinite(own).all(axis=1)
+                own, truth = np.column_stack([np.ones(int(seen.sum())), own[seen]]), y[seen]
+                for k in range(0, len(own), rows):  # bounds the memory: rows x draws
+                    eta = own[k : k + rows] @ p.draws.T
+                    total[a : a + len(p.draws)] += truth[k : k + rows] @ eta - np.logaddexp(0.0, eta).sum(axis=0)
+        yield pd.DataFrame({"k": np.arange(len(total), dtype="int32"), "v": total})
+
+    base = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in names])
+    flat = np.zeros(starts[-1])
+    for r in base.mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        flat[r["k"]] = r["v"]
+    return [flat[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def smoothed_weights(log_ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Importance weights that add to 1, and the tail's Pareto shape.
+
+    The largest ratios are replaced by the quantiles of a generalised Pareto distribution fitted to them
+    (profile over its scale, averaged by likelihood), which takes the noise out of the tail; a shape above 0.7
+    says that the proposal misses part of the posterior.
+    """
+    ratio = np.exp(log_ratio - log_ratio.max())
+    s = len(ratio)
+    tail = int(min(0.2 * s, 3 * np.sqrt(s)))
+    order = np.argsort(ratio, kind="stable")
+    shape = 0.0
+    if tail >= 5 and ratio[order[-1]] > ratio[order[-tail - 1]]:
+        cut = ratio[order[-tail - 1]]
+        x = ratio[order[-tail:]] - cut
+        m = 30 + int(np.sqrt(tail))
+        theta = 1 / x[-1] + (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * max(x[int(tail / 4 + 0.5) - 1], 1e-300))
+        theta = theta[np.abs(theta) > 1e-12]
+        k = np.array([np.log1p(-t * x).mean() for t in theta])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            profile = tail * (np.log(-theta / k) - k - 1)
+        fine = np.isfinite(profile)
+        weight = np.exp(profile[fine] - profile[fine].max())
+        t = float((theta[fine] * weight).sum() / weight.sum())
+        shape = float(np.log1p(-t * x).mean())
+        scale = -shape / t
+        p = (np.arange(1, tail + 1) - 0.5) / tail
+        spread = scale * np.expm1(-shape * np.log1p(-p)) / shape if abs(shape) > 1e-9 else -scale * np.log1p(-p)
+        ratio[order[-tail:]] = np.minimum(cut + spread, 1.0)
+        shape = (shape * tail + 5) / (tail + 10)  # drawn to a half, as ten further values would do
+    return ratio / ratio.sum(), shape
+
+
+def shortest_interval(x: np.ndarray, weight: np.ndarray, share: float = 0.94) -> tuple[float, float]:
+    """The narrowest range of ``x`` that holds ``share`` of the weight."""
+    order = np.argsort(x, kind="stable")
+    x, upto = x[order], np.cumsum(weight[order])
+    before = upto - weight[order]
+    stop = np.searchsorted(upto, before + share - 1e-12)
+    start = np.flatnonzero(stop < len(x))
+    if not len(start):
+        return float(x[0]), float(x[-1])
+    best = start[np.argmin(x[stop[start]] - x[start])]
+    return float(x[best]), float(x[stop[best]])
+
+
 def bayes_logit_by_feature(
     df: DataFrame, features: Sequence[str], control: str = "aa_000", label: str = "label",
-    sd_beta: float = 2.5, sd_alpha: float = 1.0,
+    sd_beta: float = 2.5, sd_alpha: float = 1.0, draws: int = DRAWS, seed: int = 42,
 ) -> DataFrame:
-    """Posterior of each feature given age: mode and Laplace 94 % interval.
+    """Posterior mean and shortest 94 % interval of each feature's coefficient given age.
 
-    Deviation: a Gaussian approximation at the mode, no sampling.
+    Draws around the mode are weighted by the posterior itself: two kinds of jobs, the Newton
+    rounds and one pass for the draws of all features. ``tail`` above 0.7 warns of a proposal too narrow.
     """
     prior = np.array([sd_alpha, sd_beta, sd_beta])
     wanted = [f for f in features if f != control]
     fits = _batched(df, wanted, control, label, prior, 50, 1e-9)
-    return _laplace(df.sparkSession, wanted, {f: (b[2], v[2, 2]) for f, (b, v) in fits.items()})
+    precision = np.diag(1 / prior**2)
+    found = [f for f in wanted if f in fits]
+    proposals = [propose([control, f], *fits[f], precision, draws, seed + i) for i, f in enumerate(found)]
+    seen = log_likelihoods(df, proposals, label) if proposals else []
+    return _posterior(df.sparkSession, wanted, {f: (p, v, 2) for f, p, v in zip(found, proposals, seen)})
 
 
-def _laplace(spark, features: Sequence[str], fits: dict[str, tuple[float, float]], converged: bool = True) -> DataFrame:
+def _posterior(spark, features: Sequence[str], fits: dict[str, tuple[Proposal, np.ndarray, int]], converged: bool = True) -> DataFrame:
     rows = []
-    for f, (mean, var) in fits.items():
-        mean, se = float(mean), math.sqrt(max(var, 0.0))
-        rows.append((f, mean, math.exp(min(mean, 700)), mean - Z94 * se, mean + Z94 * se, converged))
+    for f, (p, likelihood, i) in fits.items():
+        weight, shape = smoothed_weights(likelihood + p.log_prior - p.log_density)
+        b = p.draws[:, i]
+        mean, (low, high) = float(weight @ b), shortest_interval(b, weight)
+        rows.append((f, mean, math.exp(min(mean, 700)), low, high, shape, converged))
     rows.sort(key=lambda r: (-abs(r[1]), r[0]))
-    rows += [(f, *[None] * 4, False) for f in sorted(set(features) - set(fits))]
-    return spark.createDataFrame(rows, "feature string, mean double, odds_ratio double, hdi_3 double, hdi_97 double, converged boolean")
+    rows += [(f, *[None] * 5, False) for f in sorted(set(features) - set(fits))]
+    return spark.createDataFrame(rows, "feature string, mean double, odds_ratio double, hdi_3 double, hdi_97 double, tail double, converged boolean")
 
 
 def newton_sums(df: DataFrame, cols: Sequence[str], beta: np.ndarray, label: str) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +293,12 @@ def collinearity_prune(df: DataFrame, features: Sequence[str], label: str = "lab
 
 def bayes_logit(
     df: DataFrame, features: Sequence[str], label: str = "label", sd_beta: float = 2.5, sd_alpha: float = 1.0,
-    rounds: int = 50, tol: float = 1e-9,
+    rounds: int = 50, tol: float = 1e-9, draws: int = DRAWS, seed: int = 42,
 ) -> DataFrame:
-    """Joint posterior mode after the collinearity prune, with Laplace 94 % intervals."""
+    """Joint posterior after the collinearity prune: means and shortest 94 % intervals.
+
+    Draws around the mode are weighted by the posterior itself, all in one pass over the rows.
+    """
     from faultline.operators.scaling import sample_scale
 
     kept = collinearity_prune(df, features, label)
@@ -205,5 +314,7 @@ def bayes_logit(
         converged = bool(np.abs(step).max() < tol)
         if converged:
             break
+    proposal = propose(kept, beta, cov, precision, draws, seed)
+    seen = log_likelihoods(x, [proposal], label)[0]
     x.unpersist()
-    return _laplace(df.sparkSession, kept, {f: (beta[i + 1], cov[i + 1, i + 1]) for i, f in enumerate(kept)}, converged)
+    return _posterior(df.sparkSession, kept, {f: (proposal, seen, i + 1) for i, f in enumerate(kept)}, converged)

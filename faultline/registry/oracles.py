@@ -552,6 +552,21 @@ SELECT n_dropped, n_failures, {r6('br', 'base_rate')}, {r6('CASE WHEN n_dropped
 SELECT feature, votes, CAST(CASE WHEN max(votes) OVER () >= 2 THEN votes >= 2 ELSE row_number() OVER (ORDER BY votes DESC, feature) <= 4 END AS INT) AS selected FROM v"""
     o["selection_stability"] = with_(edges("lin", 1)) + f"SELECT src AS feature, count(DISTINCT run_id) AS n_folds, {r6('count(DISTINCT run_id) / (SELECT CAST(count(DISTINCT run_id) AS DOUBLE) FROM lin) * 100', 'pct')} FROM lin GROUP BY src ORDER BY n_folds DESC, feature LIMIT 20"
     # cost
+    o["copula_domains"] = with_(CUST, """k AS (SELECT count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM cust)""") + """SELECT 0 AS made, label, count(*) AS n,
+ count(*) AS ids, 0 AS negative, 0 AS fractions, 0 AS no_flag FROM cust GROUP BY label
+UNION ALL SELECT 1, 1, CAST(floor(n0 * 0.9::DOUBLE) AS BIGINT) - n1, CAST(floor(n0 * 0.9::DOUBLE) AS BIGINT) - n1, 0, 0, 0 FROM k WHERE floor(n0 * 0.9::DOUBLE) > n1"""
+    o["marginal_parameters"] = with_(CUST, "few AS (SELECT * FROM cust WHERE label = 1)", "tall AS (" + long("few", CORE) + ")") + f""",
+mm AS (SELECT feature, avg(value) AS mean, var_pop(value) AS var, min(value) AS lo, max(value) AS hi FROM tall GROUP BY feature),
+mz AS (SELECT *, (mean - lo) / (hi - lo) AS m, var / ((hi - lo) * (hi - lo)) AS v FROM mm WHERE hi > lo AND var > 0),
+mk AS (SELECT *, m * (1 - m) / v - 1 AS size FROM mz WHERE abs(m * (1 - m) - v) >= 1e-9),
+mc AS (SELECT feature, value, count(*) AS n FROM tall GROUP BY feature, value),
+mr AS (SELECT feature, value, n, sum(n) OVER (PARTITION BY feature ORDER BY value) AS c, sum(n) OVER (PARTITION BY feature) AS t FROM mc),
+md AS (SELECT r.feature, max(greatest(abs(c / t - (value - lo) / (hi - lo)), abs((c - n) / t - (value - lo) / (hi - lo)))) AS distance FROM mr r JOIN mk k ON r.feature = k.feature GROUP BY r.feature),
+mp AS (SELECT feature, 'beta' AS family, NULL::DOUBLE AS d, m * size AS p, (1 - m) * size AS q FROM mk
+ UNION ALL SELECT feature, 'gamma', NULL, (mean - lo) * (mean - lo) / var, var / (mean - lo) FROM mk
+ UNION ALL SELECT feature, 'normal', NULL, mean, sqrt(var) FROM mk
+ UNION ALL SELECT k.feature, 'uniform', md.distance, 0.0, 0.0 FROM mk k JOIN md ON md.feature = k.feature)
+SELECT feature, family, {r6('d', 'distance')}, {r6('p', 'a')}, {r6('q', 'b')} FROM mp"""
     o["normalised_scores"] = f"SELECT c_custkey AS row_id, {r6('(c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer)', 'prob')} FROM customer"
     o["cost_curve"] = with_(DOCS, curve("docs", GRID_TUNE)) + f"SELECT {CURVE_COLS} FROM curve"
     o["cost_curve_items"] = with_("item AS (SELECT CAST(l_returnflag = 'R' AS INT) AS label, (l_extendedprice % 1000) / 1000 AS prob FROM lineitem)", curve("item", GRID_DENSE)) + f"SELECT {CURVE_COLS} FROM curve"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import hist as hf
 from faultline.operators import (
-    balancing, correlation, cost, describe, discovery, explain, graphs, histograms, independence, logit, mice,
+    balancing, correlation, cost, describe, discovery, explain, graphs, histograms, independence, logit, marginals, mice,
     missing, models, outliers, pairs, pca, profile, ranktests, sampling, scaling, selection,
 )
 from faultline.session import configure
@@ -495,6 +495,34 @@ def q_copula_balance(spark, sf):
     return balancing.copula_balance(X.cust_features(spark, sf), CORE, 0.25)
 
 
+def _copula_frame(spark, sf):
+    """Counters, a flag of two values and a column of fractions; the ratio adds rows at every size."""
+    df = X.cust_features(spark, sf)
+    return df.select("row_id", "label", *CORE, F.col("na_high").isNull().cast("double").alias("na_high_is_missing"), (F.col("aa_000") / 1e6).alias("millions"))
+
+
+def q_copula_domains(spark, sf):
+    """Rows of each kind and class, and how many of their values leave the domains of the columns."""
+    df = _copula_frame(spark, sf)
+    cols = df.columns[2:]
+    counters = [c for c in cols if c[-1].isdigit()]
+    odd = lambda names, bad: F.sum(sum((bad(F.col(c)).cast("long") for c in names), F.lit(0)))
+    return balancing.copula_balance(df, cols, 0.9).groupBy((F.col("row_id") < 0).cast("int").alias("made"), "label").agg(
+        F.count("*").alias("n"), F.countDistinct("row_id").alias("ids"), odd(cols, lambda c: c < 0).alias("negative"),
+        odd(counters, lambda c: (c != F.round(c)) & (F.col("row_id") < 0)).alias("fractions"), odd(["na_high_is_missing"], lambda c: ~c.isin(0.0, 1.0)).alias("no_flag"))
+
+
+def q_marginal_parameters(spark, sf):
+    """Shapes of every family for the minority's columns, from sums; the distance of the uniform one."""
+    df = X.cust_features(spark, sf).where("label = 1")
+    out = marginals.marginal_parameters(df, CORE).withColumn("distance", F.when(F.col("family") == "uniform", F.col("distance")))
+    return rounded(out.drop("chosen"), "distance", "a", "b")
+
+
+def q_marginal_fits(spark, sf):
+    return rounded(marginals.marginal_parameters(X.cust_features(spark, sf).where("label = 1"), CORE), "distance", "a", "b")
+
+
 def q_class_weights(spark, sf):
     return rounded(sampling.class_weights(X.cust_features(spark, sf)), "weight")
 

@@ -116,15 +116,63 @@ def test_logit_equals_newton(logit_data):
     assert uni["coef"] == pytest.approx(newton(x[:, :2], pdf.label.to_numpy())[0][1], abs=1e-7)
 
 
-def test_bayes_mode_and_prune(logit_data):
+def posterior_on_a_grid(x, y, sd, points=81, reach=7.0):
+    """Mean and shortest 94 % interval of the last coefficient, by summing the posterior over a grid."""
+    design, precision = np.column_stack([np.ones(len(x)), x]), np.diag(1 / np.square(sd))
+    mode, cov = newton(design, y, precision)
+    # Long reach on every side: skewed posteriors have one long tail.
+    axes = [m + np.linspace(-reach, reach, points) * np.sqrt(v) for m, v in zip(mode, np.diag(cov))]
+    grid = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, len(axes))
+    logp = -0.5 * ((grid @ precision) * grid).sum(axis=1)
+    for row, truth in zip(design, y):
+        eta = grid @ row
+        logp += truth * eta - np.logaddexp(0, eta)
+    p = np.exp(logp - logp.max()).reshape([points] * len(axes)).sum(axis=tuple(range(len(axes) - 1)))
+    p /= p.sum()
+    fine = np.linspace(axes[-1][0], axes[-1][-1], 20_001)
+    w = np.interp(fine, axes[-1], p)
+    return float(axes[-1] @ p), logit.shortest_interval(fine, w / w.sum())
+
+
+def test_bayes_joint_posterior_and_prune(logit_data):
     pdf, df = logit_data
     assert logit.collinearity_prune(df, ["f", "g"]) in (["f"], ["g"])
     kept = logit.collinearity_prune(df, ["f", "g"])[0]
     out = logit.bayes_logit(df, ["f", "g", "aa_000"]).toPandas().set_index("feature")
-    z = pdf[[kept, "aa_000"]]
+    z = pdf[["aa_000", kept]]
     z = (z - z.mean()) / (z.std() + 1e-6)
-    beta, _ = newton(np.column_stack([np.ones(600), z]), pdf.label.to_numpy(), np.diag([1, 1 / 6.25, 1 / 6.25]))
-    assert out.loc[kept, "mean"] == pytest.approx(beta[1], abs=1e-6)
+    mean, (low, high) = posterior_on_a_grid(z.to_numpy(), pdf.label.to_numpy(), [1, 2.5, 2.5], 41, 5.0)
+    got = out.loc[kept]
+    assert got["mean"] == pytest.approx(mean, abs=0.01) and (got.hdi_3, got.hdi_97) == (pytest.approx(low, abs=0.03), pytest.approx(high, abs=0.03))
+    assert got["tail"] < 0.7 and got.converged and got.odds_ratio == pytest.approx(np.exp(got["mean"]))
+
+
+def test_bayes_intervals_of_a_skewed_posterior(spark):
+    """Few rows, one positive: the posterior is far from the Gaussian at its mode."""
+    x = np.array([-1.0, -0.7, -0.4, -0.1, 0.1, 0.3, 0.6, 0.9, 1.5, 2.6])
+    y = (x > 2).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"label": y, "f": x, "aa_000": np.roll(x, 3)}))
+    scaled = (x - x.mean()) / (x.std(ddof=1) + 1e-6)
+    mean, (low, high) = posterior_on_a_grid(scaled[:, None], y, [1, 2.5], 401, 9.0)
+    got = logit.bayes_logit(df, ["f"], draws=20_000).first()
+    assert got["mean"] == pytest.approx(mean, abs=0.05) and (got["hdi_3"], got["hdi_97"]) == (pytest.approx(low, abs=0.12), pytest.approx(high, abs=0.12))
+    mode, cov = newton(np.column_stack([np.ones(10), scaled]), y, np.diag([1, 1 / 6.25]))
+    assert abs(mode[1] - mean) > 0.2  # what an approximation at the mode would miss
+    mean, (low, high) = posterior_on_a_grid(np.column_stack([df.toPandas().aa_000, x]), y, [1, 2.5, 2.5], 101, 9.0)
+    rows = {r["feature"]: r for r in logit.bayes_logit_by_feature(df, ["f", "aa_000"], draws=20_000).collect()}
+    assert set(rows) == {"f"} and rows["f"]["mean"] == pytest.approx(mean, abs=0.06)
+    assert (rows["f"]["hdi_3"], rows["f"]["hdi_97"]) == (pytest.approx(low, abs=0.15), pytest.approx(high, abs=0.15))
+
+
+def test_smoothed_weights_and_intervals():
+    rng = np.random.default_rng(5)
+    weight, shape = logit.smoothed_weights(np.zeros(500))
+    assert np.allclose(weight, 1 / 500) and shape == 0
+    for k in (0.3, 0.9):  # ratios with a Pareto tail of known shape
+        weight, shape = logit.smoothed_weights(np.log(rng.pareto(1 / k, 20_000) + 1))
+        assert shape == pytest.approx(k, abs=0.15) and weight.sum() == pytest.approx(1) and (weight >= 0).all()
+    assert logit.shortest_interval(np.array([0.0, 1.0, 1.1, 1.2, 9.0]), np.full(5, 0.2), 0.6) == (1.0, 1.2)
+    assert logit.shortest_interval(np.array([3.0]), np.array([1.0])) == (3.0, 3.0)
 
 
 def test_rules_grid_respects_rules(spark, cust):

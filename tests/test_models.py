@@ -6,7 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import balancing, explain, knn, models, outliers, selection
+from faultline.functions import special
+from faultline.operators import balancing, explain, knn, marginals, models, outliers, selection
 from faultline.plans import experiment, rca
 
 COLS = [f"f{i}" for i in range(5)]
@@ -79,6 +80,61 @@ def test_edited_neighbours_and_tomek_against_brute_force(spark, planted):
     assert {(r["id"], r["nbr"]) for r in balancing.tomek_links(planted, COLS).collect()} == links
 
 
+def test_distribution_functions():
+    x = np.linspace(0.001, 0.999, 97)
+    for a, b in ((0.5, 0.5), (2.0, 5.0), (30.0, 4.0), (0.7, 8.0)):  # against sums over a fine substitution
+        t = (np.arange(400_000) + 0.5) / 400_000
+        s = t**2 * (3 - 2 * t)  # smooth at both ends, so integrable singularities are harmless
+        mass = np.exp((a - 1) * np.log(s) + (b - 1) * np.log1p(-s)) * 6 * t * (1 - t)
+        want = np.interp(x, s, np.cumsum(mass) / mass.sum())
+        assert np.abs(special.beta_cdf(x, a, b) - want).max() < 2e-4
+        assert np.allclose(special.beta_cdf(special.quantiles_of(lambda v: special.beta_cdf(v, a, b), x, 0.0, 1.0), a, b), x, atol=1e-9)
+    assert np.allclose(special.beta_cdf(x, 0.05, 1.0), x**0.05, atol=1e-12) and np.allclose(special.beta_cdf(x, 1.0, 80.0), 1 - (1 - x) ** 80, atol=1e-12)
+    v = np.linspace(0.01, 30, 50)
+    assert np.allclose(special.gamma_cdf(v, 1.0), 1 - np.exp(-v), atol=1e-12)
+    assert np.allclose(special.gamma_cdf(v, 3.0), 1 - np.exp(-v) * (1 + v + v * v / 2), atol=1e-12)
+    assert np.allclose(special.normal_scores(special.normal_cdf(np.linspace(-5, 5, 50))), np.linspace(-5, 5, 50), atol=1e-5)
+
+
+def test_planted_families_are_recovered(spark):
+    rng = np.random.default_rng(11)
+    n = 6000
+    z = rng.normal(size=(n, 2))
+    planted = {
+        "beta": rng.beta(0.6, 2.0, n) * 8 + 1, "gamma": rng.gamma(1.5, 4.0, n), "normal": rng.normal(5, 2, n), "uniform": rng.uniform(2, 3, n),
+        "constant": np.full(n, 4.0), "two": (rng.random(n) < 0.2).astype(float), "gappy": np.where(rng.random(n) < 0.3, np.nan, rng.uniform(0, 1, n)),
+    }
+    df = spark.createDataFrame(pd.DataFrame(planted)).repartition(4)
+    got = marginals.fit_marginals(df, list(planted))
+    family = {c: m.family for c, m in got.items()}
+    assert [family[c] for c in ("beta", "gamma", "normal", "constant", "two")] == ["beta", "gamma", "normal", "constant", "two values"]
+    for c in ("uniform", "gappy"):  # a beta of shapes 1 and 1 is uniform
+        assert family[c] == "uniform" or family[c] == "beta" and (got[c].a, got[c].b) == (pytest.approx(1, abs=0.1), pytest.approx(1, abs=0.1))
+    assert (got["beta"].a, got["beta"].b) == (pytest.approx(0.6, abs=0.08), pytest.approx(2.0, abs=0.25))
+    assert (got["gamma"].a, got["gamma"].b) == (pytest.approx(1.5, abs=0.15), pytest.approx(4.0, abs=0.4))
+    fits = {c: marginals.moment_fits(*m) for c, m in marginals.column_moments(df, ["normal", "gamma"]).items()}
+    for r in marginals.family_distances(df, fits, large=True).collect():
+        v = np.sort(planted[r["feature"]])
+        f = fits[r["feature"]][r["family"]].cdf(v)
+        assert r["distance"] == pytest.approx(np.maximum(np.abs(np.arange(1, n + 1) / n - f), np.abs(np.arange(n) / n - f)).max(), abs=1e-12)
+    both = spark.createDataFrame(pd.DataFrame({"a": np.exp(z[:, 0]), "b": 0.8 * z[:, 0] + 0.6 * z[:, 1]}))
+    corr = marginals.score_correlation(both, marginals.fit_marginals(both, ["a", "b"]))
+    assert corr[0, 1] == pytest.approx(0.8, abs=0.08)
+    assert marginals.fit_marginals(df.where("false"), ["beta"]) == {}
+
+
+def test_copula_keeps_shapes_and_dependence(spark):
+    rng = np.random.default_rng(12)
+    n = 4000
+    z = rng.normal(size=(n, 2))
+    pdf = pd.DataFrame({"row_id": range(n), "label": (np.arange(n) % 4 == 0).astype(int), "x": np.exp(z[:, 0]) + 1, "y": 10 + 0.9 * z[:, 0] + 0.4 * z[:, 1]})
+    made = balancing.copula_balance(spark.createDataFrame(pdf), ["x", "y"], 0.9).where("row_id < 0").toPandas()
+    small = pdf[pdf.label == 1]
+    assert made.y.mean() == pytest.approx(small.y.mean(), abs=0.1) and made.y.std() == pytest.approx(small.y.std(), abs=0.1)
+    assert made.x.median() == pytest.approx(small.x.median(), rel=0.25)
+    assert made[["x", "y"]].corr("spearman").iloc[0, 1] == pytest.approx(small[["x", "y"]].corr("spearman").iloc[0, 1], abs=0.08)
+
+
 def test_copula_counts_and_domains(spark, planted):
     df = planted.withColumn("x_is_missing", (F.col("f1") > 0.5).cast("double")).withColumn("ag_000", F.round(F.col("f2") * 9))
     cols = ["f0", "x_is_missing", "ag_000"]
