@@ -98,7 +98,7 @@ ksx(feature, a, b, gap{carried}, s, u) USING KEY (feature) AS (
  FROM ks WHERE stat IS NOT NULL AND greatest(n0, n1) <= 10000
  UNION SELECT feature, a, b, gap{carried}, s + 1, list_transform(range(0, b + 1), lambda i: CASE WHEN i > s + 1 OR s + 1 - i > a THEN 0.0::DOUBLE
   WHEN abs(i * (a + b) - (s + 1) * b) >= gap{checked} THEN 1.0::DOUBLE ELSE (i * coalesce(u[i], 0.0) + (s + 1 - i) * u[i + 1]) / (s + 1) END) FROM ksx WHERE s < a + b),
-ksp AS (SELECT z.feature, stat, coalesce(least(1.0, ksx.u[ksx.b + 1]), CASE WHEN stat IS NULL OR x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (
+ksp AS (SELECT z.feature, stat, coalesce(ksx.u[ksx.b + 1], CASE WHEN stat IS NULL OR x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (
  SELECT sum(CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * x * x)) FROM range(1, 51) t(j)))) END) AS p_value, z.n0, z.n1
  FROM (SELECT *, stat * sqrt(CAST(n1 AS DOUBLE) * n0 / (n1 + n0)) AS x FROM ks) z LEFT JOIN ksx ON ksx.feature = z.feature)"""
 
@@ -325,6 +325,26 @@ def md5_rank(by: str = "label") -> str:
 EDGE_BASE = with_(edges("lin", 1), CLEAN)
 
 
+def logits(features, control: str | None = "aa_000") -> str:
+    """Newton steps of all models at once, as a recursion; standardised columns of the customers."""
+    scaled = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
+    age = scaled(control) if control else "0.0::DOUBLE"
+    tall = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST(label AS DOUBLE) AS y, {age} AS a, {scaled(f)} AS x FROM cust" for f in features)
+    # Without a control its row and column of the information are those of the identity.
+    h11 = "sum(w * a * a)" if control else "1.0::DOUBLE"
+    return with_(CUST, f"zt AS MATERIALIZED ({tall})") + f""", nw AS (SELECT DISTINCT feature, 0 AS it, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS var FROM zt
+ UNION ALL SELECT feature, it + 1, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det, c22 / det
+ FROM (SELECT *, h00 * c00 + h01 * c01 + h02 * c02 AS det FROM (SELECT *, h11 * h22 - h12 * h12 AS c00, h02 * h12 - h01 * h22 AS c01, h01 * h12 - h02 * h11 AS c02,
+  h00 * h22 - h02 * h02 AS c11, h01 * h02 - h00 * h12 AS c12, h00 * h11 - h01 * h01 AS c22 FROM (SELECT feature, it, b0, b1, b2, sum(y - p) AS g0, sum((y - p) * a) AS g1,
+  sum((y - p) * x) AS g2, sum(w) AS h00, sum(w * a) AS h01, sum(w * x) AS h02, {h11} AS h11, sum(w * a * x) AS h12, sum(w * x * x) AS h22
+  FROM (SELECT *, p * (1 - p) AS w FROM (SELECT n.*, z.y, z.a, z.x, 1 / (1 + exp(-(b0 + b1 * z.a + b2 * z.x))) AS p FROM nw n JOIN zt z ON n.feature = z.feature WHERE it < 12))
+  GROUP BY feature, it, b0, b1, b2)))),
+fit AS (SELECT *, sqrt(var) AS se, abs(b2 / sqrt(var)) / sqrt(2.0) AS t FROM nw WHERE it = 12),
+ps AS (SELECT *, CASE WHEN t > 5 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * k + 1) * ln(greatest(t, 1e-300)) - lgamma(k + 1.0) - ln(2 * k + 1.0)))) END AS pv FROM fit)
+SELECT feature, {r6('b2', 'coef')}, {r6('exp(b2)', 'odds_ratio')}, {r6('pv', 'p_value')}, {r6('b2 - 1.959963984540054 * se', 'lower_ci')}, {r6('b2 + 1.959963984540054 * se', 'upper_ci')},
+ {r6('b1', 'age_coef')}, TRUE AS converged FROM ps"""
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     c = with_(CUST)
@@ -567,6 +587,8 @@ mp AS (SELECT feature, 'beta' AS family, NULL::DOUBLE AS d, m * size AS p, (1 -
  UNION ALL SELECT feature, 'normal', NULL, mean, sqrt(var) FROM mk
  UNION ALL SELECT k.feature, 'uniform', md.distance, 0.0, 0.0 FROM mk k JOIN md ON md.feature = k.feature)
 SELECT feature, family, {r6('d', 'distance')}, {r6('p', 'a')}, {r6('q', 'b')} FROM mp"""
+    o["age_adjusted_logit"] = logits([f for f in CORE if f != "aa_000"])
+    o["univariate_age_logit"] = logits(["aa_000"], None)
     o["normalised_scores"] = f"SELECT c_custkey AS row_id, {r6('(c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer)', 'prob')} FROM customer"
     o["cost_curve"] = with_(DOCS, curve("docs", GRID_TUNE)) + f"SELECT {CURVE_COLS} FROM curve"
     o["cost_curve_items"] = with_("item AS (SELECT CAST(l_returnflag = 'R' AS INT) AS label, (l_extendedprice % 1000) / 1000 AS prob FROM lineitem)", curve("item", GRID_DENSE)) + f"SELECT {CURVE_COLS} FROM curve"
