@@ -1,26 +1,92 @@
 """Running counts over an ordered value, the kernel behind ranks, curves and quantiles.
 
-Input is always pre-aggregated to one row per ``(keys, value)``, so a value that
-holds a third of all rows is one row here. Small inputs use one window per key.
-Large ones are range-partitioned on ``(keys, value)`` and written to the checkpoint
-folder with their partition number; windows then run inside ``(keys, partition)``
-and the totals of earlier partitions are joined to them. A hot
-key is thus spread over many tasks, and the result is exact in both forms.
+Counts are prefix sums on two levels. Cut points are fitted to the values of every key that has
+many; they divide the values of a key into slices of bounded size. Windows run inside ``(keys, slice)``,
+and the sums of the slices before, a small table, are joined to them. A hot key is thus spread over many
+tasks, a hot value is a slice of its own, and results don't depend on the cut points. Only fitting them
+runs a job; the rest is lazy.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.numeric import finite_or_null
-from faultline.session import cut_lineage, is_small
-
 
 # Up to this many quantiles are computed as columns of one aggregation.
 _WIDE_PROBS = 9
+SLICE_ROWS = 1 << 14  # rows of a key in a slice, about
+CUTS = 4096  # slices of a key, about, at most
+
+
+def slice_rows(large: bool | None) -> int | None:
+    """Rows in a slice: as set, few if asked to slice whatever there is, or None for no slices."""
+    return None if large is False else 64 if large else SLICE_ROWS
+
+
+def fitted_cuts(rows: DataFrame, keys: Sequence[str], at: Sequence[Column], per_slice: int) -> list[DataFrame | None]:
+    """For each of the ordered numbers ``at``: ``(keys..., _cuts)``, its cut points in ascending order.
+
+    One job for all. Keys with at most ``per_slice`` rows have no cuts; None if no key has any. There
+    is at most one cut for ``per_slice`` rows, so the tables are small beside the rows.
+    """
+    shares = [i / CUTS for i in range(1, CUTS)]
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(CUTS * per_slice)) / F.col("_n")))
+    thin = lambda q: F.array_distinct(F.filter(q, lambda c, i: (i + 1) % step == 0))
+    found = (
+        rows.groupBy(*keys)
+        .agg(F.count("*").alias("_n"), *[F.percentile_approx(a.cast("double"), shares, 2 * CUTS).alias(f"_q{i}") for i, a in enumerate(at)])
+        .where(F.col("_n") > per_slice)
+        .select(*keys, *[thin(F.col(f"_q{i}")).alias(f"_c{i}") for i in range(len(at))])
+    )
+    got = found.collect()
+    if not got:
+        return [None] * len(at)
+    table = rows.sparkSession.createDataFrame(got, found.schema)
+    return [table.select(*keys, F.col(f"_c{i}").alias("_cuts")) for i in range(len(at))]
+
+
+def with_slice(rows: DataFrame, keys: Sequence[str], at: Column, cuts: DataFrame, out: str = "_slice") -> DataFrame:
+    """Add the slice of ``at``: 2 i between the cuts i - 1 and i, 2 i + 1 at cut i; 0 for keys without cuts."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    # At most one number for as many rows as a slice has.
+    table = F.broadcast(cuts.select(*[F.col(k).alias(f"_c_{k}") for k in keys], "_cuts"))
+    joined = rows.join(table, on, "left") if keys else rows.join(table, F.lit(True))
+    cell = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def halve(acc, _):
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        narrowed = F.when(F.get("_cuts", mid) < at, cell(mid + 1, acc["high"])).otherwise(cell(acc["low"], mid))
+        return F.when(acc["low"] < acc["high"], narrowed).otherwise(acc)
+
+    steps = F.sequence(F.lit(1), F.lit(CUTS.bit_length() + 1))
+    place = F.aggregate(steps, cell(F.lit(0), F.coalesce(F.size("_cuts"), F.lit(0))), halve, lambda acc: acc["low"])
+    placed = joined.withColumn(out, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(place))
+    here = 2 * F.col(out) + F.coalesce((F.get("_cuts", F.col(out)) == at).cast("int"), F.lit(0))
+    return placed.withColumn(out, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(here)).select(*rows.columns, out)
+
+
+def _slice_offsets(sliced: DataFrame, keys: Sequence[str], measures: Sequence[str], slice_: str) -> DataFrame:
+    """Per key and slice: its sums ``_s_<m>``, those of the slices before ``_o_<m>``, and the key's ``_t_<m>``."""
+    before = Window.partitionBy(*keys).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    # One row per key and slice, so that the windows see summaries only.
+    return sliced.groupBy(*keys, slice_).agg(*[F.sum(m).alias(f"_s_{m}") for m in measures]).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(slice_).alias("_o_slice"), *[f"_s_{m}" for m in measures],
+        *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+        *[F.sum(f"_s_{m}").over(whole).alias(f"_t_{m}") for m in measures])
+
+
+def _at_slice(keys: Sequence[str], slice_: str) -> Column:
+    on = F.col(slice_) == F.col("_o_slice")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return on
 
 
 def running_counts(
@@ -29,61 +95,53 @@ def running_counts(
     value: str,
     measures: Sequence[str],
     large: bool | None = None,
+    at: Column | None = None,
 ) -> DataFrame:
     """Add ``cum_<m>``, the sum of ``m`` over rows of the same key with value <= this value,
     and ``tot_<m>``, its sum over the key.
 
-    ``agg`` must hold one row per ``(keys, value)``. ``large=None`` decides by the
-    optimizer's size estimate.
+    ``agg`` must hold one row per ``(keys, value)``. ``at`` is the number that ``value`` is ordered by first, if it
+    isn't one. ``large=True`` cuts small inputs too, ``large=False`` fits no cuts: for summaries.
     """
-    keys = list(keys)
-    if large is None:
-        large = not is_small(agg)
-    if not large:
-        w = (
-            Window.partitionBy(*keys)
-            .orderBy(value)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        whole = Window.partitionBy(*keys)
-        return agg.select(
-            "*",
-            *[F.sum(m).over(w).alias(f"cum_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"tot_{m}") for m in measures],
-        )
+    keys, at = list(keys), F.col(value) if at is None else at
+    per_slice = slice_rows(large)
+    cuts = None if per_slice is None else fitted_cuts(agg, keys, [at], per_slice)[0]
+    upto = lambda w: w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if cuts is None:  # no key has more rows than a slice
+        w = Window.partitionBy(*keys)
+        return agg.select("*", *[F.sum(m).over(upto(w)).alias(f"cum_{m}") for m in measures], *[F.sum(m).over(w).alias(f"tot_{m}") for m in measures])
+    sliced = with_slice(agg, keys, at, cuts)
+    offsets = _slice_offsets(sliced, keys, measures, "_slice")
+    inside = Window.partitionBy(*keys, "_slice")
+    inner = sliced.select("*", *[F.sum(m).over(upto(inside)).alias(f"_in_{m}") for m in measures])
+    return inner.join(offsets, _at_slice(keys, "_slice")).select(
+        *agg.columns, *[(F.col(f"_in_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures], *[F.col(f"_t_{m}").alias(f"tot_{m}") for m in measures])
+
+
+def carried_ranks(
+    rows: DataFrame, keys: Sequence[str], value: str, n: str, out: str, cuts: DataFrame | None, total: str | None = None, salts: int = 64,
+) -> DataFrame:
+    """``rows`` with the average rank of ``value`` among the rows of the same keys, ``n`` copies each, and their ``total``.
 
-    ranged = cut_lineage(
-        agg.repartitionByRange(*keys, value).withColumn("_slice", F.spark_partition_id())
-    )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    # One row per key and slice: at most (number of slices + number of keys) rows. Keys may
-    # be many, so the planner decides by size whether to broadcast it.
-    offsets = (
-        ranged.groupBy(*keys, "_slice")
-        .agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-        .select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys],
-            F.col("_slice").alias("_o_slice"),
-            *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
-            *[F.sum(f"_t_{m}").over(Window.partitionBy(*keys)).alias(f"tot_{m}") for m in measures],
-        )
-    )
-    cond = F.col("_slice") == F.col("_o_slice")
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    w = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    inner = ranged.select("*", *[F.sum(m).over(w).alias(f"_in_{m}") for m in measures])
-    return inner.join(offsets, cond).select(
-        *agg.columns,
-        *[(F.col(f"_in_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures],
-        *[f"tot_{m}" for m in measures],
-    )
+    Rows may share a value. Ranks are worked out where a slice's rows meet and stay on them, so nothing is
+    joined by value; a value that is a cut has one rank, known from the sums of the slices, and its rows are
+    dealt out by their hash.
+    """
+    keys, kept = list(keys), rows.columns
+    if cuts is None:
+        w = Window.partitionBy(*keys)
+        cum, same = F.sum(n).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.sum(n).over(w.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow))
+        return rows.select(*kept, (cum - (same - 1) / 2.0).alias(out), *([F.sum(n).over(w).alias(total)] if total else []))
+    sliced = with_slice(rows, keys, F.col(value), cuts)
+    offsets = _slice_offsets(sliced, keys, [n], "_slice")
+    alone = F.col("_slice") % 2 == 1
+    salted = sliced.withColumn("_salt", F.when(alone, F.pmod(F.xxhash64(*kept), F.lit(salts))).otherwise(F.lit(0)))
+    w = Window.partitionBy(*keys, "_slice", "_salt").orderBy(value)
+    inner = salted.select("*", F.sum(n).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("_cum"),
+                          F.sum(n).over(w.rangeBetween(Window.currentRow, Window.currentRow)).alias("_same"))
+    upto, group = F.when(alone, F.col(f"_s_{n}")).otherwise(F.col("_cum")), F.when(alone, F.col(f"_s_{n}")).otherwise(F.col("_same"))
+    return inner.join(offsets, _at_slice(keys, "_slice")).select(
+        *kept, (F.col(f"_o_{n}") + upto - (group - 1) / 2.0).alias(out), *([F.col(f"_t_{n}").alias(total)] if total else []))
 
 
 def long_form(
@@ -141,15 +199,6 @@ def small_sorted(df: DataFrame, *order) -> DataFrame:
     return df.repartition(1).sortWithinPartitions(*order)
 
 
-def average_ranks(
-    agg: DataFrame, keys: Sequence[str], value: str = "value", n: str = "n", large: bool | None = None
-) -> DataFrame:
-    """Average rank of each tie group and the key's row ``total``, from ``(keys, value, n)``."""
-    run = running_counts(agg, keys, value, [n], large)
-    rank = F.col(f"cum_{n}") - (F.col(n) - 1) / 2.0
-    return run.withColumn("rank", rank).withColumnRenamed(f"tot_{n}", "total").drop(f"cum_{n}")
-
-
 def quantiles(
     df: DataFrame,
     cols: Sequence[str],

@@ -226,7 +226,7 @@ def mutual_info(
                           nothing.cast("double").alias("of"), nothing.cast("long").alias("n"), nothing.cast("long").alias("total"))
     ends = [radii.select("feature", F.struct(F.col(c).alias("value"), F.lit(side).alias("side")).alias("at"), F.lit(0).cast("long").alias("n0"),
                          F.lit(0).cast("long").alias("n1"), "cls", F.col("value").alias("of"), "n", "total") for c, side in (("low", 0), ("high", 2))]
-    run = running_counts(points.unionByName(ends[0]).unionByName(ends[1]), ["feature"], "at", ["n0", "n1"], large)
+    run = running_counts(points.unionByName(ends[0]).unionByName(ends[1]), ["feature"], "at", ["n0", "n1"], large, F.col("at.value"))
     sign = F.when(F.col("at.side") == 2, 1).otherwise(-1)
     inside = run.where(F.col("of").isNotNull()).groupBy("feature", "cls", "of", "n", "total").agg(
         F.sum(sign * F.when(F.col("cls") == 1, F.col("cum_n1")).otherwise(F.col("cum_n0"))).alias("k"), F.sum(sign * (F.col("cum_n0") + F.col("cum_n1"))).alias("m"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,20 +72,24 @@ def apply_edges(df: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFram
 
 
 def more_than(df: DataFrame, cols: Sequence[str], k: int) -> list[str]:
-    """Columns with more than ``k`` distinct non-null values, by ``k+1`` nested minima."""
-    left, low = list(cols), {c: None for c in cols}
-    for _ in range(k + 1):
-        if not left:
-            break
-        row = df.agg(
-            *[
-                F.min(F.col(c) if low[c] is None else F.when(F.col(c) > F.lit(low[c]), F.col(c))).alias(f"m{i}")
-                for i, c in enumerate(left)
-            ]
-        ).first()
-        low.update({c: row[i] for i, c in enumerate(left)})
-        left = [c for i, c in enumerate(left) if row[i] is not None]
-    return left
+    """Columns with more than ``k`` distinct non-null values, in one scan.
+
+    A task hands on at most ``k + 1`` values of a column; so many distinct ones settle it.
+    """
+    names = list(cols)
+
+    def few(batches):
+        found: list[set] = [set() for _ in names]
+        for pdf in batches:
+            for i, seen in enumerate(found):
+                if len(seen) <= k:
+                    seen.update(pd.unique(pdf[f"c{i}"].dropna())[: k + 1].tolist())
+        rows = [(i, v) for i, seen in enumerate(found) for v in sorted(seen)[: k + 1]]
+        yield pd.DataFrame(rows, columns=["i", "v"]).astype({"i": "int32", "v": "float64"})
+
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)]).mapInPandas(few, "i int, v double")
+    many = {r["i"] for r in values.groupBy("i").agg(F.countDistinct("v").alias("n")).where(F.col("n") > k).collect()}
+    return [c for i, c in enumerate(names) if i in many]
 
 
 def fit_quantile_edges(df: DataFrame, cols: Sequence[str], bins: int = 3) -> dict[str, list[float]]:

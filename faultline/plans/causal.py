@@ -56,9 +56,12 @@ def experiment_rules_grid(
     models = cut_lineage(discovery.lingam_by_run(
         smooth.withColumn("_all", F.lit("")), everyone, "_all",
         {k: discovery.forbidden_pairs(everyone, dict(groups), *rules) for k, rules in names_of.items()}, spread=False))
-    whole = scaling.standard_scale(df.select("row_id", label, *names), names)
-    screen = logit.age_adjusted_logit(whole, names, time, label) if time in names else None
-    node_parts, edge_parts = [], []
+    codes.unpersist()
+    smooth.unpersist()
+    balanced.unpersist()
+    whole = scaling.standard_scale(df.select("row_id", label, *names), names).persist()
+    screen = {s: _screen(whole, names, time, label, s) for s in {(r[1], r[2]) for r in names_of.values()} if s[0] and time in names}
+    node_parts, edge_parts, extra = [], [], []
     for name, (sink, source, mediation) in names_of.items():
         edges = discovery.pc_orient(everyone, skeleton.adj, skeleton.sepset, discovery.forbidden_pairs(everyone, None, sink, source, mediation))
         pc = df.sparkSession.createDataFrame([(name, a, b) for a, b in sorted(edges)], "run_id string, src string, dst string")
@@ -66,15 +69,49 @@ def experiment_rules_grid(
         lingam = graphs.edge_cleanup(raw, sink, source, mediation)
         hybrid = graphs.hybrid_graph(lingam, pc, source)
         nodes = df.sparkSession.createDataFrame([(name, n) for n in everyone], "run_id string, node string")
+        roles = {algo: cut_lineage(graphs.node_roles(edges, nodes)) for algo, edges in (("PC", pc), ("LiNGAM", lingam))}
+        # At most one row per variable.
+        candidates = sorted(r["node"] for r in roles["LiNGAM"].where(F.col("role").isin("Physical Root", "Mediator")).collect())
+        extra.append(validated(whole, candidates, screen.get((source, mediation)), time, label, name))
         for algo, edges in (("PC", pc), ("LiNGAM", lingam)):
-            node_parts.append(graphs.node_roles(edges, nodes).withColumn("algo", F.lit(algo)))
+            node_parts.append(roles[algo].withColumn("algo", F.lit(algo)))
             edge_parts.append(edges.select("run_id", "src", "dst", F.lit(None).cast("string").alias("type"),
                                            F.lit(algo).alias("algo"), F.lit("Standard").alias("graph_type")))
         edge_parts.append(hybrid.select("run_id", "src", "dst", "type", F.lit("Hybrid").alias("algo"), F.lit("Hybrid").alias("graph_type")))
+    whole.unpersist()
     rename = lambda d: d.withColumnRenamed("run_id", "experiment")
-    nodes = rename(reduce(DataFrame.unionByName, node_parts))
+    # One row per experiment and variable.
+    small = reduce(DataFrame.unionByName, extra)
+    nodes = reduce(DataFrame.unionByName, node_parts).join(F.broadcast(small), ["run_id", "node"], "left")
+    return {"nodes": rename(nodes), "edges": rename(reduce(DataFrame.unionByName, edge_parts))}
+
+
+def _screen(whole: DataFrame, names: Sequence[str], time: str, label: str, rules: tuple[bool, bool]) -> dict[str, tuple[float, float]]:
+    """Coefficient and odds ratio of each feature given time, largest first; time by itself where it may act directly."""
+    rows = logit.age_adjusted_logit(whole, names, time, label).where("converged").collect()
+    if not rules[1]:
+        rows += logit.univariate_age_logit(whole, time, label).where("converged").collect()
+    return {r["feature"]: (r["coef"], r["odds_ratio"]) for r in sorted(rows, key=lambda r: (-abs(r["coef"]), r["feature"]))}
+
+
+VALIDATED = "run_id string, node string, coef double, odds_ratio double, posterior_mean double, posterior_odds double"
+
+
+def validated(
+    whole: DataFrame, candidates: Sequence[str], screen: Mapping[str, tuple[float, float]] | None, time: str, label: str, run_id: str, deep: int = 3,
+) -> DataFrame:
+    """Screening and posterior columns of an experiment's variables (``VALIDATED``).
+
+    Where time is a source, every screened feature has its coefficient given time, and the ``deep`` strongest
+    candidates their posterior given time. Otherwise the candidates have the joint posterior of those that the
+    collinearity prune keeps.
+    """
     if screen is not None:
-        # One row per feature.
-        small = screen.select(F.col("feature").alias("node"), "coef", "odds_ratio")
-        nodes = nodes.join(F.broadcast(small), "node", "left")
-    return {"nodes": nodes, "edges": rename(reduce(DataFrame.unionByName, edge_parts))}
+        top = [f for f in screen if f in candidates and f != time][:deep]
+        found = logit.bayes_logit_by_feature(whole, top, time, label).where("converged").collect() if top else []
+    else:
+        found = logit.bayes_logit(whole, list(candidates), label).where("converged").collect() if candidates else []
+    posterior = {r["feature"]: (r["mean"], r["odds_ratio"]) for r in found}
+    names = sorted({*(screen or {}), *posterior})
+    rows = [(run_id, n, *(screen or {}).get(n, (None, None)), *posterior.get(n, (None, None))) for n in names]
+    return whole.sparkSession.createDataFrame(rows, VALIDATED)

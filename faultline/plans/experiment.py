@@ -195,3 +195,45 @@ def experiment_leaderboard(runs: DataFrame, top_n: int = 20) -> DataFrame:
 
 def best_per_feature_set(runs: DataFrame) -> DataFrame:
     return _ranked(runs).where("set_rank = 1")
+
+
+TEST_SCHEMA = (
+    "rank int, run_name string, cost_mean double, auc double, macro_f1 double, recall double, precision double, fp long, fn long, "
+    "cost double, threshold double, status string, message string"
+)
+
+
+def leaderboard_on_test(
+    runs: DataFrame,
+    feature_sets: Mapping[str, tuple[DataFrame, DataFrame, Sequence[str]]],
+    selectors: Mapping[str, Selector | None] | None = None,
+    samplers: Mapping[str, str | None] | None = None,
+    tunings: Mapping[str, bool] | None = None,
+    top_n: int = 20,
+    **options,
+) -> DataFrame:
+    """The cheapest runs of a grid, built again and scored on test rows; one row each, by their rank in the grid.
+
+    ``feature_sets`` gives training rows, test rows and columns by name; the other mappings are those the grid had. A
+    run is refitted whole: imputation, selection, sampling and scaling on the training rows, its threshold
+    tuned on a part of them. A run that fails has the status ``failed`` and NULL metrics.
+    """
+    selectors, samplers = selectors or {"None": None}, samplers or {"No Sampling": None}
+    tunings = tunings or {"Tuned Threshold": True}
+    metrics = ["auc", "macro_f1", "recall", "precision", "fp", "fn", "cost", "threshold"]
+    # At most ``top_n`` rows.
+    best = runs.where("status = 'ok'").orderBy("cost_mean", "run_name").limit(top_n).collect()
+    rows = []
+    for i, r in enumerate(best):
+        try:
+            train, test, cols = feature_sets[r["feature_set"]]
+            m = evaluate_holdout(
+                train, test, cols, r["model"], samplers[r["sampler"]], 1.0 if r["sampling_percentage"] is None else r["sampling_percentage"],
+                selectors[r["selector"]], tunings[r["tuning"]], **options,
+            ).first()
+            got, status = [m[k] for k in metrics], ("ok", None)
+        except Exception as e:  # noqa: BLE001 - one bad run must not stop the others
+            log.warning("run %s failed on test: %s", r["run_name"], e)
+            got, status = [None] * len(metrics), ("failed", f"{type(e).__name__}: {e}")
+        rows.append((i + 1, r["run_name"], r["cost_mean"], *got, *status))
+    return runs.sparkSession.createDataFrame(rows, TEST_SCHEMA)

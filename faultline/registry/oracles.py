@@ -325,6 +325,26 @@ def md5_rank(by: str = "label") -> str:
 EDGE_BASE = with_(edges("lin", 1), CLEAN)
 
 
+def smote(names, ratio: float, k: int = 5, seed: int = 42) -> str:
+    """CTEs up to ``grown``: the customers and the rows made between minority neighbours, all pairs compared."""
+    uniform = lambda tag: f"CAST('0x' || substr(md5('{seed}{tag}:' || d.id || ':' || d.copy), 1, 13) AS BIGINT) / 4503599627370496.0"
+    made = ", ".join(f"d.{c} + {uniform('u')} * (o.{c} - d.{c}) AS {c}" for c in names)
+    return f"""mino AS (SELECT row_id AS id, {cols(names)} FROM cust WHERE label = 1),
+sz AS (SELECT count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1, CAST(floor(count(*) FILTER (WHERE label = 0) * {ratio}::DOUBLE - count(*) FILTER (WHERE label = 1)) AS BIGINT) AS extra FROM cust),
+{neighbours("mino", names, k, "mn")},
+mr AS (SELECT m.*, row_number() OVER (ORDER BY md5('{seed}:' || id), id) AS rank, n1, extra FROM mino m, sz WHERE extra > 0 AND n1 > 1),
+md AS (SELECT *, unnest(range(1, extra // n1 + CAST(rank <= extra % n1 AS BIGINT) + 1)) AS copy FROM mr),
+mp AS (SELECT d.*, CAST(floor({uniform("n")} * least({k}, n1 - 1)) AS BIGINT) + 1 AS pick FROM md d),
+grown AS (SELECT row_id, label, {cols(names)} FROM cust UNION ALL SELECT -(d.copy * d.n1 + d.rank), 1, {made} FROM mp d JOIN mn n ON n.id = d.id AND n.nn = d.pick JOIN mino o ON o.id = n.nbr)"""
+
+
+def neighbours(src: str, names, k: int, name: str) -> str:
+    """``name``: (id, nbr, nn) of the k nearest other rows, squares summed in the order of the columns."""
+    d2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in names)
+    return f"""{name} AS (SELECT id, nbr, row_number() OVER (PARTITION BY id ORDER BY d2, nbr) AS nn FROM (SELECT a.id, b.id AS nbr, {d2} AS d2 FROM {src} a JOIN {src} b ON a.id <> b.id)
+ QUALIFY nn <= {k})"""
+
+
 def logits(features, control: str | None = "aa_000") -> str:
     """Newton steps of all models at once, as a recursion; standardised columns of the customers."""
     scaled = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()"
@@ -392,6 +412,16 @@ UNION ALL SELECT row_id, 'na_mid', {r6('na_mid', 'value')} FROM cust WHERE na_mi
 s AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS cxy FROM f),
 b AS (SELECT n, mx, my, (n * cxy / sqrt(vx)) / (n + 10.0) / sqrt(vx) AS slope FROM s)
 SELECT n, {r6('my - slope * mx', 'intercept', 8)}, {r6('slope', digits=8)} FROM b"""
+    # Two columns: a round is two regressions on one predictor, over windows of the whole table.
+    ridge = lambda y, x, g: f"covar_pop({y}, {x}) FILTER (WHERE NOT {g}) OVER () / var_pop({x}) FILTER (WHERE NOT {g}) OVER () * (count(*) FILTER (WHERE NOT {g}) OVER ()) / ((count(*) FILTER (WHERE NOT {g}) OVER ()) + 10.0)"
+    filled = lambda y, x, g: f"CASE WHEN {g} THEN greatest(0.0, avg({y}) FILTER (WHERE NOT {g}) OVER () + ({ridge(y, x, g)}) * ({x} - avg({x}) FILTER (WHERE NOT {g}) OVER ())) ELSE {y} END"
+    fewer = "(SELECT count(na_mid) >= count(na_high) FROM cust)"
+    o["mice_impute"] = with_(CUST, f"""src AS (SELECT row_id, CASE WHEN {fewer} THEN na_mid ELSE na_high END AS a, CASE WHEN {fewer} THEN na_high ELSE na_mid END AS b FROM cust),
+top AS (SELECT max(greatest(abs(coalesce(a, 0.0)), abs(coalesce(b, 0.0)))) AS top FROM src),
+mice AS (SELECT 0 AS it, row_id, a IS NULL AS ga, b IS NULL AS gb, coalesce(a, avg(a) OVER ()) AS a, coalesce(b, avg(b) OVER ()) AS b, NULL::DOUBLE AS change FROM src
+ UNION ALL SELECT it + 1, row_id, ga, gb, a2, b2, max(abs(a2 - a) + abs(b2 - b)) OVER () FROM (SELECT *, {filled("b", "a2", "gb")} AS b2 FROM (SELECT *, {filled("a", "b", "ga")} AS a2
+  FROM mice WHERE it < 1000 AND (change IS NULL OR change >= 1e-3 * (SELECT top FROM top)))))""") + f"""SELECT row_id, {r6(f'CASE WHEN {fewer} THEN a ELSE b END', 'na_mid')}, {r6(f'CASE WHEN {fewer} THEN b ELSE a END', 'na_high')}
+FROM mice WHERE it = (SELECT max(it) FROM mice)"""
     flag = lambda x: f"CAST({x} IS NULL AS DOUBLE)"
     o["missingness_correlation"] = c + " UNION ALL ".join(
         f"SELECT '{a}_is_missing' AS a, '{b}_is_missing' AS b, round(r, 6) + 0.0 AS r, round(greatest(0.0, 1.0 - r), 6) + 0.0 AS distance FROM (SELECT CASE WHEN isnan(k) OR k IS NULL THEN 0.0 ELSE abs(k) END AS r FROM (SELECT corr({flag(a)}, {flag(b)}) AS k FROM cust))"
@@ -587,6 +617,14 @@ mp AS (SELECT feature, 'beta' AS family, NULL::DOUBLE AS d, m * size AS p, (1 -
  UNION ALL SELECT feature, 'normal', NULL, mean, sqrt(var) FROM mk
  UNION ALL SELECT k.feature, 'uniform', md.distance, 0.0, 0.0 FROM mk k JOIN md ON md.feature = k.feature)
 SELECT feature, family, {r6('d', 'distance')}, {r6('p', 'a')}, {r6('q', 'b')} FROM mp"""
+    grown = with_(CUST, smote(CORE, 0.25))
+    shown = "SELECT g.row_id, g.label, " + ", ".join(r6("g." + x, x) for x in CORE) + " FROM grown g"
+    o["smote"] = grown + shown
+    points_ = f", gp AS (SELECT row_id AS id, label, {cols(CORE)} FROM grown), "
+    o["smote_enn"] = grown + points_ + neighbours("gp", CORE, 3, "gn") + f""", kept AS (SELECT n.id FROM gn n JOIN gp a ON a.id = n.id JOIN gp b ON b.id = n.nbr GROUP BY n.id HAVING bool_and(a.label = b.label))
+{shown} JOIN kept ON kept.id = g.row_id"""
+    o["smote_tomek"] = grown + points_ + neighbours("gp", CORE, 1, "gn") + f""", links AS (SELECT a.id, a.nbr FROM gn a JOIN gn b ON a.nbr = b.id AND b.nbr = a.id JOIN gp x ON x.id = a.id JOIN gp y ON y.id = a.nbr WHERE x.label <> y.label)
+{shown} WHERE g.row_id NOT IN (SELECT id FROM links)"""
     o["age_adjusted_logit"] = logits([f for f in CORE if f != "aa_000"])
     o["univariate_age_logit"] = logits(["aa_000"], None)
     o["normalised_scores"] = f"SELECT c_custkey AS row_id, {r6('(c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer)', 'prob')} FROM customer"

@@ -480,15 +480,15 @@ def q_row_subsample(spark, sf):
 
 
 def q_smote(spark, sf):
-    return balancing.smote(X.cust_features(spark, sf), CORE, 0.25)
+    return rounded(balancing.smote(X.cust_features(spark, sf), CORE, 0.25), *CORE)
 
 
 def q_smote_enn(spark, sf):
-    return balancing.smote_enn(X.cust_features(spark, sf), CORE, 0.25)
+    return rounded(balancing.smote_enn(X.cust_features(spark, sf), CORE, 0.25), *CORE)
 
 
 def q_smote_tomek(spark, sf):
-    return balancing.smote_tomek(X.cust_features(spark, sf), CORE, 0.25)
+    return rounded(balancing.smote_tomek(X.cust_features(spark, sf), CORE, 0.25), *CORE)
 
 
 def q_copula_balance(spark, sf):
@@ -592,6 +592,11 @@ def q_consensus_union(spark, sf):
     return selection.consensus_union(list(_rankings(spark, sf).values()), 4)
 
 
+def q_select_union(spark, sf):
+    """Union of KS, mutual information and forest importance, as a fold's selector takes it."""
+    return selection.select_union(X.cust_features(spark, sf), CORE, 4)
+
+
 def q_consensus_vote(spark, sf):
     return selection.consensus_vote(_rankings(spark, sf), 4, 2)
 
@@ -679,12 +684,28 @@ def q_evaluate_holdout(spark, sf):
     return experiment.evaluate_holdout(train, test, CORE, "logistic")
 
 
+_GRID = {
+    "selectors": {"None": None, "Kruskal": "kruskal"},
+    "tunings": {"Tuned Threshold": True, "Default Threshold": False},
+}
+
+
+def _grid_sets(df):
+    return {"Bins": (df, [*CORE, *X.GAPPY[:2]]), "Counters": (df, ["aa_000", *X.BA, *X.CN])}
+
+
 def q_experiment_grid(spark, sf):
+    """Two models, two feature sets, two selectors and two threshold rules in four folds, imputed and scaled in each."""
     df = X.cust_features(spark, sf)
-    return experiment.experiment_grid(
-        {"Bins": (df, CORE)}, ["logistic"], samplers={"No Sampling": None, "Gaussian Copula": "copula"},
-        tunings={"Tuned Threshold": True}, percentages=[0.25], folds=2, preprocess=False, registry=quick(),
-    )
+    return experiment.experiment_grid(_grid_sets(df), ["logistic", "tree"], n_features=6, **_GRID)
+
+
+def q_leaderboard_on_test(spark, sf):
+    """The three best runs of a grid on the training rows, fitted again and scored on the test rows."""
+    train, test = sampling.split_frames(X.cust_features(spark, sf))
+    runs = experiment.experiment_grid({"Counters": _grid_sets(train)["Counters"]}, ["logistic", "tree"], selectors=_GRID["selectors"], folds=2, n_features=6)
+    cols = _grid_sets(train)["Counters"][1]
+    return experiment.leaderboard_on_test(runs, {"Counters": (train, test, cols)}, selectors=_GRID["selectors"], top_n=3, n_features=6)
 
 
 def _derived_runs(spark, sf):

@@ -184,6 +184,33 @@ def test_rules_grid_respects_rules(spark, cust):
     assert {r["experiment"] for r in out["nodes"].collect()} == {"EXP_TTT"}
 
 
+def test_rules_grid_validates_its_candidates(spark, cust):
+    """Screened coefficients where time is a source (time alone if it may act directly), posteriors for candidates."""
+    names = ["aa_000", "ag_000", "ag_003", "ba_000"]
+    groups = {"aa_000": "Global", "ag_000": "Secondary", "ag_003": "Diagnostic", "ba_000": "Secondary"}
+    rules = [(False, False, False), (True, True, False), (True, True, True)]
+    out = causal.experiment_rules_grid(cust, names, groups, experiments=rules)["nodes"].collect()
+    assert {(r["experiment"], r["algo"]) for r in out} == {(f"EXP_{e}", a) for e in ("FFF", "TTF", "TTT") for a in ("PC", "LiNGAM")}
+    from faultline.operators import scaling
+
+    whole = scaling.standard_scale(cust.select("row_id", "label", *names), names)
+    screened = {r["feature"]: r["coef"] for r in logit.age_adjusted_logit(whole, names).collect()}
+    alone = logit.univariate_age_logit(whole).first()["coef"]
+    assert set(causal._screen(whole, names, "aa_000", "label", (True, False))) == set(names)
+    assert causal._screen(whole, names, "aa_000", "label", (True, False))["aa_000"][0] == pytest.approx(alone)
+    for r in out:
+        if r["experiment"] == "EXP_FFF":
+            assert r["coef"] is None
+        else:
+            assert r["coef"] == pytest.approx(screened[r["node"]])
+    both = {(r["experiment"], r["node"]): r["role"] for r in out if r["algo"] == "LiNGAM"}
+    for r in out:
+        if r["posterior_mean"] is not None:
+            assert both[r["experiment"], r["node"]] in ("Physical Root", "Mediator") and r["posterior_odds"] == pytest.approx(np.exp(r["posterior_mean"]))
+    rows = causal.validated(whole, ["ag_000", "ba_000"], None, "aa_000", "label", "x").collect()
+    assert {r["node"] for r in rows} <= {"ag_000", "ba_000"} and all(r["coef"] is None for r in rows) and rows
+
+
 def test_one_global():
     groups = {"a": "Global", "aa_000": "Global", "b": "Secondary"}
     assert causal.one_global(["a", "b", "aa_000"], groups) == ["b", "aa_000"]

@@ -138,7 +138,7 @@ def test_mice_equals_direct_computation(spark):
     want = numpy_mice(x.copy(), 3)
     got = done.orderBy("row_id").toPandas()[list("abc")].to_numpy()
     assert np.allclose(got, want)
-    replay = model.transform(df, every=2).orderBy("row_id").toPandas()[list("abc")].to_numpy()
+    replay = model.transform(df).orderBy("row_id").toPandas()[list("abc")].to_numpy()
     assert np.allclose(replay, want)
 
 

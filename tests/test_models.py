@@ -49,10 +49,31 @@ def test_knn_equals_brute_force_with_a_hot_group(spark, chunk, pivots):
     x = rng.integers(0, 40, (120, 3)).astype(float)
     x = np.concatenate([x, np.repeat(x[:1], 60, axis=0)])
     ids = rng.permutation(len(x))
-    got = {(r["id"], r["nn"], r["nbr"]) for r in knn.knn_self(points(spark, x, ids), 4, chunk=chunk, max_pivots=pivots).collect()}
+    got = {(r["id"], r["nn"], r["nbr"]) for r in knn.knn_self(points(spark, x, ids), 4, chunk=chunk, pivots=pivots).collect()}
     assert got == brute(x, ids, 4)
 
 
+@pytest.mark.parametrize("large", [False, True])
+def test_knn_on_rings_and_lattices(spark, large):
+    """Many points at one distance of a pivot, single points, and a dense part beside a wide one."""
+    rng = np.random.default_rng(3)
+    angle = rng.uniform(0, 2 * np.pi, 300)
+    parts = [np.column_stack([np.cos(angle), np.sin(angle)]), np.stack(np.meshgrid(range(12), range(12)), -1).reshape(-1, 2) + 5.0,
+             rng.normal(0, 0.01, (150, 2)), rng.normal(0, 100, (40, 2)), [[1e6, 1e6]]]
+    x = np.unique(np.concatenate(parts), axis=0)
+    got = {(r["id"], r["nn"], r["nbr"]) for r in knn.knn_self(points(spark, x), 3, chunk=8 if large else 512, pivots=None if large else 3).collect()}
+    assert got == brute(x, np.arange(len(x)), 3)
+
+
+def test_knn_comparisons_grow_slowly(spark):
+    counts = []
+    for n in (2_000, 16_000):
+        counted = []
+        assert knn.knn_self(points(spark, np.random.default_rng(n).random((n, 3))), 5, counted=counted).count() == 5 * n
+        counts.append(sum(counted))
+    assert np.log(counts[1] / counts[0]) / np.log(8) < 1.6 and counts[1] < 16_000**2 / 8
+
+
 def test_knn_with_fewer_rows_than_neighbours(spark):
     rows = knn.knn_self(points(spark, [[0.0], [1.0]]), 5).collect()
     assert {(r["id"], r["nbr"]) for r in rows} == {(0, 1), (1, 0)}
@@ -248,6 +269,21 @@ def test_cv_and_grid(spark, planted):
     assert experiment.best_per_feature_set(out).first()["model"] == "tree"
 
 
+def test_best_runs_are_scored_on_test_rows(spark, planted):
+    train, test = planted.where("row_id % 4 <> 0"), planted.where("row_id % 4 = 0")
+    options = {"tunings": {"Tuned": True, "Default": False}, "selectors": {"None": None, "First": lambda df, cols: ["f0"]}}
+    runs = experiment.experiment_grid({"Raw": (train, COLS)}, ["tree", "missing-model"], folds=2, preprocess=False, registry=QUICK, **options)
+    out = experiment.leaderboard_on_test(runs, {"Raw": (train, test, COLS)}, top_n=3, preprocess=False, registry=QUICK, **options).collect()
+    best = runs.where("status = 'ok'").orderBy("cost_mean", "run_name").limit(3).collect()
+    assert [(r["rank"], r["run_name"], r["cost_mean"]) for r in out] == [(i + 1, b["run_name"], b["cost_mean"]) for i, b in enumerate(best)]
+    for r, b in zip(out, best):
+        want = experiment.evaluate_holdout(train, test, COLS, b["model"], selector=options["selectors"][b["selector"]], tune=options["tunings"][b["tuning"]],
+                                           preprocess=False, registry=QUICK).first()
+        assert r["status"] == "ok" and (r["auc"], r["cost"], r["threshold"]) == (want["auc"], want["cost"], want["threshold"])
+    lost = experiment.leaderboard_on_test(runs, {}, top_n=1, **options).first()
+    assert lost["status"] == "failed" and "KeyError" in lost["message"] and lost["cost"] is None
+
+
 def test_modules_and_named_selectors_in_folds(spark, planted):
     gaps = planted.withColumns({c: F.when(F.pmod("row_id", F.lit(m)) != 0, F.col(c)) for c, m in (("f3", 4), ("f4", 4))})
     out = experiment.cv_cost(gaps, COLS, "tree", 2, registry=QUICK, modules=True, selector="kruskal", n_features=1).collect()

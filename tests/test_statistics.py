@@ -183,5 +183,44 @@ def test_chi2_tail():
 
 def test_density_sums_to_one(spark):
     _, df = frame(spark)
-    out = describe.density_by_class(df, ["a"], 10).toPandas()
+    out = describe.histogram_by_class(df, ["a"], 10).toPandas()
     assert out.groupby("label").cdf.max().tolist() == pytest.approx([1.0, 1.0])
+
+
+def test_slices_and_plain_windows_agree(spark):
+    """Hot values, hot keys, NULL keys, few and many rows: sums and ranks don't depend on the cuts."""
+    rng = np.random.default_rng(6)
+    n = 4000
+    pdf = pd.DataFrame({"k": np.where(rng.random(n) < 0.6, 1, rng.integers(0, 5, n)), "v": np.where(rng.random(n) < 0.4, 7.0, np.round(rng.exponential(5, n), 2)), "w": rng.integers(1, 4, n)})
+    df = spark.createDataFrame(pdf).selectExpr("nullif(k, 4) as k", "v", "w", "cast(rand(3) * 1e6 as long) as other").repartition(5)
+    agg = df.groupBy("k", "v").agg(F.sum("w").alias("w"))
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    for keys in (["k"], []):
+        rows = agg if keys else agg.groupBy("v").agg(F.sum("w").alias("w"))
+        plain, cut = (sorted(map(tuple, prefix.running_counts(rows, keys, "v", ["w"], large).collect()), key=key) for large in (False, True))
+        assert plain == cut
+        fitted = prefix.fitted_cuts(df, keys, [F.col("v")], 64)[0]
+        assert fitted is not None
+        cols = [*keys, "v", "w", "other", "rank", "total"]
+        plain, cut = (sorted((tuple(r) for r in prefix.carried_ranks(df, keys, "v", "w", "rank", c, "total").select(*cols).collect()), key=key) for c in (None, fitted))
+        assert plain == cut
+    explained = cost.cost_curve(spark.createDataFrame(pd.DataFrame({"prob": rng.random(3000), "label": rng.integers(0, 2, 3000)})), large=True)._jdf.queryExecution().toString()
+    assert "Window" in explained
+
+
+def test_one_plan_for_many_gappy_columns(spark):
+    """60 gappy columns: one plan of two carried ranks, the same values as pandas."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(150, 60))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 7] = np.where(np.isnan(x[:, 7]), np.nan, 1.0)
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(60)])
+    df = spark.createDataFrame(pdf.assign(row_id=range(150)).reset_index(drop=True))
+    got = correlation.spearman_matrix(df, list(pdf.columns))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window ") <= 8
+    want = pdf.corr("spearman", min_periods=2)
+    rows = got.collect()
+    assert len(rows) == 60 * 60
+    for r in rows:
+        expected = want.loc[r["a"], r["b"]]
+        assert (r["rho"] is None) if np.isnan(expected) else r["rho"] == pytest.approx(expected)
