@@ -165,21 +165,25 @@ def write_token_files(
         counts, n_docs, out = np.zeros(vocabulary, np.int64), 0, None
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for a, b in pieces(texts):
-                raw = out or fs.open_output_stream(f"{base}/{name}", compression=None)
-                if out is None:
-                    out, packer = raw, zstandard.ZstdCompressor(level=1)
-                ids, lengths = enc.encode(texts[a:b])
-                ids = np.insert(ids, np.cumsum(lengths), end_id).astype(np.uint32)
-                counts += np.bincount(ids, minlength=vocabulary)
-                n_docs += b - a
-                body = b"".join([
-                    struct.pack(_SPOOL, b - a, len(ids)), np.array([d or 0 for d in doc_ids[a:b]], "<i8").tobytes(),
-                    np.array([d is None for d in doc_ids[a:b]], np.uint8).tobytes(), (lengths + 1).astype("<i8").tobytes(),
-                    ids.astype("<u2" if vocabulary <= 1 << 16 else "<u4").tobytes(),
-                ])
-                body = packer.compress(body)
-                out.write(struct.pack("<I", len(body)) + body)
+            for start, stop in pieces(texts, enc.BLOCK_CHARS):
+                block, sizes = enc.encode(texts[start:stop])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for a, b in pieces(texts[start:stop]):  # what is read back at a time stays smaller
+                    raw = out or fs.open_output_stream(f"{base}/{name}", compression=None)
+                    if out is None:
+                        out, packer = raw, zstandard.ZstdCompressor(level=1)
+                    lengths = sizes[a:b]
+                    ids = np.insert(block[ends[a] : ends[b]], np.cumsum(lengths), end_id).astype(np.uint32)
+                    counts += np.bincount(ids, minlength=vocabulary)
+                    n_docs += b - a
+                    given = doc_ids[start + a : start + b]
+                    body = b"".join([
+                        struct.pack(_SPOOL, b - a, len(ids)), np.array([d or 0 for d in given], "<i8").tobytes(),
+                        np.array([d is None for d in given], np.uint8).tobytes(), (lengths + 1).astype("<i8").tobytes(),
+                        ids.astype("<u2" if vocabulary <= 1 << 16 else "<u4").tobytes(),
+                    ])
+                    body = packer.compress(body)
+                    out.write(struct.pack("<I", len(body)) + body)
         if out is not None:
             out.close()
             seen = np.flatnonzero(counts)

@@ -9,39 +9,45 @@ other than ASCII white space or strings of special tokens go to the library whol
 
 from __future__ import annotations
 
+import gc
 import os
-import re
-from itertools import chain
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from faultline.llm.common import pieces, ragged
 
 _SPACE = " \t\n\r\f\v"
-_PARTS = re.compile(rf"[{_SPACE}]*[^\W_]+|[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_CUT = "\x00"  # no plain character
+_RARE_SPACE = frozenset("\t\r\f\v")
+WHOLE, BY_RUNS, PLAINLY = 0, 1, 2
 # Characters on whose class every Unicode version agrees, but for white space and marks.
 _PLAIN = frozenset(map(chr, (*range(9, 14), *range(32, 127), *range(161, 768), *range(0x400, 0x460), *range(0x3041, 0x3097), *range(0x4E00, 0x9FA6))))
 
 
-class _Index(dict):
-    """Part to number; unseen parts are listed for the library."""
+def _plain_of(tokenizer) -> tuple[frozenset[str], bool]:
+    """The plain characters of a file, and whether its normaliser lowers them.
 
-    def __init__(self):
-        super().__init__()
-        self.unseen: list[str] = []
-        self.chars = 0
-
-    def __missing__(self, part: str) -> int:
-        number = self[part] = len(self)
-        self.unseen.append(part)
-        self.chars += len(part)
-        return number
+    Left out are those that normalising turns into something with a combining mark, which would
+    join what follows (the lower case of the dotted capital I is such a pair), and those that it
+    lowers in another way than Python. The normaliser itself is asked about every character.
+    """
+    if tokenizer.normalizer is None:
+        return _PLAIN, False
+    seen = {c: tokenizer.normalizer.normalize_str(c) for c in _PLAIN if not c.isspace()}
+    lowers = seen["A"] == "a"
+    kept = {c for c, n in seen.items() if not any(unicodedata.category(x)[0] == "M" for x in n) and (not lowers or n == c.lower())}
+    return frozenset(kept.union(_SPACE)), lowers
 
 
 class Encoder:
     """Ids of many texts by one tokenizer file; ``.json`` or ``.model`` chooses the library."""
 
     MOST_PARTS, MOST_CHARS = 600_000, 1 << 24
+    JOINED = 400  # unseen parts given to the library as one text
+    BLOCK_CHARS = 1 << 23  # characters cut into parts together
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,6 +58,14 @@ class Encoder:
             self._tokenizer.no_truncation()
             self._tokenizer.no_padding()
             self.by_parts = True
+            self._plain, self._lowers = _plain_of(self._tokenizer)
+            # White space is dropped, or kept with what follows it.
+            self._drops_space = not self.whole([" "])[0]
+            # The joining text has one id, that of a character that merges with nothing.
+            self._between = " | " if self._drops_space else "\x01"
+            self._between_ids = self.whole([self._between])[0]
+            if not self._drops_space and sum(self._tokenizer.id_to_token(self._between_ids[0]) in t for t in self._tokenizer.get_vocab()) > 1:
+                self._between_ids = []
         else:
             from sentencepiece import SentencePieceProcessor
 
@@ -60,7 +74,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._index = _Index()
+        self._numbers: dict[str, int] = {}
+        self._chars = 0
         self._ids, self._held = np.empty(1 << 12, np.uint32), 0
         self._starts, self._lengths = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -70,33 +85,81 @@ class Encoder:
             return [e.ids for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
         return self._tokenizer.encode(texts, add_bos=False, add_eos=False, num_threads=1)
 
-    def _learn(self) -> None:
-        unseen, self._index.unseen = self._index.unseen, []
-        for a in range(0, len(unseen), 10_000):
-            got = self.whole(unseen[a : a + 10_000])
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))
-            need = self._held + len(flat)
-            if need > len(self._ids):
-                self._ids = np.concatenate([self._ids[: self._held], np.empty(max(need, self._held), np.uint32)])
-            self._ids[self._held : need] = flat
-            self._starts = np.concatenate([self._starts, self._held + np.cumsum(lengths) - lengths])
-            self._lengths = np.concatenate([self._lengths, lengths])
-            self._held = need
-
-    def parts(self, text: str) -> list[str] | None:
-        """The independent parts of a text, or None if it has to stay whole."""
-        if not self.by_parts or "<|" in text or not _PLAIN.issuperset(text):
-            return None
-        return _PARTS.findall(text)
+    def _joins(self, part: str) -> bool:
+        """Whether a part keeps its ids beside the joining text: it ends with no white space and begins with no apostrophe."""
+        return bool(part) and part[-1] not in _SPACE and part[0] != "'" and (not self._drops_space or "|" not in part)
 
-    def numbers(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of parts encoded as one text, cut at the joining ids; None if they don't tell the parts."""
+        if len(self._between_ids) != 1:
+            return None
+        ids = np.array(self.whole([self._between.join(parts)])[0], np.uint32)
+        cuts = np.flatnonzero(ids == self._between_ids[0])
+        if len(cuts) != len(parts) - 1:
+            return None
+        return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+
+    def _learn(self, unseen: list[str]) -> None:
+        found = [(a, b, got) for a, b in _groups([self._joins(p) for p in unseen], self.JOINED) if (got := self._joined(unseen[a:b]))]
+        done = np.zeros(len(unseen), bool)
+        for a, b, _ in found:
+            done[a:b] = True
+        alone = np.flatnonzero(~done).tolist()
+        ids = self.whole([unseen[i] for i in alone]) if alone else []
+        lengths = np.zeros(len(unseen), np.int64)
+        for a, b, (_, n) in found:
+            lengths[a:b] = n
+        lengths[alone] = [len(i) for i in ids]
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        total = int(ends[-1])
+        need = self._held + total
+        if need > len(self._ids):
+            self._ids = np.concatenate([self._ids[: self._held], np.empty(max(need, self._held), np.uint32)])
+        flat = self._ids[self._held : need]
+        for a, b, (joined, _) in found:
+            flat[starts[a] : ends[b - 1]] = joined
+        for i, own in zip(alone, ids):
+            flat[starts[i] : ends[i]] = own
+        first = len(self._numbers)
+        self._numbers.update(zip(unseen, range(first, first + len(unseen))))
+        self._starts = np.concatenate([self._starts, self._held + starts])
+        self._lengths = np.concatenate([self._lengths, lengths])
+        self._held = need
+        self._chars += sum(map(len, unseen))
+
+    def kind(self, text: str) -> int:
+        """``WHOLE``, or how a text may be cut into parts: ``PLAINLY`` if every run of white space is one kind of character."""
+        if not self.by_parts or "<|" in text or not self._plain.issuperset(text):
+            return WHOLE
+        if self._drops_space or not ("  " in text or " \n" in text or "\n " in text or not _RARE_SPACE.isdisjoint(text)):
+            return PLAINLY
+        return BY_RUNS
+
+    def parts(self, texts: list[str], kind: int) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The independent parts of texts of one kind, one after another, and their number in each text."""
+        text = pa.array([t.lower() for t in texts] if self._lowers else texts, pa.large_string())
+        if kind == BY_RUNS:  # before each run of white space
+            text = pc.replace_substring_regex(text, rf"([^{_SPACE}])([{_SPACE}])", rf"\1{_CUT}\2")
+        elif self._drops_space:
+            text = pc.replace_substring(pc.replace_substring(text, " ", _CUT), "\n", _CUT)
+        else:
+            text = pc.replace_substring(pc.replace_substring(text, " ", _CUT + " "), "\n", _CUT + "\n")
+            while pc.any(pc.match_substring(text, f"\n{_CUT}\n")).as_py():  # empty lines stay together
+                text = pc.replace_substring(text, f"\n{_CUT}\n", "\n\n")
+        text = pc.replace_substring_regex(text, rf"([\pL\pN])([^\pL\pN{_SPACE}{_CUT}])", rf"\1{_CUT}\2")
+        split = pc.split_pattern(text, _CUT)
+        return split.values.dictionary_encode(), np.diff(split.offsets.to_numpy())
+
+    def numbers(self, coded: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Number of each part and its count of ids."""
-        if len(self._index) > self.MOST_PARTS or self._index.chars > self.MOST_CHARS:
+        if len(self._numbers) > self.MOST_PARTS or self._chars > self.MOST_CHARS:
             self._forget()
-        at = np.fromiter(map(self._index.__getitem__, parts), np.int64, len(parts))
-        if self._index.unseen:
-            self._learn()
+        kinds = coded.dictionary.to_pylist()
+        unseen = [p for p in kinds if p not in self._numbers]
+        if unseen:
+            self._learn(unseen)
+        at = np.fromiter(map(self._numbers.__getitem__, kinds), np.int64, len(kinds))[coded.indices.to_numpy(zero_copy_only=False)]
         return at, self._lengths[at]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,22 +173,32 @@ class Encoder:
         return self._walk(texts, None)
 
     def _walk(self, texts: list[str], found: list[np.ndarray] | None) -> np.ndarray:
+        # Many short-lived lists of parts and ids would set off the cycle collector again and again.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts, found)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encoded(self, texts: list[str], found: list[np.ndarray] | None) -> np.ndarray:
         counts = np.zeros(len(texts), np.int64)
-        for a, b in pieces(texts):
-            for first, split in _runs([self.parts(t) for t in texts[a:b]]):
-                first += a
-                if split is None:
+        for a, b in pieces(texts, self.BLOCK_CHARS):
+            for first, last, kind in _runs([self.kind(t) for t in texts[a:b]]):
+                first, last = first + a, last + a
+                if kind == WHOLE:
                     ids = np.array(self.whole([texts[first]])[0], np.uint32)
                     counts[first] = len(ids)
                     if found is not None:
                         found.append(ids)
                     continue
-                at, lengths = self.numbers(list(chain.from_iterable(split)))
+                coded, sizes = self.parts(texts[first:last], kind)
+                at, lengths = self.numbers(coded)
                 if found is not None:
                     found.append(self._ids[ragged(self._starts[at], lengths)])
-                ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-                ends = np.concatenate([[0], np.cumsum(lengths)])[ends]
-                counts[first : first + len(split)] = np.diff(ends, prepend=0)
+                ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes)]
+                counts[first:last] = np.diff(ends, prepend=0)
         return counts
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,19 +208,23 @@ class Encoder:
         return np.array(e.ids, np.uint32), at[:, 0], at[:, 1]
 
 
-def _runs(split: list[list[str] | None]):
-    """Consecutive split texts together, whole ones alone: ``(first, parts or None)``."""
-    first = 0
-    while first < len(split):
-        if split[first] is None:
-            yield first, None
-            first += 1
-            continue
-        last = first
-        while last < len(split) and split[last] is not None:
-            last += 1
-        yield first, split[first:last]
-        first = last
+def _groups(joins: list[bool], most: int):
+    """Consecutive ranges of at most ``most`` parts that all may be joined, two at least."""
+    start = 0
+    for i in range(len(joins) + 1):
+        if i == len(joins) or not joins[i] or i - start == most:
+            if i - start > 1:
+                yield start, i
+            start = i if i < len(joins) and joins[i] else i + 1
+
+
+def _runs(kinds: list[int]):
+    """Consecutive texts of a kind together, whole ones alone: ``(first, last + 1, kind)``."""
+    start = 0
+    for i in range(1, len(kinds) + 1):
+        if i == len(kinds) or kinds[i] != kinds[i - 1] or kinds[i] == WHOLE:
+            yield start, i, kinds[start]
+            start = i
 
 
 _ENCODERS: dict[str, Encoder] = {}

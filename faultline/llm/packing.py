@@ -71,7 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int,
         enc = encoder(tokenizer)
         for batch in batches:
             texts, sizes, sums = texts_of(batch.column(1)), [], []
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, enc.BLOCK_CHARS):
                 ids, lengths = enc.encode(texts[a:b])
                 ids = np.insert(ids, np.cumsum(lengths), end_id).astype("<u4")
                 raw, at = memoryview(ids).cast("B"), 0
@@ -93,14 +93,15 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int = 1024,
     """One row per piece (``PIECES``): its bin is ``sequence_id``, its place there ``offset``.
 
     By default the other two capacities are those that ``capacity`` tokens imply, so that
-    they never cost a bin. A piece that no empty bin takes raises an error. Whole pieces of a
+    they never cost a bin; smaller ones bind. A piece that no empty bin takes raises an error. Whole pieces of a
     long document are bins of their own; the rest goes to random groups of about ``group``
     documents, packed each in one task, whose size doesn't follow the input. NULL text is
     empty (the end id alone); repeated rows are all packed; an empty table gives no rows.
     """
-    documents, attention = max_documents or capacity, max_attention or capacity * capacity
-    if documents < 1 or attention < capacity * capacity:
-        raise ValueError("an empty bin has to take the longest piece")
+    documents = capacity if max_documents is None else max_documents
+    attention = capacity * capacity if max_attention is None else max_attention
+    if documents < 1 or attention < 1:
+        raise ValueError("an empty bin has to take a piece")
     items = materialise(token_pieces(docs, tokenizer, end_id=end_id, capacity=capacity)
                         .withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-items.count() // group))
@@ -113,6 +114,9 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int, capacity: int = 1024,
         doc_ids, sums = table["doc_id"], [np.frombuffer(s, "<u4") for s in table["sums"].to_pylist()]
         n_tokens = table["n_tokens"].to_numpy()
         rest = (n_tokens - 1) % capacity + 1
+        longest = int(np.where(n_tokens > capacity, capacity, rest).max())
+        if longest * longest > attention:
+            raise ValueError(f"no empty bin takes a piece of {longest} tokens")
         packed = rest < capacity
         bins, offsets = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
         bins[packed], offsets[packed] = vector_best_fit(rest[packed], capacity, documents, attention, rule=rule)
