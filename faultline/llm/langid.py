@@ -16,14 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.common import materialise, text_or_empty, texts_of
 
 BUCKETS = 1 << 15
-SAMPLE = 4_000  # labelled documents that the trigram model is fitted on, at most
-LANGUAGES = 32  # of these the most frequent languages are modelled, at most
+SAMPLE = 1_000  # labelled documents of each language that the trigram model is fitted on, at most
 SMOOTH = 5.0  # pages' worth of the next level's prior in each level
 TEXT_WEIGHT = 0.05  # trigrams overlap and depend on each other: their log likelihood counts by this factor
 
@@ -55,10 +54,16 @@ class Trigrams:
         return TEXT_WEIGHT * self.log_p[:, trigram_buckets(text)].sum(axis=1, dtype=np.float64)
 
 
-def fit_trigrams(docs: DataFrame, *, sample: int = SAMPLE, languages: int = LANGUAGES) -> Trigrams:
-    """Trigram model from at most ``sample`` documents with a language, those with the smallest hash of their id."""
-    known = docs.filter("doc_id is not null and lang is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "lang", "text").filter("lang is not null").join(F.broadcast(known), "doc_id")
+def fit_trigrams(docs: DataFrame, *, sample: int = SAMPLE) -> Trigrams:
+    """Trigram model of every language that labels a document.
+
+    Fitted on at most ``sample`` documents of each language, those with the smallest hash of their id;
+    documents without id or language are left out.
+    """
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    known = docs.filter("doc_id is not null and lang is not null").select("lang", "doc_id").distinct()
+    known = known.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= sample).drop("_r")
+    chosen = docs.select("doc_id", "lang", "text").join(known, ["lang", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -71,9 +76,8 @@ def fit_trigrams(docs: DataFrame, *, sample: int = SAMPLE, languages: int = LANG
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bucket", "n"])
 
     counted = materialise(chosen.select("lang", "text").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    common = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    # At most languages x BUCKETS rows.
-    rows = counted.join(F.broadcast(common.select("lang")), "lang").toArrow()
+    # At most BUCKETS rows for each language.
+    rows = counted.toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     table = np.full((len(names), BUCKETS), 0.5)
     table[np.array([names.index(x) for x in rows["lang"].to_pylist()], np.int64), rows["bucket"].to_numpy()] += rows["n"].to_numpy()
@@ -137,7 +141,7 @@ def page_languages(pages: DataFrame, model: Trigrams, *, smooth: float = SMOOTH)
     suffix = suffix.select("suffix", below(F.col("c"), F.col("n"), F.array(*map(F.lit, overall))).alias("prior"))
     domain = domain.join(suffix, "suffix").select("suffix", "domain", below(F.col("c"), F.col("n"), F.col("prior")).alias("prior"))
     host = materialise(host.join(domain, ["suffix", "domain"]).select("host", "n", "c", "prior"), "priors")
-    # How often pages in a language declare what: at most LANGUAGES + 2 rows.
+    # How often pages in a language declare what: as many rows as languages and two.
     said = scored.groupBy("declared").agg(_sums("p", k).alias("c")).collect()
     total = [sum(r["c"][i] for r in said) for i in range(k)]
     trust = {r["declared"]: [float(np.log((c + 0.5) / (t + 0.5 * (k + 2)))) for c, t in zip(r["c"], total)] for r in said}
