@@ -235,12 +235,24 @@ def _mixed_links(buckets: DataFrame, labels: DataFrame, docs: DataFrame, bands:
                 if tuple(row[:3]) != key:
                     yield _met(key, held, m, least, similarity)
                     key, held = tuple(row[:3]), []
-                held.append((*row[3:], weighted_shingles(text)))
+                held.append((*row[3:], text))
         yield _met(key, held, m, least, similarity)
 
     return dealt.mapInArrow(run, "doc long, centre long").distinct()
 
 
+class _Shingles(dict):
+    """Weighted shingles by place, made when they are asked for."""
+
+    def __init__(self, texts):
+        super().__init__()
+        self.texts = list(texts)
+
+    def __missing__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        found = self[i] = weighted_shingles(self.texts[i])
+        return found
+
+
 def _met(key, held, m: int, least: float, similarity: float) -> pa.RecordBatch:
     """Links between the classes of two blocks (or within one) of the bucket ``key[0]``."""
     found = []
@@ -248,7 +260,8 @@ def _met(key, held, m: int, least: float, similarity: float) -> pa.RecordBatch:
         block, doc, label = (np.array(c) for c in zip(*(r[:3] for r in held)))
         s = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(len(held), m)
         keys = np.frombuffer(b"".join(r[4] for r in held), "<i8").reshape(len(held), -1)
-        sets = [r[5] for r in held]
+        # Shingles of survivors only, each text's once.
+        sets = _Shingles(r[5] for r in held)
         a, b = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
         for i in a.tolist():
             j = b[(label[b] != label[i]) & (doc[b] != doc[i])]
@@ -261,29 +274,50 @@ def _met(key, held, m: int, least: float, similarity: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["doc", "centre"])
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS,
-                    similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, n_links``: the class of each document is its smallest id.
+_ODD = 1 << 62  # keys of texts without an id of their own begin here
 
-    A class is what exact copies and pairs of at least ``similarity`` connect. ``n_links``
-    counts the verified pairs of the document's text with other texts. Texts of fewer than
-    five words are one shingle; texts without words (NULL, empty) are copies of each other
-    if equal. A NULL id gets the class of its text if that has a document with an id, else
-    NULL. Rows that share an id are one document per text, linked through the id; repeated
-    rows are all returned.
+
+def text_digest(text: str = "text"):
+    """MD5 of a text column in UTF-8, as bytes; NULL is the empty text."""
+    return F.unhex(F.md5(text_or_empty(text).cast("binary")))
+
+
+def _text_keys(signed: DataFrame) -> DataFrame:
+    """``digest, id, doc``: the smallest id of each distinct text, and a key that no other text has.
+
+    The key is the id, for the text with the smallest digest if several texts share it; the others and
+    texts without an id get numbers of their own.
+    """
+    least = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("id")), "copies")
+    known = least.filter("id is not null")
+    first = known.groupBy("id").agg(F.min("digest").alias("_first"))
+    own = known.join(first, "id").withColumn("_own", F.col("digest") == F.col("_first")).drop("_first")
+    both = own.unionByName(least.filter("id is null").withColumn("_own", F.lit(False)))
+    number = F.lit(_ODD) + F.monotonically_increasing_id()
+    return materialise(both.select("digest", "id", F.when(F.col("_own"), F.col("id")).otherwise(number).alias("doc")), "keys")
+
+
+def text_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS,
+                 similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Classes of the distinct texts, and the digest of each row.
+
+    The first is ``digest, id, stands, class_id, n_links``: a text's smallest id, whether it stands for its
+    class (one text of each does), the class's smallest id (NULL if no text of it has one), and
+    its number of verified links. The second is ``doc_id, digest`` for every row.
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     signed = materialise(candidate_bands(given, bands, rows), "bands")
-    # The smallest id stands for all copies of a text.
-    lead = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("doc")), "copies")
-    own = signed.withColumnRenamed("doc_id", "doc").join(lead, ["doc", "digest"], "left_semi")
-    flat = materialise(own.select("doc", F.explode("buckets").alias("bucket")), "buckets")
+    keys = _text_keys(signed)
+    # The row with the smallest id stands for all copies of a text.
+    own = signed.withColumnRenamed("doc_id", "id").join(keys.withColumnRenamed("id", "_id"), "digest").filter(F.col("id").eqNullSafe(F.col("_id")))
+    flat = materialise(own.select("doc", F.explode("buckets").alias("bucket")).distinct(), "buckets")
     lowest = flat.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("high")).filter("centre <> high")
     shared = materialise(flat.join(materialise(lowest.drop("high"), "centres"), "bucket"), "shared")
     pairs = materialise(shared.filter("doc <> centre").select("doc", "centre").distinct(), "pairs")
-    # The texts of documents that share a bucket; all others are done.
-    wanted = shared.select("doc").distinct()
-    texts = materialise(given.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
+    # The texts that share a bucket; all others are done.
+    wanted = materialise(keys.join(shared.select("doc").distinct(), "doc", "left_semi").withColumnRenamed("id", "_id"), "wanted")
+    found = given.withColumn("digest", text_digest()).join(wanted, "digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = materialise(found.select("doc", "text").dropDuplicates(["doc"]), "texts")
     edges = materialise(_verified(pairs, texts, similarity), "links")
     labels = components(edges)
     more = materialise(_mixed_links(shared.select("doc", "bucket"), labels, texts, bands, rows, similarity), "links")
@@ -291,7 +325,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         edges = edges.union(more)
         labels = components(edges)
     links = edges.select(F.explode(F.array("doc", "centre")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
-    classes = materialise(
-        lead.join(labels, "doc", "left").join(links, "doc", "left")
-        .select("digest", F.coalesce("label", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    return signed.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", "n_links")
+    joined = keys.join(labels, "doc", "left").join(links, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    # The smallest key of a class is its smallest id, if a text of it has one: ids come before other keys.
+    classes = materialise(joined.select(
+        "digest", "id", (F.col("doc") == F.col("label")).alias("stands"), F.when(F.col("label") < _ODD, F.col("label")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    return classes, signed.select("doc_id", "digest")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS,
+                    similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, n_links``: the class of each document is its smallest id.
+
+    A class is what exact copies and pairs of at least ``similarity`` connect. ``n_links``
+    counts the verified pairs of the document's text with other texts. Texts of fewer than
+    five words are one shingle; texts without words (NULL, empty) are copies of each other
+    if equal. Texts are compared, not ids: a row with a NULL id gets the smallest id of its class, NULL
+    if that has none; rows that share an id have the class of their own text each; repeated rows are
+    all returned.
+    """
+    classes, rows_ = text_classes(docs, doc_id=doc_id, text=text, bands=bands, rows=rows, similarity=similarity)
+    return rows_.join(classes, "digest").select("doc_id", "class_id", "n_links")
