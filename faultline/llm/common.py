@@ -115,3 +115,11 @@ def word_shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def hash_bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Which places the column ``hash`` takes modulo ``bits``, a power of two; at most ``bits / 64`` rows are collected."""
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast((hash & {bits - 1}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)

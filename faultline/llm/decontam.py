@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import WordHashes, materialise, mix, pieces, text_or_empty, texts_of
+from faultline.llm.common import WordHashes, hash_bitmap, materialise, mix, pieces, text_or_empty, texts_of
 
 # Five ones each, spans of 6 to 9. Every run with at least 12 equal tokens and a share of at
 # least 0.7 contains one of them, however its substitutions lie (shown in tests/llm/test_edges.py).
 MASKS = ("111011", "110100011", "1001111", "101100101", "101010011", "1111001")
 LEAST_MATCHES, LEAST_SHARE = 12, 0.7  # of the tokens that lie over each other
 BITMAP_BITS = 1 << 24
+BROADCAST_ROWS = 1_000_000  # windows of the benchmark that are broadcast, at most
+SALTS = 16
 
 _WORDS = WordHashes()
 _TOKEN = re.compile(r"\w+")
@@ -59,20 +61,32 @@ def seed_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out)
 
 
+def _runs(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive places with one hash: the hash, first and last place of each."""
+    order = np.lexsort((at, hashes))
+    h, p = hashes[order], at[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1] + 1)
+    last = np.append(first[1:], np.ones(min(len(h), 1), bool))
+    return h[first], p[first], p[last]
+
+
 def benchmark_windows(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, text: str = "text") -> DataFrame:
-    """``hash, item_id, at``: every window of every item under every mask; an item shorter than a mask has none."""
+    """``hash, item_id, low, high``: every window of every item under every mask; an item shorter than a mask has none.
+
+    Windows with one hash at consecutive places, as repeated tokens make them, are one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 tokens = tokens_of(t)
                 found = [seed_hashes(tokens, m, k) for k, m in enumerate(masks)]
-                at = np.concatenate([np.arange(len(h)) for h in found])
-                h = np.concatenate(found).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), pa.int64()), pa.array(at, pa.int64())],
-                                                 names=["hash", "item_id", "at"])
+                h, low, high = _runs(np.concatenate(found).view(np.int64), np.concatenate([np.arange(len(h)) for h in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
+                                                 names=["hash", "item_id", "low", "high"])
 
-    return benchmark.select("item_id", text_or_empty(text)).mapInArrow(run, "hash long, item_id long, at long")
+    return benchmark.select("item_id", text_or_empty(text)).mapInArrow(run, "hash long, item_id long, low long, high long")
 
 
 def item_tokens(benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -85,30 +99,18 @@ def item_tokens(benchmark: DataFrame, text: str = "text") -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty(text)).mapInArrow(run, "item_id long, item array<long>")
 
 
-def _bitmap(windows: DataFrame, bits: int) -> np.ndarray:
-    """Bits of the hashes' places, from at most ``bits / 64`` rows."""
-    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    words = windows.groupBy(F.shiftright(place, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast((hash & {bits - 1}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
-_STRETCHES = "doc_id long, stretch long, start long, tokens array<long>, hits array<struct<hash:long,at:long>>"
-
-
-def document_hits(docs: DataFrame, seen: np.ndarray, flank: int, masks: tuple[str, ...] = MASKS, text: str = "text") -> DataFrame:
+def document_hits(docs: DataFrame, seen: np.ndarray, flank: int, masks: tuple[str, ...] = MASKS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Stretches of documents around hashes that the bitmap knows, with ``flank`` tokens either side.
 
     Hits whose surroundings overlap share a stretch of at most ``8 * flank`` tokens between
-    its first and last hit.
+    its first and last hit; those with one hash at consecutive places are one.
     """
     packed, places = np.packbits(seen), np.uint64(len(seen) - 1)
+    schema = f"doc_id {_kind(docs, doc_id)}, stretch long, start long, tokens array<long>, hits array<struct<hash:long,low:long,high:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(packed).astype(bool)
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())]))
+        kind = pa.list_(pa.struct([("hash", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
         for batch in batches:
             rows = []
             texts = texts_of(batch.column(1))
@@ -131,65 +133,102 @@ def document_hits(docs: DataFrame, seen: np.ndarray, flank: int, masks: tuple[st
                         stop += 1
                     begin = int(ends[d - 1]) if d else 0
                     first, last = max(begin, int(where[start]) - flank), min(int(ends[d]), int(where[stop - 1]) + flank)
+                    runs = _runs(hashes[start:stop], where[start:stop] - begin)
                     rows.append((ids[int(d)].as_py(), len(rows), first - begin, tokens[first:last].view(np.int64).tolist(),
-                                 [{"hash": h, "at": p} for h, p in zip(hashes[start:stop].tolist(), (where[start:stop] - begin).tolist())]))
+                                 [{"hash": h, "low": x, "high": y} for h, x, y in zip(*(r.tolist() for r in runs))]))
                     start = stop
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(columns[0]), pa.int64()), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64()),
+                [pa.array(list(columns[0]), batch.schema.field(0).type), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64()),
                  pa.array(list(columns[3]), pa.list_(pa.int64())), pa.array(list(columns[4]), kind)],
                 names=["doc_id", "stretch", "start", "tokens", "hits"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text)).mapInArrow(run, _STRETCHES)
+    found = docs.select(F.col(doc_id).cast(_kind(docs, doc_id)).alias("doc_id"), text_or_empty(text)).mapInArrow(run, schema)
     return found.withColumn("stretch", F.monotonically_increasing_id())
 
 
+def _kind(docs: DataFrame, doc_id: str) -> str:
+    """Type of the column that names a document: whole numbers are long, others stay."""
+    kind = dict(docs.dtypes)[doc_id]
+    return "long" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, least_matches: int = LEAST_MATCHES,
-    least_share: float = LEAST_SHARE, bits: int = BITMAP_BITS,
+    least_share: float = LEAST_SHARE, bits: int = BITMAP_BITS, doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``doc_id, item_id, doc_token, item_token, length, matches``: the best overlap of each pair.
 
     The item is laid over the document at each hit; an overlap is the run of ``length`` tokens
     there of which at least ``least_share`` and at least ``least_matches`` are equal. Shorter
     overlaps can't be told from chance. With the default masks, every such overlap has a hit
-    if the two limits are no lower than theirs. NULL text is empty, items with a NULL id are left
-    out, documents with one are kept; repeated rows of a document or an item give their pair
+    if the two limits are no lower than theirs. ``doc_id`` names the documents, by numbers, strings or bytes. NULL text is
+    empty, items with a NULL id are left out, documents with one are kept; repeated rows of a document or an item give their pair
     once, empty tables give no rows.
+
+    Equal tokens in a row hit on many neighbouring diagonals: a run of hits on a run of windows is one row
+    with a range of diagonals, and the ranges of a stretch and an item are searched together.
     """
     items = materialise(item_tokens(benchmark), "items")
     windows = materialise(benchmark_windows(benchmark, masks).distinct(), "windows")
     flank = max(items.agg(F.max(F.size("item"))).first()[0] or 0, 1)
-    stretches = materialise(document_hits(docs, _bitmap(windows, bits), flank, masks), "stretches")
-    hits = stretches.select("stretch", "start", F.explode("hits").alias("h")).select("stretch", "start", "h.hash", F.col("h.at").alias("doc_at"))
-    # Where the item's first token lies in the document.
-    laid = materialise(hits.join(windows, "hash").select("stretch", "item_id", (F.col("doc_at") - F.col("at")).alias("first")).distinct(), "laid")
+    stretches = materialise(document_hits(docs, hash_bitmap(windows, bits), flank, masks, doc_id=doc_id), "stretches")
+    hits = stretches.select("stretch", F.explode("hits").alias("h")).select("stretch", "h.hash", F.col("h.low").alias("doc_low"), F.col("h.high").alias("doc_high"))
+    if windows.count() <= broadcast_rows:
+        met = hits.join(F.broadcast(windows), "hash")
+    else:  # a hash that many documents have is dealt over the salts
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        met = hits.withColumn("salt", F.pmod(F.xxhash64("stretch"), F.lit(SALTS)).cast("int")).join(windows.select("*", salts), ["hash", "salt"])
+    # Where the item's first token lies in the document, as ranges.
+    range_ = F.struct((F.col("doc_low") - F.col("high")).alias("low"), (F.col("doc_high") - F.col("low")).alias("high"))
+    laid = materialise(met.filter("item_id is not null").groupBy("stretch", "item_id").agg(F.collect_set(range_).alias("ranges")), "laid")
     over = laid.join(stretches.select("stretch", "doc_id", "start", "tokens"), "stretch").join(items, "item_id")
-    enough = over.select("doc_id", "item_id", "first", "start", "tokens", "item").mapInArrow(
-        lambda batches: _verify(batches, least_matches, least_share), _OVERLAPS)
+    overlaps = f"doc_id {_kind(docs, doc_id)}, item_id long, doc_token long, item_token long, length long, matches long"
+    enough = over.select("doc_id", "item_id", "ranges", "start", "tokens", "item").mapInArrow(
+        lambda batches: _verify(batches, least_matches, least_share), overlaps)
     best = F.max(F.struct("matches", (-F.col("length")).alias("short"), (-F.col("doc_token")).alias("early"), "item_token")).alias("b")
     return enough.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("b.early")).alias("doc_token"), "b.item_token", (-F.col("b.short")).alias("length"), "b.matches")
 
 
-_OVERLAPS = "doc_id long, item_id long, doc_token long, item_token long, length long, matches long"
-
-
 def _verify(batches: Iterator[pa.RecordBatch], least_matches: int, least_share: float) -> Iterator[pa.RecordBatch]:
-    """The best run of each item laid over its stretch: most matches at that share."""
+    """The best run of each item laid over its stretch along the given diagonals: most matches at that share."""
+    names = ["doc_id", "item_id", "doc_token", "item_token", "length", "matches"]
     for batch in batches:
         rows = []
-        for doc, item_id, first, start, tokens, item in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            lead, skip = max(first - start, 0), max(start - first, 0)
-            length = min(len(tokens) - lead, len(item) - skip)
-            if length < least_matches:
-                continue
-            equal = np.array(tokens[lead : lead + length]) == np.array(item[skip : skip + length])
-            run = best_run(equal, least_share)
-            if equal[run[0] : run[1]].sum() >= least_matches:
-                rows.append((doc, item_id, start + lead + run[0], skip + run[0], run[1] - run[0], int(equal[run[0] : run[1]].sum())))
+        for doc, item_id, ranges, start, tokens, item in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            found = best_overlap(ranges, start, np.array(tokens), np.array(item), least_matches, least_share)
+            if found is not None:
+                rows.append((doc, item_id, *found))
         columns = list(zip(*rows)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=[f.split()[0] for f in _OVERLAPS.split(", ")])
+        kinds = [batch.schema.field(0).type, *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+
+def best_overlap(ranges: list[dict], start: int, tokens: np.ndarray, item: np.ndarray, least_matches: int, least_share: float):
+    """Place in the document and the item, length and matches of the best run on any diagonal of the ranges, or None.
+
+    Diagonals are looked at by their equal tokens, most first, until the rest can't reach the best.
+    """
+    low, high = start - len(item) + 1, start + len(tokens) - 1
+    firsts = np.unique(np.concatenate([np.arange(max(r["low"], low), min(r["high"], high) + 1) for r in ranges]))
+    laid = []
+    for first in firsts.tolist():
+        lead, skip = max(first - start, 0), max(start - first, 0)
+        length = min(len(tokens) - lead, len(item) - skip)
+        if length >= least_matches:
+            equal = tokens[lead : lead + length] == item[skip : skip + length]
+            if (n := int(np.count_nonzero(equal))) >= least_matches:
+                laid.append((n, lead, skip, equal))
+    best = None
+    for n, lead, skip, equal in sorted(laid, key=lambda x: -x[0]):
+        if best is not None and n < best[0]:
+            break
+        a, b = best_run(equal, least_share)
+        matches = int(np.count_nonzero(equal[a:b]))
+        if matches >= least_matches:
+            best = max(best or (0,), (matches, a - b, -(start + lead + a), skip + a))
+    return None if best is None else (-best[2], best[3], -best[1], best[0])
 
 
 def best_run(equal: np.ndarray, share: float) -> tuple[int, int]:
