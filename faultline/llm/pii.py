@@ -6,7 +6,8 @@ patterns around it. Scores go to and fro over the graph of patterns and instance
 fixed point: a pattern is as good as its instances are on average, an instance as good as
 the confident patterns around it together, those with the pattern's own last word left out.
 Patterns that many different instances support with a high score mark unseen identifiers
-in their contexts; these support further patterns.
+in their contexts; these support further patterns. A pattern that seldom stands before an
+identifier, as function words do, is none: all its occurrences in the corpus are counted.
 """
 
 from __future__ import annotations
@@ -14,17 +15,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import materialise, text_or_empty, texts_of
+from faultline.llm.common import WordHashes, hash_bitmap, materialise, mix, text_or_empty, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"  # the kind of spans that the method adds; it sorts after the base kinds
 LEAST_SCORE, LEAST_INSTANCES = 0.8, 20
 OWN_VOTE = 0.75  # what a pattern's own score counts for its instances; at 0.8, half of them have to be known otherwise
 LEAST_BELIEF = 0.95  # an instance that others believe in so much counts as a seed
+LEAST_SHARE = 0.2  # of all occurrences of a pattern's words, those before a seed or a candidate
 TOLERANCE = 1e-6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -120,10 +123,58 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _MARKS)], names=["given", "marks"])
 
 
-def confident_patterns(found: DataFrame, *, least_score: float = LEAST_SCORE, least_instances: int = LEAST_INSTANCES,
+_WORDS = WordHashes()
+_BITS = 1 << 24
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    return mix(h[:-1] * np.uint64(3) + h[1:])
+
+
+def _hashed(patterns: DataFrame) -> DataFrame:
+    """``pattern, hash``: of the word, or of both words in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_WORDS.of(p[1:].split(" ")) for p in batch.column(0).to_pylist()]
+            h = np.array([w[0] if len(w) == 1 else _pairs(w)[0] for w in words], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.int64())], names=["pattern", "hash"])
+
+    return patterns.select("pattern").mapInArrow(run, "pattern string, hash long")
+
+
+def occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern, occurs``: how often the words of each pattern stand in all texts (a column ``text``).
+
+    A task counts the hashes that a bitmap of bounded size knows and hands on one row for each; the join with
+    the patterns' hashes decides.
+    """
+    hashed = materialise(_hashed(patterns), "hashed")
+    packed, places = np.packbits(hash_bitmap(hashed, _BITS)), np.uint64(_BITS - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(packed).astype(bool)
+        total: dict[int, int] = {}
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                words = [w.strip(_TRIM) for w in t.lower().split()]
+                h, empty = _WORDS.of(words), np.fromiter((not w for w in words), bool, len(words))
+                both = np.concatenate([h[~empty], _pairs(h)[~(empty[:-1] | empty[1:])]]) if len(h) else h
+                for k, n in zip(*(x.tolist() for x in np.unique(both[known[both & places]], return_counts=True))):
+                    total[k] = total.get(k, 0) + n
+        at = np.fromiter(total, np.uint64, len(total)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(list(total.values()), pa.int64())], names=["hash", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("occurs"))
+    return hashed.join(counted, "hash").select("pattern", "occurs")
+
+
+def confident_patterns(found: DataFrame, texts: DataFrame | None = None, *, least_share: float = LEAST_SHARE, least_score: float = LEAST_SCORE, least_instances: int = LEAST_INSTANCES,
                        own_vote: float = OWN_VOTE, least_belief: float = LEAST_BELIEF) -> DataFrame:
     """``pattern, score, instances, known``: patterns to discover with.
 
+    Of all occurrences of a pattern's words in ``texts``, ``least_share`` have to stand before a seed or candidate;
+    others have no part in the graph.
     The graph has an edge for each pattern and different instance, whatever its number of
     occurrences, so that copies of a document don't vote. Seeds have belief 1. For a pattern,
     the belief in another instance is the noisy-or of the confident patterns around it with
@@ -138,7 +189,13 @@ def confident_patterns(found: DataFrame, *, least_score: float = LEAST_SCORE, le
     edges = materialise(
         found.select(F.explode("marks").alias("m"))
         .select("m.instance", F.col("m.kind").isNotNull().cast("int").alias("seed"), F.explode("m.patterns").alias("pattern"))
-        .groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "graph")
+        .groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("places")), "graph")
+    per = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("places").alias("places")).filter(F.col("n") >= least_instances)
+    if texts is not None:
+        per = materialise(per, "frequent")
+        often = occurrences(texts, per)
+        per = per.join(often, "pattern").filter(F.col("places") >= least_share * F.col("occurs"))
+        edges = edges.join(materialise(per.select("pattern"), "label-like"), "pattern", "left_semi")
     # A string that is a seed anywhere is one everywhere.
     seeds = edges.filter("seed = 1").select("instance", F.lit(True).alias("is_seed")).distinct()
     edges = edges.select("pattern", "instance").join(seeds, "instance", "left").select("pattern", "instance", F.col("is_seed").isNotNull().alias("seed"))
@@ -177,14 +234,14 @@ def personal_data(docs: DataFrame, *, text: str = "text", keep_text: bool = Fals
     Spans are code points, end exclusive; base spans stay as they are. The added spans have
     the kind ``context`` and overlap no base span. NULL text is empty, without spans; a
     column named ``spans`` is replaced; every row gives one row, repeated rows too; ids play
-    no part. The texts are read once: discovery joins the patterns with the candidates found
-    then, whatever their number.
+    no part. The texts are read twice, for candidates and for the occurrences of patterns; discovery joins
+    the patterns with the candidates found, whatever their number.
     """
     kept = [F.col(c) for c in docs.columns if c != "spans" and (keep_text or c != text)]
     schema = docs.select(F.struct(*kept).alias("given")).schema
     found = docs.select(F.struct(*kept).alias("given"), text_or_empty(text)).mapInArrow(_marks, f"given {schema[0].dataType.simpleString()}, marks array<{_MARK}>")
     found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "marks")
-    best = materialise(confident_patterns(found, **options), "confident")
+    best = materialise(confident_patterns(found, docs.select(text_or_empty(text).alias("text")), **options), "confident")
     seen = found.select("row", F.explode("marks").alias("m")).filter("m.kind is null").select("row", "m.start", "m.end", F.explode("m.patterns").alias("pattern"))
     more = seen.join(best.select("pattern"), "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     order = F.create_map(*[x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k))])
