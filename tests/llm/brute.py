@@ -185,3 +185,41 @@ def gram_buckets(text, sizes, most):
                 x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
                 out.add((x ^ (x >> 31)) % most)
     return sorted(out)
+
+
+def pattern_scores(marks, least_score, least_instances, own_vote, least_belief):
+    """Scores of patterns by rounds over dictionaries, until nothing rises."""
+    import math
+
+    seeds = {m["instance"] for m in marks if m["kind"] is not None}
+    instances = defaultdict(set)
+    for m in marks:
+        for p in m["patterns"]:
+            instances[p].add(m["instance"])
+    instances = {p: s for p, s in instances.items() if len(s) >= least_instances}
+    voter = {p: p.split(" ")[-1].lstrip("<") for p in instances}
+    around = defaultdict(list)
+    for p, members in instances.items():
+        for i in members - seeds:
+            around[i].append(p)
+    score = {}
+    for _ in range(500):
+        beliefs = defaultdict(float)
+        for i, patterns in around.items():
+            best = {}
+            for p in patterns:
+                if score.get(p, 0) >= least_score:
+                    best[voter[p]] = max(best.get(voter[p], 0), score[p])
+            doubt = {v: math.log(1 - min(s, 0.999999)) for v, s in best.items()}
+            for p in patterns:
+                belief = max(1 - math.exp(sum(doubt.values()) - doubt.get(voter[p], 0)), 0)
+                beliefs[p] += 1.0 if belief >= least_belief else belief
+        new = {}
+        for p, members in instances.items():
+            mean = (len(members & seeds) + beliefs[p]) / len(members)
+            new[p] = mean / (1 - (1 - mean) * own_vote)
+        done = score and max(new[p] - score[p] for p in new) <= 1e-6
+        score = new
+        if done:
+            break
+    return {p: s for p, s in score.items() if s >= least_score}
