@@ -24,21 +24,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest id.
+    """One document of each class of near-duplicates: the row with the smallest id of the text that stands for it.
 
-    A document without an id stays if its text has no class; of repeated rows one stays.
+    Texts are what is compared: of repeated rows one stays, rows that share an id are judged by their own
+    texts, and a row without an id goes like any other if its text has a class.
     """
-    classes = minhash.near_duplicates(docs)
-    kept = materialise(classes.filter("doc_id = class_id").select("doc_id").distinct(), "kept")
-    alone = docs.filter("doc_id is null").select(*COLUMNS).dropDuplicates(["text"])
-    with_id = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(alone.join(docs.filter("doc_id is not null").select("text"), "text", "left_anti").select(*COLUMNS))
+    classes, _ = minhash.text_classes(docs)
+    kept = materialise(classes.filter("stands").select("digest", F.col("id").alias("_id")), "kept")
+    rows = docs.select(*COLUMNS, minhash.text_digest().alias("digest")).join(kept, "digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    return rows.dropDuplicates(["digest"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with the benchmark."""
-    found = decontam.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(materialise(found, "contaminated"), "doc_id", "left_anti")
+    """Documents without an overlap with the benchmark; texts are judged, so ids may be missing or repeated."""
+    rows = docs.select(*COLUMNS, minhash.text_digest().alias("digest"))
+    found = decontam.contaminated(rows, read(spark, sf_dir, "benchmark"), doc_id="digest").select(F.col("doc_id").alias("digest")).distinct()
+    return rows.join(materialise(found, "contaminated"), "digest", "left_anti").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
