@@ -326,10 +326,13 @@ def text_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         labels = components(edges)
     links = edges.select(F.explode(F.array("doc", "centre")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
     joined = keys.join(labels, "doc", "left").join(links, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    # The smallest key of a class is its smallest id, if a text of it has one: ids come before other keys.
-    classes = materialise(joined.select(
-        "digest", "id", (F.col("doc") == F.col("label")).alias("stands"), F.when(F.col("label") < _ODD, F.col("label")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
+    joined = materialise(joined, "classes")
+    # The smallest key of a class is its smallest id, but where texts share ids or have none: those classes are few.
+    odd = joined.groupBy("label").agg(F.min("id").alias("least")).filter(~F.col("label").eqNullSafe(F.col("least")))
+    named = joined.join(materialise(odd.withColumn("odd", F.lit(True)), "odd"), "label", "left")
+    classes = named.select(
+        "digest", "id", (F.col("doc") == F.col("label")).alias("stands"), F.when(F.col("odd"), F.col("least")).otherwise(F.col("label")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return classes, signed.select("doc_id", "digest")
 
 
