@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the row with the smallest id of the text that stands for it.
+    """One document of each class of near-duplicates, that with the smallest id where ids are unique.
 
     Texts are what is compared: of repeated rows one stays, rows that share an id are judged by their own
     texts, and a row without an id goes like any other if its text has a class.
