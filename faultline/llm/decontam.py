@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import WordHashes, hash_bitmap, materialise, mix, pieces, text_or_empty, texts_of
+from faultline.llm.common import WordHashes, hash_bitmap, materialise, mix, pieces, ragged, text_or_empty, texts_of
 
 # Five ones each, spans of 6 to 9. Every run with at least 12 equal tokens and a share of at
 # least 0.7 contains one of them, however its substitutions lie (shown in tests/llm/test_edges.py).
@@ -61,14 +61,27 @@ def seed_hashes(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(out)
 
 
-def _runs(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive places with one hash: the hash, first and last place of each."""
-    order = np.lexsort((at, hashes))
-    h, p = hashes[order], at[order]
+def _runs(hashes: np.ndarray, at: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive places with one hash in a group: the group, the hash, first and last place of each."""
+    group = np.zeros(len(at), np.int64) if group is None else group
+    order = np.lexsort((at, hashes, group))
+    g, h, p = group[order], hashes[order], at[order]
     first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1] + 1)
+    first[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1]) | (p[1:] != p[:-1] + 1)
     last = np.append(first[1:], np.ones(min(len(h), 1), bool))
-    return h[first], p[first], p[last]
+    return g[first], h[first], p[first], p[last]
+
+
+def _stretch_starts(where: np.ndarray, of: np.ndarray, flank: int) -> np.ndarray:
+    """First hit of each stretch: hits of one document, none further than ``flank`` from the one before, 8 times that in all."""
+    apart = np.ones(len(where), bool)
+    apart[1:] = (of[1:] != of[:-1]) | (where[1:] - where[:-1] > flank)
+    starts = []
+    for a, b in zip(np.flatnonzero(apart).tolist(), np.append(np.flatnonzero(apart)[1:], len(where)).tolist()):
+        while a < b:
+            starts.append(a)
+            a += int(np.searchsorted(where[a:b], where[a] + 8 * flank, side="right"))
+    return np.array(starts, np.int64)
 
 
 def benchmark_windows(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, text: str = "text") -> DataFrame:
@@ -82,7 +95,7 @@ def benchmark_windows(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, text
             for item, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 tokens = tokens_of(t)
                 found = [seed_hashes(tokens, m, k) for k, m in enumerate(masks)]
-                h, low, high = _runs(np.concatenate(found).view(np.int64), np.concatenate([np.arange(len(h)) for h in found]))
+                _, h, low, high = _runs(np.concatenate(found).view(np.int64), np.concatenate([np.arange(len(h)) for h in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64())],
                                                  names=["hash", "item_id", "low", "high"])
 
@@ -110,9 +123,7 @@ def document_hits(docs: DataFrame, seen: np.ndarray, flank: int, masks: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(packed).astype(bool)
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]))
         for batch in batches:
-            rows = []
             texts = texts_of(batch.column(1))
             for a, b in pieces(texts):
                 ids = batch.column(0).slice(a, b - a)
@@ -125,23 +136,23 @@ def document_hits(docs: DataFrame, seen: np.ndarray, flank: int, masks: tuple[st
                 order = np.argsort(where, kind="stable")
                 where, hashes = where[order], hashes[order]
                 of = np.searchsorted(ends, where, side="right")
-                start = 0
-                while start < len(where):
-                    d, stop = of[start], start + 1
-                    while (stop < len(where) and of[stop] == d and where[stop] - where[stop - 1] <= flank
-                           and where[stop] - where[start] <= 8 * flank):
-                        stop += 1
-                    begin = int(ends[d - 1]) if d else 0
-                    first, last = max(begin, int(where[start]) - flank), min(int(ends[d]), int(where[stop - 1]) + flank)
-                    runs = _runs(hashes[start:stop], where[start:stop] - begin)
-                    rows.append((ids[int(d)].as_py(), len(rows), first - begin, tokens[first:last].view(np.int64).tolist(),
-                                 [{"hash": h, "low": x, "high": y} for h, x, y in zip(*(r.tolist() for r in runs))]))
-                    start = stop
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(columns[0]), batch.schema.field(0).type), pa.array(list(columns[1]), pa.int64()), pa.array(list(columns[2]), pa.int64()),
-                 pa.array(list(columns[3]), pa.list_(pa.int64())), pa.array(list(columns[4]), kind)],
-                names=["doc_id", "stretch", "start", "tokens", "hits"])
+                starts = _stretch_starts(where, of, flank)
+                stops = np.append(starts[1:], len(where)).astype(np.int64)
+                doc = of[starts]
+                begin = np.concatenate([[0], ends])[doc]  # where the document begins
+                first = np.maximum(begin, where[starts] - flank)
+                last = np.minimum(ends[doc], where[stops - 1] + flank) if len(starts) else first
+                stretch = np.repeat(np.arange(len(starts)), stops - starts)
+                of_run, h, low, high = _runs(hashes, where - begin[stretch], stretch)
+                hits = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (h, low, high)], names=["hash", "low", "high"])
+                cut = np.searchsorted(of_run, np.arange(len(starts) + 1)).astype(np.int32)
+                sizes = last - first
+                flat = tokens[ragged(first, sizes)].view(np.int64)
+                ends_ = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(doc)), pa.array(np.arange(len(starts)), pa.int64()), pa.array(first - begin, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends_, pa.int32()), pa.array(flat, pa.int64())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), hits)],
+                    names=["doc_id", "stretch", "start", "tokens", "hits"])
 
     found = docs.select(F.col(doc_id).cast(_kind(docs, doc_id)).alias("doc_id"), text_or_empty(text)).mapInArrow(run, schema)
     return found.withColumn("stretch", F.monotonically_increasing_id())
