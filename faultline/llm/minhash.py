@@ -31,6 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 BLOCK = 512  # members of a mixed bucket in one block; two blocks meet in a task
 BLOCK_CHARS = 1 << 13  # a longer text counts as several members
+BROADCAST_TEXTS = 1_000_000  # keys of texts that are broadcast, at most
 MEMBERS = 64  # texts compared with one centre in one stretch
 
 _WORDS = WordHashes()
@@ -310,13 +311,15 @@ def text_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     keys = _text_keys(signed)
     # The row with the smallest id stands for all copies of a text.
     own = signed.withColumnRenamed("doc_id", "id").join(keys.withColumnRenamed("id", "_id"), "digest").filter(F.col("id").eqNullSafe(F.col("_id")))
-    flat = materialise(own.select("doc", F.explode("buckets").alias("bucket")).distinct(), "buckets")
+    flat = materialise(own.select("doc", F.explode("buckets").alias("bucket")), "buckets")
     lowest = flat.groupBy("bucket").agg(F.min("doc").alias("centre"), F.max("doc").alias("high")).filter("centre <> high")
     shared = materialise(flat.join(materialise(lowest.drop("high"), "centres"), "bucket"), "shared")
     pairs = materialise(shared.filter("doc <> centre").select("doc", "centre").distinct(), "pairs")
     # The texts that share a bucket; all others are done.
     wanted = materialise(keys.join(shared.select("doc").distinct(), "doc", "left_semi").withColumnRenamed("id", "_id"), "wanted")
-    found = given.withColumn("digest", text_digest()).join(wanted, "digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
+    # Texts stay where they are as long as the list of those wanted is short.
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    found = given.withColumn("digest", text_digest()).join(side, "digest").filter(F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = materialise(found.select("doc", "text").dropDuplicates(["doc"]), "texts")
     edges = materialise(_verified(pairs, texts, similarity), "links")
     labels = components(edges)
