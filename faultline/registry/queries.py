@@ -684,28 +684,21 @@ def q_evaluate_holdout(spark, sf):
     return experiment.evaluate_holdout(train, test, CORE, "logistic")
 
 
-_GRID = {
-    "selectors": {"None": None, "Kruskal": "kruskal"},
-    "tunings": {"Tuned Threshold": True, "Default Threshold": False},
-}
-
-
-def _grid_sets(df):
-    return {"Bins": (df, [*CORE, *X.GAPPY[:2]]), "Counters": (df, ["aa_000", *X.BA, *X.CN])}
+_SELECTORS = {"None": None, "Kruskal": "kruskal"}
+_COUNTERS = ["aa_000", *X.BA, *X.CN]
 
 
 def q_experiment_grid(spark, sf):
-    """Two models, two feature sets, two selectors and two threshold rules in four folds, imputed and scaled in each."""
+    """Two models with and without a selector in four folds, imputed, selected and scaled in each."""
     df = X.cust_features(spark, sf)
-    return experiment.experiment_grid(_grid_sets(df), ["logistic", "tree"], n_features=6, **_GRID)
+    return experiment.experiment_grid({"Counters": (df, _COUNTERS)}, ["logistic", "tree"], selectors=_SELECTORS, n_features=6)
 
 
 def q_leaderboard_on_test(spark, sf):
     """The three best runs of a grid on the training rows, fitted again and scored on the test rows."""
     train, test = sampling.split_frames(X.cust_features(spark, sf))
-    runs = experiment.experiment_grid({"Counters": _grid_sets(train)["Counters"]}, ["logistic", "tree"], selectors=_GRID["selectors"], folds=2, n_features=6)
-    cols = _grid_sets(train)["Counters"][1]
-    return experiment.leaderboard_on_test(runs, {"Counters": (train, test, cols)}, selectors=_GRID["selectors"], top_n=3, n_features=6)
+    runs = experiment.experiment_grid({"Counters": (train, _COUNTERS)}, ["logistic", "tree"], selectors=_SELECTORS, folds=2, n_features=6)
+    return experiment.leaderboard_on_test(runs, {"Counters": (train, test, _COUNTERS)}, selectors=_SELECTORS, top_n=3, n_features=6)
 
 
 def _derived_runs(spark, sf):
