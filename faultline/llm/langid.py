@@ -23,6 +23,7 @@ from faultline.llm.common import materialise, text_or_empty, texts_of
 
 BUCKETS = 1 << 15
 SAMPLE = 1_000  # labelled documents of each language that the trigram model is fitted on, at most
+BROADCAST_ROWS = 500_000  # sampled ids that are broadcast, at most
 SMOOTH = 5.0  # pages' worth of the next level's prior in each level
 TEXT_WEIGHT = 0.05  # trigrams overlap and depend on each other: their log likelihood counts by this factor
 
@@ -62,8 +63,10 @@ def fit_trigrams(docs: DataFrame, *, sample: int = SAMPLE) -> Trigrams:
     """
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.filter("doc_id is not null and lang is not null").select("lang", "doc_id").distinct()
-    known = known.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= sample).drop("_r")
-    chosen = docs.select("doc_id", "lang", "text").join(known, ["lang", "doc_id"])
+    known = materialise(known.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= sample).drop("_r"), "sample")
+    # Texts stay where they are as long as the list of those wanted is short.
+    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    chosen = docs.select("doc_id", "lang", "text").join(side, ["lang", "doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
