@@ -5,6 +5,8 @@ from conftest import SF
 
 from pyspark.sql import functions as F
 
+from faultline.operators import prefix
+from faultline.plans import experiment
 from faultline.sources import fixtures as X
 
 
@@ -31,3 +33,27 @@ def test_feature_table_follows_its_rows(spark, many_partitions, monkeypatch):
     assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
     small.unpersist()
     large.unpersist()
+
+
+def test_folds_follow_their_rows(spark, many_partitions, monkeypatch):
+    seen = []
+
+    def stop(train, *rest):
+        seen.append(_tasks(train))
+        raise InterruptedError
+
+    monkeypatch.setattr(experiment, "_train", stop)
+    df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 5 == 0).cast("int").alias("label"), F.col("id").cast("double").alias("x"))
+    for run in (experiment.cv_cost, lambda d, c: experiment.evaluate_holdout(d, d, c)):
+        with pytest.raises(InterruptedError):
+            run(df, ["x"])
+    assert len(seen) == 2 and max(seen) <= spark.sparkContext.defaultParallelism
+
+
+def test_cut_shares_are_one_literal(spark, monkeypatch):
+    given = []
+    plain = F.percentile_approx
+    monkeypatch.setattr(prefix.F, "percentile_approx", lambda c, q, n: (given.append(q), plain(c, q, n))[1])
+    rows = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    cuts = prefix.fitted_cuts(rows, ["k"], [F.col("v")], 100)[0].first()["_cuts"]
+    assert not isinstance(given[0], list) and 9 <= len(cuts) <= 11 and cuts == sorted(cuts)
