@@ -1,11 +1,13 @@
 """Kept tables are read by as many tasks as their rows need, whatever the number of shuffle partitions."""
 
+import time
+
 import pytest
 from conftest import SF
 
 from pyspark.sql import functions as F
 
-from faultline.operators import prefix
+from faultline.operators import models, prefix
 from faultline.plans import experiment
 from faultline.sources import fixtures as X
 
@@ -57,3 +59,35 @@ def test_cut_shares_are_one_literal(spark, monkeypatch):
     rows = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
     cuts = prefix.fitted_cuts(rows, ["k"], [F.col("v")], 100)[0].first()["_cuts"]
     assert not isinstance(given[0], list) and 9 <= len(cuts) <= 11 and cuts == sorted(cuts)
+
+
+def test_runs_of_a_grid_share_their_folds(spark, monkeypatch):
+    fitted, plain, registry = [], experiment.fit_prep, models.model_registry(42, 3, 2)
+    monkeypatch.setattr(experiment, "fit_prep", lambda df, *a, **k: (fitted.append(df), plain(df, *a, **k))[1])
+    df = spark.range(400).select(
+        F.col("id").alias("row_id"), (F.col("id") % 5 == 0).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"),
+        F.when(F.col("id") % 9 > 0, F.col("id") % 5).cast("double").alias("y"),
+    )
+    chosen = {"None": None, "Kruskal": "kruskal"}
+    runs = experiment.experiment_grid({"A": (df, ["x", "y"])}, ["tree", "absent"], chosen, folds=2, registry=registry, n_features=1).collect()
+    assert len(fitted) == 2  # one for each fold, not one for each run and fold
+    assert all("Range" not in t._jdf.queryExecution().analyzed().toString() for t in fitted)  # a fold's plan reads kept rows
+    assert [(r["model"], r["selector"], r["status"]) for r in runs] == [(m, c, s) for m, s in (("tree", "ok"), ("absent", "failed")) for c in chosen]
+    for r in runs[:2]:
+        alone = experiment.fold_summary(experiment.cv_cost(df, ["x", "y"], "tree", 2, selector=chosen[r["selector"]], registry=registry, n_features=1)).first()
+        assert (r["cost_mean"], r["auc_mean"], r["f1_mean"]) == (alone["cost_mean"], alone["auc_mean"], alone["f1_mean"])
+    steps = experiment._Shared()
+    first, second = experiment._Shared(), experiment._Shared()
+    assert [steps.once("a", lambda: time.sleep(0.2), r) for r in (first, second)] == [None, None]
+    assert first.saved == 0 and second.saved > 0.15
+
+
+def test_best_runs_share_their_training_rows(spark, monkeypatch):
+    dealt, plain = [], experiment._dealt
+    monkeypatch.setattr(experiment, "_dealt", lambda df, *a: (dealt.append(df), plain(df, *a))[1])
+    df = spark.range(300).select(F.col("id").alias("row_id"), (F.col("id") % 5 == 0).cast("int").alias("label"), (F.col("id") % 7).cast("double").alias("x"))
+    best = spark.createDataFrame([(m, "A", "None", "No Sampling", "Tuned Threshold", m, float(i), None, "ok") for i, m in enumerate(("tree", "logistic"))],
+                                 "model string, feature_set string, selector string, sampler string, tuning string, run_name string, cost_mean double, sampling_percentage double, status string")
+    out = experiment.leaderboard_on_test(best, {"A": (df.where("row_id % 3 > 0"), df.where("row_id % 3 = 0"), ["x"])}, registry=models.model_registry(42, 3, 2))
+    assert [(r["run_name"], r["status"]) for r in out.collect()] == [("tree", "ok"), ("logistic", "ok")]
+    assert len(dealt) == 4  # test rows, training rows and their two parts, whatever the number of runs
