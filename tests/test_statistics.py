@@ -224,3 +224,20 @@ def test_one_plan_for_many_gappy_columns(spark):
     for r in rows:
         expected = want.loc[r["a"], r["b"]]
         assert (r["rho"] is None) if np.isnan(expected) else r["rho"] == pytest.approx(expected)
+
+
+def test_slices_are_found_in_generated_code(spark):
+    cuts = {"a": [0.0], "b": [float(v) for v in range(0, 130, 2)]}
+    table = spark.createDataFrame(list(cuts.items()), "k string, _cuts array<double>")
+    values = [None, -1.0, 0.0, 0.5, *[float(v) for v in range(1, 135, 3)]]
+    rows = spark.createDataFrame([(k, v) for k in ("a", "b", "none", None) for v in values], "k string, v double")
+    for most in (None, 65):  # unknown, and as fitted cuts tell it
+        known = table if most is None else table.select("k", F.col("_cuts").alias("_cuts", metadata={"most": most}))
+        found = prefix.with_slice(rows, ["k"], F.col("v"), known)
+        assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+        for r in found.collect():
+            own = np.array(cuts.get(r["k"], []))
+            at = 0 if r["v"] is None else int(np.searchsorted(own, r["v"]))
+            assert r["_slice"] == 2 * at + int(at < len(own) and r["v"] is not None and own[at] == r["v"])
+    fitted = prefix.fitted_cuts(spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("v")), ["k"], [F.col("v")], 100)[0]
+    assert fitted.schema["_cuts"].metadata["most"] == len(fitted.first()["_cuts"])
