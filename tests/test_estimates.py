@@ -226,3 +226,18 @@ def test_permutation_costs_equal_a_plain_permutation(spark, monkeypatch):
             rises.append(cost(mixed) - cost(x))
         assert got[c] == (pytest.approx(np.mean(rises)), pytest.approx(np.std(rises)))
     assert got["c"] == (0, 0)
+
+
+def test_radii_stay_in_generated_code(spark):
+    rng = np.random.default_rng(5)
+    v = np.sort(np.unique(np.round(rng.normal(size=60), 2)))
+    n = rng.integers(1, 4, len(v))
+    counts = spark.createDataFrame([(0, float(a), 0, int(b)) for a, b in zip(v, n)], "feature int, value double, n0 long, n1 long")
+    for neighbours in (1, 3, 9):
+        found = ranktests._radii(counts, neighbours, 256, False)
+        if neighbours == 3:
+            assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+        every = np.repeat(v, n)
+        for r in found.collect():
+            d = np.sort(np.abs(every - r["value"]))[min(neighbours, len(every) - 1)]
+            assert r["low"] == pytest.approx(r["value"] - d) and r["high"] == pytest.approx(r["value"] + d)
