@@ -7,7 +7,7 @@ from conftest import SF
 
 from pyspark.sql import functions as F
 
-from faultline.operators import models, prefix
+from faultline.operators import models, prefix, sampling
 from faultline.plans import experiment
 from faultline.sources import fixtures as X
 
@@ -91,3 +91,29 @@ def test_best_runs_share_their_training_rows(spark, monkeypatch):
     out = experiment.leaderboard_on_test(best, {"A": (df.where("row_id % 3 > 0"), df.where("row_id % 3 = 0"), ["x"])}, registry=models.model_registry(42, 3, 2))
     assert [(r["run_name"], r["status"]) for r in out.collect()] == [("tree", "ok"), ("logistic", "ok")]
     assert len(dealt) == 4  # test rows, training rows and their two parts, whatever the number of runs
+
+
+def test_few_rows_fit_no_cuts(spark, monkeypatch):
+    asked, plain = [], prefix.fitted_cuts
+    monkeypatch.setattr(prefix, "fitted_cuts", lambda *a: (asked.append(a), plain(*a))[1])
+    df = spark.range(300).select(
+        F.col("id").alias("row_id"), (F.col("id") % 5 == 0).cast("int").alias("label"), (F.col("id") * 37 % 101).cast("double").alias("x"),
+        F.when(F.col("id") % 9 > 0, F.col("id") * 13 % 89).cast("double").alias("y"))
+    chosen, registry, cols = {"Kruskal": "kruskal"}, models.model_registry(42, 3, 2), ["x", "y"]
+
+    def run():
+        grid = experiment.experiment_grid({"A": (df, cols)}, ["tree"], chosen, folds=2, registry=registry, n_features=1)
+        best = experiment.leaderboard_on_test(grid, {"A": (df.where("row_id % 3 > 0"), df.where("row_id % 3 = 0"), cols)}, chosen, registry=registry, n_features=1)
+        return [r for d in (grid.drop("fit_time_mean"), best) for r in d.collect()]
+
+    few = run()
+    assert not asked and [r["status"] for r in few] == ["ok", "ok"]
+    monkeypatch.setattr(prefix, "SLICE_ROWS", 20)  # the same rows, now too many for a slice
+    assert run() == few and asked
+
+
+def test_weights_of_a_fit_take_one_job(spark):
+    df = spark.createDataFrame([(0,), (0,), (0,), (1,), (None,)], "label int")
+    for scheme in ("balanced", "positive"):
+        table = {r["label"]: r["weight"] for r in sampling.class_weights(df, scheme=scheme).collect()}
+        assert sampling.fitted_weights(df, scheme=scheme) == table
