@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from faultline.operators import cost, explain, models
+from faultline.session import cut_lineage
 
 _FITTED: dict[tuple, tuple] = {}
 
@@ -35,9 +36,10 @@ def explain_run(
     scores = models.predict(model, valid, cols).persist()
     best = cost.best_threshold_dense(scores).first()
     sample = valid if shap_rows is None else seeded_take(valid, shap_rows, (), seed)
-    shap = explain.shap_values(model, sample, cols)
-    top = explain.shap_global(shap, cols)
-    pi = explain.permutation_importance_cost(model, valid, cols, best["threshold"], repeats, seed)
+    # Several parts take each of these: rows are explained once, and one row per feature is kept of both rankings.
+    shap = explain.shap_values(model, sample, cols).persist()
+    top = cut_lineage(explain.shap_global(shap, cols))
+    pi = cut_lineage(explain.permutation_importance_cost(model, valid, cols, best["threshold"], repeats, seed))
     # A handful of features: the names of the strongest few choose the curves.
     leaders = [r["feature"] for r in top.limit(pdp_top).collect()]
     tree, fidelity = explain.surrogate_tree(model, valid, cols, best["threshold"], surrogate_depth, seed)

@@ -8,7 +8,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from faultline.operators import models, prefix, sampling
-from faultline.plans import experiment
+from faultline.plans import experiment, rca
 from faultline.sources import fixtures as X
 
 
@@ -117,3 +117,14 @@ def test_weights_of_a_fit_take_one_job(spark):
     for scheme in ("balanced", "positive"):
         table = {r["label"]: r["weight"] for r in sampling.class_weights(df, scheme=scheme).collect()}
         assert sampling.fitted_weights(df, scheme=scheme) == table
+
+
+def test_rankings_of_an_explanation_are_made_once(spark):
+    df = spark.range(400).select(
+        F.col("id").alias("row_id"), (F.col("id") % 5 == 0).cast("int").alias("label"), (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
+    run = rca.explain_run(df, ["x", "y"], registry=models.model_registry(42, 2, 2), repeats=2)
+    for part in ("shap_global", "importance", "ranks"):  # they read kept rows, rather than evaluate trees again
+        assert "MapInPandas" not in run[part]._jdf.queryExecution().analyzed().toString()
+    ranks = {r["feature"]: r for r in run["ranks"].collect()}
+    assert {r["feature"]: r["mean_abs_shap"] for r in run["shap_global"].collect()} == {f: r["mean_abs_shap"] for f, r in ranks.items()}
+    assert {r["feature"]: r["pi_mean"] for r in run["importance"].collect()} == {f: r["pi_mean"] for f, r in ranks.items()} and len(ranks) == 2
